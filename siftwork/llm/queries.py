@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets
+from . import bpe, chat, mixing, secrets
 from .common import read
 
 
@@ -20,5 +20,16 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, path, tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_links, op7_bpe)}
-ORACLES: dict[str, str] = {}
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.summary(chat.read_back(chat.format_chats(rows)))
+
+
+QUERIES = {f.__name__: f for f in (op5_secret_links, op7_bpe, op8_mix_sources, op10_chat_format)}
+ORACLES: dict[str, str] = {"op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
