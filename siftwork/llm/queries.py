@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, secrets
+from . import bpe, chat, mixing, quality, secrets
 from .common import read
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "verdict.*")
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan(read(spark, sf_dir, "documents")))
 
@@ -31,5 +36,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.read_back(chat.format_chats(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_links, op7_bpe, op8_mix_sources, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_secret_links, op7_bpe, op8_mix_sources, op10_chat_format)}
 ORACLES: dict[str, str] = {"op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
