@@ -21,7 +21,7 @@ from .common import SPACE, cut, let, spread
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
-THRESHOLD = -0.1
+THRESHOLD = -0.2
 WINDOW = 8
 
 _SPACES = r"[\x20\x09-\x0D]+"

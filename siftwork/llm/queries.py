@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, quality, secrets
+from . import bpe, chat, mixing, quality, secrets, warc
 from .common import read
 
 
@@ -17,6 +17,10 @@ def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -36,5 +40,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.read_back(chat.format_chats(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_secret_links, op7_bpe, op8_mix_sources, op10_chat_format)}
-ORACLES: dict[str, str] = {"op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op10_chat_format)}
+ORACLES: dict[str, str] = {"op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
