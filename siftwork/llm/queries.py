@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, secrets, warc
+from . import bpe, chat, mixing, pii, quality, secrets, warc
 from .common import read
 
 
+#: A stand-in; a deployment passes its own.
+PII_KEY = "siftwork-example-key"
+
+
+def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return done.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("kinds"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "verdict.*")
@@ -40,5 +50,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.read_back(chat.format_chats(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_pii_feistel, op3_quality_rules, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op10_chat_format)}
 ORACLES: dict[str, str] = {"op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
