@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, pii, quality, secrets, warc
+from . import bpe, chat, minhash, mixing, pii, quality, secrets, warc
 from .common import read
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.cluster(read(spark, sf_dir, "documents"))
+
+
 #: A stand-in; a deployment passes its own.
 PII_KEY = "siftwork-example-key"
 
@@ -50,5 +54,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.read_back(chat.format_chats(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_feistel, op3_quality_rules, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pii_feistel, op3_quality_rules, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op10_chat_format)}
 ORACLES: dict[str, str] = {"op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
