@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, pii, quality, secrets, warc
+from . import bpe, chat, minhash, mixing, pii, quality, secrets, vptree, warc
 from .common import read
 
 
@@ -27,6 +27,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels"))).select("doc_id", "verdict.*")
 
 
+def op4_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return vptree.nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan(read(spark, sf_dir, "documents")))
 
@@ -54,5 +59,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.read_back(chat.format_chats(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pii_feistel, op3_quality_rules, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op10_chat_format)}
-ORACLES: dict[str, str] = {"op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pii_feistel, op3_quality_rules, op4_vp_tree, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op10_chat_format)}
+ORACLES: dict[str, str] = {"op4_vp_tree": vptree.ORACLE, "op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
