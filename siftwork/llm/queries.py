@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, mixing, pii, quality, secrets, vptree, warc
+from . import bpe, chat, minhash, mixing, pii, quality, secrets, suffix, vptree, warc
 from .common import read
 
 
@@ -52,6 +52,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.dedup(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -59,5 +64,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.read_back(chat.format_chats(rows)))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pii_feistel, op3_quality_rules, op4_vp_tree, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pii_feistel, op3_quality_rules, op4_vp_tree, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op9_suffix_dedup, op10_chat_format)}
 ORACLES: dict[str, str] = {"op4_vp_tree": vptree.ORACLE, "op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
