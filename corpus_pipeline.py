@@ -1,25 +1,56 @@
-"""Quality rules, near-dedup, PII, source mixing and tokens, one after another over documents."""
+"""Quality rules, near-dedup, PII, source mixing and tokens, one after another over documents.
+
+Each stage takes what its predecessor kept and works on all of it. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftwork.llm import bpe
+from siftwork.llm import bpe, minhash, mixing, pii, quality
+from siftwork.llm.common import cut, read
+from siftwork.llm.queries import PII_KEY
 
+#: The stages can't be told in SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels"))).where("verdict.kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates."""
+    return minhash.representatives(docs, percent=80).select(*docs.columns)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced; the lengths stay."""
+    return pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as many times as the mix takes them."""
+    return mixing.resample(docs).select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of what the ids decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN)
+    done = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("byte-level BPE", tokens)]
+STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("pseudonyms", pseudonyms), ("source mixing", mixed_sources), ("byte-level BPE", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = cut(docs, "pipeline")
     return docs

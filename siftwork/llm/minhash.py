@@ -6,13 +6,13 @@ its count of leading zeros and its next MANTISSA bits. Buckets that no shingle h
 with the probability of their Jaccard similarity, but for collisions of the compressed values, which the estimate takes out.
 
 1. Documents with equal sets are one class, kept by its smallest id; only classes go on.
-2. Bands of ROWS registers give each class BANDS keys. In each bucket of a key all others are paired with a leader; there are
+2. Bands of a few registers (see rows_for) give each class as many keys as there are bands. In each bucket of a key all others are paired with a leader; there are
    few leaders for a group however many buckets it fills, and the pairs are as many as the members.
 3. Pairs whose corrected estimate is near the threshold or above are verified on full sets; links are closed to components.
 4. Buckets whose other members still lie in several components are gone through in blocks for the remaining pairs.
    Pairs inside one component need no check: they cannot change the result.
 
-At a similarity of 0.85 a pair shares no band with a probability of 4e-7; the filter in front of the verification is six
+A pair at the threshold shares no band with a probability of 4e-7 at 0.85 and 5e-8 at 0.8; the filter in front of the verification is six
 standard deviations below the threshold. A null or blank text has an empty set, which is linked with nothing. Rows with the same
 id are one document; rows with a null id are never linked. Empty tables give empty results, extra columns are ignored.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import shingles
 from .common import components, cut, drop, spread
 
-REGISTERS, MANTISSA, ROWS, BANDS = 128, 8, 5, 25
+REGISTERS, MANTISSA = 128, 8
 ROUNDS = 6
 LEADERS = 3
 #: Rows of a bucket that are compared together.
@@ -100,6 +100,11 @@ def least_estimate(percent: int) -> float:
     return j - 6 * (j * (1 - j) / REGISTERS) ** 0.5
 
 
+def rows_for(percent: int) -> int:
+    """Registers in a band."""
+    return 5 if percent >= 85 else 4 if percent >= 75 else 3
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, set_digest, registers): the last two null for empty sets."""
 
@@ -215,8 +220,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     linkable = sketched.where("set_digest IS NOT NULL AND id IS NOT NULL")
     classes = cut(linkable.groupBy("set_digest").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n"), F.min("registers").alias("registers")), "minhash-classes")
 
-    key = lambda b: F.struct(F.xxhash64(b, F.substring("registers", 1, 2 * REGISTERS).substr((b * 2 * ROWS + 1).cast("int"), F.lit(2 * ROWS))).alias("key"), b.alias("band"))
-    banded = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("k")).select("node", "k.*")
+    rows = rows_for(percent)
+    key = lambda b: F.struct(F.xxhash64(b, F.col("registers").substr((b * 2 * rows + 1).cast("int"), F.lit(2 * rows))).alias("key"), b.alias("band"))
+    banded = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1)), key)).alias("k")).select("node", "k.*")
     which = F.pmod("band", F.lit(LEADERS))
     crowd = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", which).alias("by"), F.col("node").alias("node")))["node"].alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = cut(banded.join(crowd, "key").select("key", "node", "leader", "size"), "minhash-buckets")
@@ -237,3 +243,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     # rows with one id are one document: they share what any of them reaches
     component = F.when(F.col("id").isNotNull(), F.least(F.coalesce("root", "id"), "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """docs without near-duplicates: of each component the document with the smallest id, once. Rows with a null id all stay."""
+    kept = cluster(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__kept")).where("__kept IS NOT NULL").distinct()
+    rows = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))
