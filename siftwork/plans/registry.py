@@ -1,4 +1,9 @@
-"""Queries over the driver's tables and their SQL twins."""
+"""Queries over the driver's tables and their SQL twins, gathered from the modules beside this one."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import probes
+
+MODULES = (probes,)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
