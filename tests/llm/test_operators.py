@@ -1,0 +1,445 @@
+"""The training-data operators against brute force and on the odd cases: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
+
+import hashlib
+import random
+import re
+import struct
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from siftwork.llm import bpe, chat, common, minhash, mixing, pii, quality, secrets, shingles, suffix, vptree, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOC = "doc_id long, text string, source string, ids int, score string, verdict int, key string, id string, node string"
+
+
+def docs(spark, rows):
+    """Documents with extra columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(i, t, s, 1, "x", 2, "k", "i", "n") for i, t, s in rows], DOC).repartition(3)
+
+
+def words(n, seed, alphabet="abcdefgh"):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(alphabet) for _ in range(r.randint(2, 6))) for _ in range(n))
+
+
+LONG = words(30_000, 5)
+ODD = [(1, None, "a"), (2, "", "a"), (3, " \n\t ", None), (4, "one", "b"), (5, "One TWO three four", "b"), (6, words(60, 1), "a"), (7, words(60, 1), "a"), (7, words(60, 1), "a"), (8, LONG, "c"), (None, words(60, 1), "a"), (9, words(60, 1).upper(), "é"), (10, words(59, 1), "b")]
+
+
+def tokens_of(text):
+    return WORD.findall(text or "")
+
+
+def shingle_set(text):
+    w = tokens_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, percent):
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(shingle_set(t))
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def near_copies(seed, n=120):
+    """Bases with copies that differ in more and more words."""
+    r, rows = random.Random(seed), []
+    for base in range(6):
+        w = words(80, 100 + base).split()
+        for _ in range(n // 6):
+            c = list(w)
+            for _ in range(r.randint(0, 3)):
+                c[r.randrange(len(c))] = f"edit{r.random()}"
+            rows.append((len(rows), " ".join(c)))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_dedup_equals_brute_force(spark, percent):
+    rows = near_copies(percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.cluster(docs(spark, [(i, t, "s") for i, t in rows]), percent=percent).collect()}
+    want = brute_components(rows, percent)
+    assert got == {i: (len(shingle_set(t)), want[i], want[i] == i) for i, t in rows}
+
+
+def test_near_dedup_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = near_copies(3)
+    got = {r.doc_id: r.component_id for r in minhash.cluster(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == brute_components(rows, 85)
+
+
+def test_near_dedup_odd_rows(spark):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.cluster(docs(spark, ODD)).collect()), key=str)
+    by = {g[0]: g for g in got}
+    assert len(got) == len(ODD)
+    assert by[1] == (1, 0, 1, True) and by[3] == (3, 0, 3, True) and by[4] == (4, 1, 4, True)
+    assert by[7][2] == by[9][2] == by[10][2] == 6 and by[None] == (None, 56, None, True)
+    kept = minhash.representatives(docs(spark, [*ODD, (4, "one", "b")]))
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 8]
+    assert kept.columns == docs(spark, ODD).columns
+
+
+def test_sketches_estimate_similarity():
+    r = np.random.default_rng(1)
+    for share in (0.3, 0.7, 0.9):
+        errors = []
+        for n in (3, 40, 2000):
+            both = shingles.mix(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            extra = shingles.mix(r.integers(0, 1 << 63, round(n * (1 / share - 1)), dtype=np.uint64))
+            a, b = np.unique(both), np.unique(np.concatenate([both, extra]))
+            x, y = (np.frombuffer(s, "<u2") for s in minhash.sketch([a, b]))
+            errors.append(minhash.estimate(np.array([(x == y).sum()]), np.array([len(a)]), np.array([len(b)]))[0] - len(a) / len(b))
+        assert max(map(abs, errors)) < 0.2
+    assert np.array_equal(minhash.intersections([np.arange(5, dtype=np.uint64), np.arange(3, 9, dtype=np.uint64)]), [[5 - 3, 2], [2, 2]])
+
+
+def brute_repeats(rows):
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if w in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(w)
+        spans = sum(gone[k] and (k == 0 or not gone[k - 1]) for k in range(len(b)))
+        out.append((i, len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g)))
+    return out
+
+
+def repeated_rows(seed):
+    r = random.Random(seed)
+    parts = [words(r.randint(5, 60), 900 + k, "abé") for k in range(12)] + ["x" * 300, "ab" * 200, words(15, 1)]
+    return [(i, "".join(r.choice(parts) + r.choice(["", " ", "\n"]) for _ in range(r.randint(0, 6)))) for i in range(40)]
+
+
+@pytest.mark.parametrize(("seed", "pack", "bucket", "unit"), [(1, 4 << 20, 4 << 20, 1 << 20), (2, 700, 500, 300), (3, 2000, 10**9, 50)])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, seed, pack, bucket, unit):
+    monkeypatch.setattr(suffix, "PACK", pack)
+    monkeypatch.setattr(suffix, "BUCKET", bucket)
+    monkeypatch.setattr(suffix, "UNIT", unit)
+    rows = repeated_rows(seed)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.dedup(docs(spark, [(i, t, "s") for i, t in rows])).collect())
+    assert got == brute_repeats(rows)
+
+
+def test_suffix_dedup_odd_rows(spark):
+    got = suffix.dedup(docs(spark, ODD)).collect()
+    assert len(got) == len(ODD)
+    twice = sorted(r.n_removed for r in got if r.doc_id == 7)
+    text = words(60, 1)
+    assert twice == [len(text)] * 2  # document 6 has the text already
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id in (1, 2, 3, 4, 6)} == dict.fromkeys((1, 2, 3, 4, 6), 0)
+    assert [r.n_removed for r in got if r.doc_id is None] == [len(text)]
+
+
+def test_merged_transforms_are_sorted():
+    r = np.random.default_rng(3)
+    texts = [np.append(r.integers(1, 4, n), 0).astype(np.uint16) for n in (50, 80, 7)]
+    places, interval = suffix.merge(texts, 8)
+    whole = np.concatenate(texts)
+    heads = [tuple(whole[p : p + 8]) for p in places if 0 not in whole[p : p + 8] and p + 8 <= len(whole)]
+    assert heads == sorted(heads)
+    numbers = [i for p, i in zip(places, interval, strict=True) if 0 not in whole[p : p + 8] and p + 8 <= len(whole)]
+    assert [a == b for a, b in zip(heads, heads[1:])] == [a == b for a, b in zip(numbers, numbers[1:])]
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def test_pii_formats_and_links(spark):
+    cards = [p + str(next(c for c in range(10) if luhn(p + str(c)))) for p in (f"{4000 + k}{k:07}{k % 7}555"[:15] for k in range(200))]
+    ssns = [f"{100 + k % 500:03}-{1 + k % 98:02}-{1000 + k:04}" for k in range(200)]
+    dates = [f"{1900 + k % 150}-{1 + k % 12:02}-{1 + k % 28:02}" for k in range(336)]
+    ips = [f"{k}.{k + 1}.{k % 7}.{255 - k}" for k in range(200)]
+    mails = [f"n{k}.ab@host.example.org" for k in range(100)]
+    everything = cards + ssns + sorted(set(dates)) + ips + mails
+    rows = [(i, f"a {v} b, {v}; c", "s") for i, v in enumerate(everything)]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, rows), "key").collect()}
+    after = []
+    for i, v in enumerate(everything):
+        m = re.fullmatch(r"a (.+) b, (.+); c", got[i].text)
+        assert m[1] == m[2] and len(m[1]) == len(v) and len(got[i].pii_kinds) == 2
+        assert re.sub(r"\d", "9", m[1]) == re.sub(r"\d", "9", v) or v in mails
+        after.append(m[1])
+    assert len(set(after)) == len(everything)  # a permutation: different values stay different
+    assert sum(a == b for a, b in zip(after, everything)) < 3
+    assert all(luhn(x) for x in after[: len(cards)])
+    again = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, rows), "other key").collect()}
+    assert sum(again[i] == got[i].text for i in again) < 3
+
+
+def test_pii_leaves_the_rest(spark):
+    texts = [None, "", "no numbers", "1234567890123456", "256.1.1.1", "1990-02-30", "000-12-3456", "user@host", "GB82WEST12345698765431", LONG]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), "k").collect()}
+    assert [got[i].text for i in range(len(texts))] == texts and not any(got[i].pii_kinds for i in got)
+    same = pii.pseudonymise(docs(spark, [(1, "4337166598464399 and 4337-1665-9846-4399, GB82 WEST 1234 5698 7654 32", "s")]), "k").first()
+    a, b = re.findall(r"[0-9-]{16,}", same.text)
+    assert a == b.replace("-", "") and same.pii_kinds == ["card", "card", "iban"]
+
+
+def base_counts(text):
+    t = text or ""
+    w = tokens_of(t)
+    at = {}
+    for i in range(len(w) - 7):
+        at.setdefault(tuple(w[i : i + 8]), []).append(i)
+    covered = {k for v in at.values() if len(v) > 1 for i in v for k in range(i, i + 8)}
+    seen, again = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), again, len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)
+
+
+def test_quality_base_counts(spark):
+    rows = [*ODD, (20, "a b c d e f g h " * 6, "s"), (21, "x\ny\nx\n \nx \n#*$ <|>", "s"), (22, words(40, 3) + "\n" + words(40, 3), "s")]
+    labels = spark.createDataFrame([(6, 1, 0), (8, 1, 0), (4, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    d = docs(spark, rows)
+    got = quality.judge(d, quality.fit(d, labels)).select("text", "verdict.*").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base_counts(r.text)
+        assert not (r.base_failed and r.kept)
+    none = quality.judge(d, quality.fit(d, labels.limit(0))).select("verdict.*").collect()
+    assert {r.score for r in none} == {0.0} and all(r.kept != r.base_failed for r in none)
+
+
+def test_quality_parts_good_from_junk(spark):
+    good = [(i, " ".join(random.Random(i).choices("the of and house river stone walk green light".split(), k=80)), "s") for i in range(60)]
+    junk = [(100 + i, " ".join(w + "***" for w in words(80, i).split()), "s") for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int")
+    d = docs(spark, good + junk)
+    got = {r.doc_id: r.kept for r in quality.judge(d, quality.fit(d, labels)).select("doc_id", "verdict.kept").collect()}
+    assert [i for i, k in got.items() if not k and i < 100] == [] and not any(k for i, k in got.items() if i >= 100)
+
+
+def test_vp_trees_are_exact(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(700, 6)).astype(np.float32)
+    x[100:160] = x[7]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [], 1), (902, [0.0] * 6, 1), (903, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (904, [float("nan")] * 6, 1), (905, [float("inf")] + [0.0] * 5, 1), (906, [1.0, 2.0], 1), (None, [1.0] * 6, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    got = vptree.nearest(df, df.where("vec_id % 20 = 0"), shard=150, block=16).collect()
+    found = {}
+    for h in sorted(got, key=lambda h: h["rank"]):
+        found.setdefault(h.query_id, []).append((h.vec_id, h.score))
+    assert set(found) == set(range(0, 700, 20))
+    for q, hits in found.items():
+        scores = vptree.inner(x[q].astype(float), x.astype(float))
+        want = sorted((i for i in range(700) if i != q), key=lambda i: (-scores[i], i))[:20]
+        assert [i for i, _ in hits] == want and [s for _, s in hits] == [scores[i] for i in want]
+    assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.5, 1.0], 1)], df.schema)
+    assert [(h.query_id, h["rank"], h.vec_id, h.score) for h in vptree.nearest(few, few.where("vec_id = 0")).collect()] == [(0, 1, 1, 0.5)]
+
+
+def test_vp_tree_recall_with_a_relaxed_factor():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(20, 8)) * 4
+    x = (centres[r.integers(0, 20, 3000)] + r.normal(size=(3000, 8)))
+    tree = vptree.Tree(vptree.lift(x))
+    q = np.hstack([x[:50], np.zeros((50, 1))])
+    exact = np.argsort(-(x[:50] @ x.T), 1)[:, :10]
+    for factor, least in ((1.0, 1.0), (1.5, 0.9)):
+        got = tree.search(q, 10, factor)
+        assert np.mean([len({*e} & {*g}) / 10 for e, g in zip(exact, got)]) >= least
+
+
+def brute_spans(text):
+    out = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PassWd", "secret", "token", "apikey", "API_KEY", "=", ": ", '"', " ", "\n", "AKIA", "AKIA9Z8Y7X6W5V4U3T", "deadbeef", "0123456789abcdef", "é", "abcdefghijkl", "Xy9+/-_.", "=="]), max_size=14).map("".join))
+def test_secret_base_spans(text):
+    assert secrets._said(secrets.base_spans(text)) == brute_spans(text)
+    base, spans = secrets.spans_of(text)
+    assert set(base) <= set(spans)
+
+
+def test_secrets_link_weak_parts(spark):
+    alone = "user: bob"
+    both = "user: bob\npassword: short1"
+    far = "user: bob" + " x" * 400 + "\npassword: short1"
+    apart = "user: bob\n\npassword: short1"
+    three = "https://db.example.org/x user=bob password=hunter2"
+    d = docs(spark, [(i, t, "s") for i, t in enumerate([alone, both, far, apart, three, None, "", LONG])])
+    got = {r.doc_id: r.spans for r in secrets.scan(d).collect()}
+    assert [got[i] for i in (0, 2, 3, 5, 6)] == [""] * 5
+    assert got[1] == "ident:0:9,part:10:26" and [x.split(":")[0] for x in got[4].split(",")] == ["endpoint", "ident", "part"]
+    assert secrets.summary(secrets.scan(d)).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+
+
+def test_arc_lines_and_lengths():
+    for version in (1, 2):
+        data = warc.arc_head(version, "a.arc") + warc.arc_record(version, "http://a b/ü", "20010203040506", b"HTTP/1.1 200 OK\r\n\r\nhi\n\nthere") + warc.arc_record(version, "http://c/", "2001", b"") + b"\nnonsense\n" + warc.arc_record(version, "http://d/", "2001", b"abc")[:-1]
+        got = list(warc.parse_arc(data))
+        assert [(r.version, r.fields["url"], r.block, r.truncated) for r in got] == [(version, "http://a_b/ü", b"HTTP/1.1 200 OK\r\n\r\nhi\n\nthere", False), (version, "http://c/", b"", False), (version, "http://d/", b"ab", True)]
+    assert warc.warc_date("20010203040506") == "2001-02-03T04:05:06Z" and warc.warc_date("2001") == "2001-01-01T00:00:00Z"
+    assert list(warc.parse_arc(b"")) == []
+
+
+@given(st.integers(-(2**63), 2**63 - 1))
+def test_record_ids_hold_their_keys(key):
+    made = warc.record_id(key, "x")
+    assert warc.key_in(f"<{made}>") == key and made[23] == "8" and made[28] in "89ab"
+
+
+def test_warc_round_trip(spark):
+    big = "<p>é" + "x" * 200 + "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"
+    rows = [(5, "u5", big), (3, "u 3", big), (9, None, big), (9, "u9", big), (1, "u1", "small"), (2, "u2", "small"), (4, "u4", None), (6, "u6", ""), (7, "u7", "y" * 200_000), (-8, "u8", "y" * 200_000), (None, "n", big)]
+    pages = spark.createDataFrame([(a, b, c, "k", "d") for a, b, c in rows], "page_id long, url string, html string, key string, digest string").repartition(3)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=str)
+    first = {}
+    for k, _, h in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        first.setdefault(h or "", k)
+    want = []
+    for k, _, h in rows:
+        b = (h or "").encode()
+        again = k is not None and len(b) >= 100 and k > first[h or ""]
+        want.append((k, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first[h] if again else None))
+    assert got == sorted(want, key=str)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def enc():
+    import public_tokenizers as tokenizers
+
+    return tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["don't", " a", "  b", "\n", "\t", "é_9", "12 3", "！", " ", " ", "x" * 40, "…", "\x1c", "'s", "🙂"]), max_size=40).map("".join), st.integers(1, 20))
+def test_pieces_encode_as_the_whole(text, limit):
+    e = bpe.encoding(*enc())
+    assert "".join(bpe.pieces(text, limit)) == text
+    assert bpe.encode_text(e, text, limit).tolist() == e.encode_ordinary(text)
+
+
+def test_bpe_round_trip(spark):
+    path, pattern = enc()
+    d = docs(spark, [*ODD, (30, "x" * 100_000, "s")])
+    got = bpe.decode(bpe.encode(d, path, pattern), path, pattern).collect()
+    texts = {i: t for i, t, _ in [*ODD, (30, "x" * 100_000, "s")]}
+    e = bpe.encoding(path, pattern)
+    assert len(got) == len(ODD) + 1
+    for r in got:
+        assert bytes(r.decoded).decode() == (texts[r.doc_id] or "")
+        assert bytes(r.ids) == struct.pack(f"<{r.n_tokens}I", *e.encode_ordinary(texts[r.doc_id] or ""))
+
+
+def brute_targets(sizes):
+    total, target, free = sum(s for s in sizes.values()), {}, {k: 1 + i % 3 for i, k in enumerate(sorted(sizes, key=lambda k: (k is None, k or "")))}
+    left = total
+    while free:
+        share = sum(free.values())
+        capped = [k for k, w in free.items() if left * w / share >= 3 * sizes[k]]
+        if not capped:
+            return target | {k: left * w / share for k, w in free.items()}
+        for k in capped:
+            target[k] = 3.0 * sizes[k]
+            left -= target[k]
+            del free[k]
+    return target
+
+
+def test_mixing(spark):
+    r = random.Random(4)
+    rows = [(i, words(r.randint(1, 30), i), r.choice(["a", "a", "a", "a", "b", "c", None, "é"])) for i in range(500)] + [(i, "w " * 5, "tiny") for i in (1000, 1001)] + [(2000, "", "void"), (2001, None, "void"), (None, "one two", "a"), (7, "same id", "b")]
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    sizes, taken, targets, largest = {}, {}, {}, {}
+    source = {(i, len(tokens_of(t))): s for i, t, s in rows}
+    for x in got:
+        s = source[x.doc_id, x.size]
+        sizes[s] = sizes.get(s, 0) + x.size
+        taken[s] = taken.get(s, 0) + x.taken
+        targets[s], largest[s] = x.target, max(largest.get(s, 0), x.size)
+        assert x.taken % max(x.size, 1) == 0 and x.taken <= 3 * x.size
+    assert targets == pytest.approx(brute_targets(sizes))
+    assert all(abs(taken[s] - targets[s]) <= 2 * largest[s] for s in sizes)
+    again = {(x.doc_id, x.size): x.taken for x in mixing.mix(docs(spark, rows[::-1])).collect()}
+    assert again == {(x.doc_id, x.size): x.taken for x in got}
+    d = docs(spark, rows)
+    made = mixing.resample(d)
+    assert made.columns == d.columns and made.groupBy().agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == sum(taken.values())
+    assert mixing.mix(d.limit(0)).count() == 0
+
+
+TEXT = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\", "<", "[", ">", "/", "s>", "\n", "é", " ok ", "<\\s>", "[\\\\/INST]"]), max_size=6).map("".join)
+
+
+def test_chat_round_trip(spark):
+    cases = []
+
+    @settings(max_examples=150, deadline=None, database=None)
+    @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "a\nb", "x\\n", "<s>"]), TEXT), min_size=1, max_size=4))
+    def collect(turns):
+        cases.append(turns)
+
+    collect()
+    rows = [(c, t, role, text, "f", 1) for c, turns in enumerate(cases) for t, (role, text) in enumerate(turns)]
+    rows += [(-5, 1, "assistant", None, "f", 1), (-5, None, None, "first", "f", 1), (None, 1, "user", "hi", "f", 1), (-6, 1, "user", "b", "f", 1), (-6, 1, "user", "a", "f", 1), (-6, 1, "user", "a", "f", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, turns int").repartition(3)
+    done = chat.read_back(chat.format_chats(df))
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in done.collect()}
+    assert {c: got[c] for c in range(len(cases))} == dict(enumerate(cases))
+    assert got[-5] == [("", "first"), ("assistant", "")] and got[None] == [("user", "hi")] and got[-6] == [("user", "a"), ("user", "a"), ("user", "b")]
+    by = {r.conv_id: r for r in chat.summary(done).collect()}
+    for c, turns in enumerate(cases):
+        assert by[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert by[c].loss_sha256 == hashlib.sha256("".join(b for a, b in turns if a == "assistant").encode()).hexdigest()
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [lambda d: minhash.cluster(d), lambda d: minhash.representatives(d), lambda d: suffix.dedup(d), lambda d: secrets.summary(secrets.scan(d)), lambda d: pii.pseudonymise(d, "k"), lambda d: bpe.decode(bpe.encode(d, *enc()), *enc())])
+def test_empty_tables(spark, run):
+    assert run(docs(spark, ODD).limit(0)).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(500, k) for k in range(501, 560)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {x.node: x.root for x in common.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
