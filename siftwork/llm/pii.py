@@ -8,7 +8,7 @@ become equal ones in every document, different ones stay different. The kinds an
 * iban     country, two check digits, up to 30 letters and digits; passes mod 97; check digits are computed anew
 * ssn      AAA-GG-SSSS with a valid area, group and serial; walks the cycle until valid again
 * phone    + and 8 to 15 digits, or (AAA) BBB-CCCC or AAA-BBB-CCCC; digits behind the country code are permuted
-* ipv4     four numbers up to 255
+* ipv4     four numbers up to 255 without leading zeros; each keeps its number of digits
 * date     YYYY-MM-DD, YYYY/MM/DD, YYYY.MM.DD, DD.MM.YYYY and MM/DD/YYYY of the calendar; permuted within its 400 years
            (a calendar cycle of 146097 = 189 * 773 days, so that the two halves fit exactly)
 
@@ -147,9 +147,14 @@ def _phone(m: Column, key: Column) -> Column:
 
 
 def _ipv4(m: Column, key: Column) -> Column:
-    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    wide = F.array(*[F.lit(256).cast("long")] * 4)
-    return let(octets, lambda o: let(wide, lambda w: F.array_join(F.transform(feistel(o, w, F.lit(2), key, "ipv4"), lambda v: v.cast("string")), ".")))
+    """Each number stays among those with as many digits: 10, 90 or 156 of them."""
+    parts = F.split(m, r"\.")
+    low = F.transform(parts, lambda x: F.when(F.length(x) == 1, 0).when(F.length(x) == 2, 10).otherwise(100).cast("long"))
+    wide = F.transform(parts, lambda x: F.when(F.length(x) == 1, 10).when(F.length(x) == 2, 90).otherwise(156).cast("long"))
+    shape = F.array_join(F.transform(parts, lambda x: F.length(x).cast("string")), "")
+    values = F.zip_with(parts, low, lambda x, b: x.cast("long") - b)
+    moved = lambda w, v, t: F.array_join(F.transform(F.zip_with(feistel(v, w, F.lit(2), t, "ipv4"), low, lambda x, b: x + b), lambda x: x.cast("string")), ".")
+    return let(wide, lambda w: let(values, lambda v: let(F.concat_ws("|", key, shape), lambda t: moved(w, v, t))))
 
 
 def _date_of(m: Column) -> Column:
@@ -192,7 +197,7 @@ def kind_of(m: Column) -> Column:
         .when(full("date"), F.when(_date_of(m).isNotNull(), "date"))
         .when(full("ssn"), F.when(_ssn_ok(m), "ssn"))
         .when(full("phone"), F.when(F.length(_digits(m)).between(8, 15), "phone"))
-        .when(full("ipv4"), F.when(~F.exists(F.split(m, r"\."), lambda x: x.cast("int") > 255), "ipv4"))
+        .when(full("ipv4"), F.when(~F.exists(F.split(m, r"\."), lambda x: (x.cast("int") > 255) | x.rlike("^0[0-9]")), "ipv4"))
         .when(full("card"), F.when(F.call_function("luhn_check", _digits(m)), "card"))
     )
 
