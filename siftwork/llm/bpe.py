@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import small, spread
 
 #: Characters beyond which a text is encoded piece by piece.
 PIECE = 1 << 16
@@ -52,7 +52,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches):
         enc = encoding(rank_path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             ids = [encode_text(enc, t or "", limit) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=[id_col, "n_tokens", "ids"])
 
@@ -65,7 +65,7 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_
 
     def run(batches):
         enc = encoding(rank_path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             raw = [enc.decode_bytes(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[id_col, "n_tokens", "ids", "decoded"])
 

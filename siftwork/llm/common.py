@@ -59,6 +59,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def small(batches, rows: int = 256):
+    """Arrow batches in slices, so that a worker never holds what it makes of very many long texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for each row, also where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

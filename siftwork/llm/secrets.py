@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import small, spread
 
 #: Fixed patterns. Letters of the keywords stand in either case, ASCII only.
 _KEYWORDS = ("password", "passwd", "secret", "token")
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id_col, base string, spans string): comma-joined kind:start:end by start, then kind; code points, end exclusive."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = [spans_of(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_said(b) for b, _ in found], pa.string()), pa.array([_said(a) for _, a in found], pa.string())], names=[id_col, "base", "spans"])
 
