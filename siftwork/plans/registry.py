@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import probes, relational
+from . import forms, probes, relational
 
-MODULES = (probes, relational)
+MODULES = (probes, relational, forms)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}
