@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,10 +54,6 @@ def normalize(text: Column) -> Column:
 
 def normalize_any():
     """The same behind Unicode NFKC, as an Arrow UDF: Spark has no such function."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
