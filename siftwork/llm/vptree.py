@@ -23,8 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Vectors in a shard and queries in a block, about.
-SHARD, BLOCK = 4096, 256
-LEAF = 64
+SHARD, BLOCK = 8192, 256
+LEAF = 256
 _SLACK = 1e-9
 
 
@@ -62,14 +62,16 @@ class Tree:
             self.nodes.append([v, (a.min(), a.max(), b.min(), b.max()), None, None])
             todo += [(rows[near], me, 2), (rows[~near], me, 3)]
 
-    def search(self, queries: np.ndarray, k: int, factor: float, own: list[np.ndarray] | None = None) -> list[np.ndarray]:
-        """For each query the rows of at least its k nearest points, those at the kth's distance included; rows in own[i] don't count."""
+    def search(self, queries: np.ndarray, k: int, factor: float, ids: np.ndarray | None = None, own: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each query the rows of at least its k nearest points, those at the kth's distance included; rows whose id is own[i] don't count.
+
+        All queries that reach a node are handled there together.
+        """
         n = len(queries)
+        best = np.full((n, k), np.inf)
         worst = np.full(n, np.inf)
-        best: list[np.ndarray] = [np.empty(0) for _ in range(n)]
-        found: list[list[np.ndarray]] = [[] for _ in range(n)]
-        kept: list[list[np.ndarray]] = [[] for _ in range(n)]
-        todo = [(0, np.arange(n), np.zeros(n))] if len(self.p) else []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        todo = [(0, np.arange(n), np.zeros(n))] if len(self.p) and n else []
         while todo:
             at, qs, least = todo.pop()
             live = least * factor <= worst[qs] * (1 + _SLACK) + _SLACK
@@ -80,17 +82,17 @@ class Tree:
             if node[0] is None:
                 rows = node[1]
                 d = self._distances(queries[qs], rows)
-                for i, q in enumerate(qs.tolist()):
-                    ok = d[i] <= worst[q] * (1 + _SLACK) + _SLACK
-                    if own is not None and len(own[q]):
-                        ok &= ~np.isin(rows, own[q])
-                    if ok.any():
-                        found[q].append(rows[ok])
-                        kept[q].append(d[i][ok])
-                        top = np.concatenate([best[q], d[i][ok]])
-                        best[q] = np.partition(top, k - 1)[:k] if len(top) > k else top
-                        if len(best[q]) == k:
-                            worst[q] = best[q].max()
+                if own is not None:
+                    d[ids[rows][None] == own[qs][:, None]] = np.inf
+                near = d.min(1) <= worst[qs] * (1 + _SLACK) + _SLACK
+                qs, d = qs[near], d[near]
+                if len(qs):
+                    both = np.concatenate([best[qs], d], 1)
+                    both.partition(k - 1, 1)
+                    best[qs] = both[:, :k]
+                    worst[qs] = both[:, :k].max(1)
+                    i, j = np.nonzero((d <= worst[qs][:, None] * (1 + _SLACK) + _SLACK) & np.isfinite(d))
+                    found.append((qs[i], rows[j], d[i, j]))
                 continue
             v, (a0, a1, b0, b1), near, far = node
             d = self._distances(queries[qs], np.array([v]))[:, 0]
@@ -101,11 +103,13 @@ class Tree:
             for pick, later, sooner in ((first, (far, to_far), (near, to_near)), (~first, (near, to_near), (far, to_far))):
                 if pick.any():
                     todo += [(child, qs[pick], low[pick]) for child, low in (later, sooner)]
-        out = []
-        for q in range(n):
-            rows, d = (np.concatenate(x) if x else np.empty(0, int) for x in (found[q], kept[q]))
-            out.append(rows[d <= worst[q] * (1 + _SLACK) + _SLACK].astype(int))
-        return out
+        if not found:
+            return [np.empty(0, int)] * n
+        q, rows, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = d <= worst[q] * (1 + _SLACK) + _SLACK
+        q, rows = q[keep], rows[keep]
+        order = np.argsort(q, kind="stable")
+        return np.split(rows[order], np.searchsorted(q[order], np.arange(1, n)))
 
     def _distances(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         p = self.p[rows]
@@ -159,8 +163,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1
                     ids, points = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw, kind).reshape(-1, dim).astype(float)
                     held, tree = (s, dim), Tree(lift(points))
                 q_ids, q = np.frombuffer(q_ids, "<i8"), np.frombuffer(q_raw, kind).reshape(-1, dim).astype(float)
-                own = [np.flatnonzero(ids == x) for x in q_ids]
-                hits = tree.search(np.hstack([q, np.zeros((len(q), 1))]), k, factor, own)
+                hits = tree.search(np.hstack([q, np.zeros((len(q), 1))]), k, factor, ids, q_ids)
                 out = []
                 for j, rows in enumerate(hits):
                     score = inner(q[j], points[rows])
