@@ -33,7 +33,9 @@ REGISTERS, MANTISSA = 128, 8
 ROUNDS = 6
 LEADERS = 3
 #: Rows of a bucket that are compared together.
-BLOCK = 256
+BLOCK = 512
+#: Ids (of eight bytes) that are broadcast at most.
+SENT = 2_000_000
 _LOW = np.uint64((1 << 57) - 1)
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(57)
 _SEEDS = shingles.mix(np.arange(1, REGISTERS + ROUNDS + 2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -137,86 +139,133 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose full sets of shingles are similar enough, as a table."""
-    pairs = cut(pairs, "minhash-pairs")
-    used = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = cut(texts.join(used, "id", "left_semi"), "minhash-texts")
-    side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, hashes binary): the sets of the nodes' texts, six bytes for each shingle, as a table. Up to SENT ids of nodes are broadcast; beyond that the texts are shuffled, this once."""
+    nodes = cut(nodes.select("node").distinct(), "minhash-nodes")
+    nodes = F.broadcast(nodes) if nodes.count() <= SENT else nodes
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").cast("binary").alias("text")).join(nodes, "node", "left_semi")
 
     def run(batches):
-        known, its = None, None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                t = whole.slice(at, 128)
-                b = t.column(1).to_pylist()
-                # rows come by b: the same text is not worked on again and again
-                new = [i for i, x in enumerate(b) if x != (b[i - 1] if i else known) or its is None]
-                text_b = t.column(3)
-                got = shingles.sets([text_b[i].as_py() for i in new])
-                left = shingles.sets(t.column(2).to_pylist())
-                keep, k = [], 0
-                for i in range(len(b)):
-                    if k < len(new) and new[k] == i:
-                        its, k = got[k], k + 1
-                    both_have = shingles.shared(left[i], its)
-                    keep.append(100 * both_have >= percent * (len(left[i]) + len(its) - both_have) and both_have > 0)
-                known = b[-1]
-                yield t.select(["a", "b"]).filter(pa.array(keep))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [np.unique(u >> np.uint64(16)) for u in shingles.sets(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for u in found], pa.binary())], names=["node", "hashes"])
+
+    return cut(rows.mapInArrow(run, "node long, hashes binary"), "minhash-sets")
+
+
+def unpack(hashes: bytes) -> np.ndarray:
+    out = np.zeros((len(hashes) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(hashes, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
+def similar(both, n, m, percent: int):
+    return 100 * both >= percent * (n + m - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose full sets of shingles are similar enough, as a table."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb")
 
-    out = cut(both.sortWithinPartitions("b").mapInArrow(run, "a long, b long"), "minhash-links")
-    drop(pairs, texts)
+    def run(batches):
+        known, its = None, np.empty(0, np.uint64)
+        for t in batches:
+            keep = []
+            for i in range(t.num_rows):
+                b = t.column(3)[i].as_py()
+                if b != known:  # rows come by b
+                    known, its = b, unpack(b)
+                mine = unpack(t.column(2)[i].as_py())
+                keep.append(similar(shingles.shared(mine, its), len(mine), len(its), percent))
+            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(both.sortWithinPartitions("b").mapInArrow(run, "a long, b long"), "minhash-links")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of a group of bounded size, by products of slices of the membership matrix."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(u) for u in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    often = times[number] > 1  # what one member alone has is in no intersection
+    owner, number = owner[often], number[often]
+    number = np.cumsum(np.concatenate([[0], number[1:] != number[:-1]])) if len(number) else number
+    out = np.zeros((m, m), np.float32)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        a, b = np.searchsorted(number, [lo, lo + 4096])
+        part = np.zeros((m, 4096), np.float32)
+        part[owner[a:b], number[a:b] - lo] = 1
+        out += part @ part.T
     return out
 
 
+def links_inside(node, comp, n, registers, hashes: list[bytes], percent: int, least: float) -> tuple[list[int], list[int]]:
+    """Links between members of different components that suffice to connect what the group's links connect."""
+    r = np.frombuffer(b"".join(registers), "<u2").reshape(-1, REGISTERS)
+    n, label = n.astype(float), comp.copy()
+    maybe = []
+    for x in range(len(node) - 1):
+        y = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+        if len(y):
+            y = y[estimate((r[y] == r[x]).sum(1), n[y], np.full(len(y), n[x])) >= least]
+            if len(y):
+                maybe.append((x, y))
+    if not maybe:
+        return [], []
+    sets = [unpack(h) for h in hashes]
+    size = np.array([len(u) for u in sets])
+    every = intersections(sets) if sum(len(y) for _, y in maybe) > 2 * len(node) else None
+    a, b = [], []
+    for x, ys in maybe:
+        for y in ys.tolist() if every is None else ys[similar(every[x, ys], size[x], size[ys], percent)].tolist():
+            if label[x] != label[y] and (every is not None or similar(shingles.shared(sets[x], sets[y]), size[x], size[y], percent)):
+                label[label == label[y]] = label[x]
+                a.append(int(max(node[x], node[y])))
+                b.append(int(min(node[x], node[y])))
+    return a, b
+
+
 def remaining(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of members(key, node, n, registers, comp, nb) of one bucket in different components with a likely estimate.
+    """(a, b): verified links between members(key, node, n, registers, hashes, comp, nb) of one bucket in different components.
 
-    Each bucket is dealt into nb blocks of about BLOCK rows, and each pair of blocks is one small group.
+    Each bucket is dealt into nb blocks of about BLOCK rows, and each pair of blocks is one small group, which is compared as a
+    whole: what comes out are links, never more than members.
     """
     least = least_estimate(percent)
     block = F.pmod(F.xxhash64("node"), F.col("nb"))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda y: F.struct(F.least(F.col("block"), y).alias("i"), F.greatest(F.col("block"), y).alias("j")))
-    rows = members.withColumn("block", block).withColumn("to", F.explode(others)).select("key", F.col("to.i").alias("i"), F.col("to.j").alias("j"), "block", "node", "n", "comp", "registers")
+    names = ("key", "i", "j", "node", "n", "comp", "registers", "hashes")
+    rows = members.withColumn("block", block).withColumn("to", F.explode(others)).select("key", F.col("to.i").alias("i"), F.col("to.j").alias("j"), *names[3:])
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def group(t: pa.RecordBatch | pa.Table):
-        node, comp, n = (t.column(k).to_numpy() for k in ("node", "comp", "n"))
-        r = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        a, b = [], []
-        for x in range(len(node) - 1):
-            maybe = x + 1 + np.flatnonzero(comp[x + 1 :] != comp[x])
-            if len(maybe):
-                good = maybe[estimate((r[maybe] == r[x]).sum(1), n[maybe].astype(float), np.full(len(maybe), float(n[x]))) >= least]
-                a += np.maximum(node[good], node[x]).tolist()
-                b += np.minimum(node[good], node[x]).tolist()
-        return a, b
-
     def run(batches):
-        rest = None
+        def found(group: list[tuple]):
+            key, i, j, node, n, comp, registers, hashes = zip(*group, strict=True)
+            a, b = links_inside(np.array(node), np.array(comp), np.array(n), registers, hashes, percent, least)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        group: list[tuple] = []
         for batch in batches:
-            t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            k = np.array([t.column(c).to_numpy() for c in ("key", "i", "j")])
-            ends = np.append(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1, t.num_rows)
-            at = 0
-            for end in ends[:-1].tolist():
-                a, b = group(t.slice(at, end - at))
-                at = end
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            rest = t.slice(at).combine_chunks()
-        if rest is not None and rest.num_rows:
-            a, b = group(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if group and group[0][:3] != row[:3]:
+                        yield found(group)
+                        group = []
+                    group.append(row)
+        if group:
+            yield found(group)
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """(id_col, n_shingles long, component_id long, kept boolean) for every row: components of documents with a Jaccard similarity of percent / 100 or more."""
     sketched = cut(sketches(docs, id_col, text_col), "minhash-sketches")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     linkable = sketched.where("set_digest IS NOT NULL AND id IS NOT NULL")
     classes = cut(linkable.groupBy("set_digest").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n"), F.min("registers").alias("registers")), "minhash-classes")
 
@@ -224,19 +273,22 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     key = lambda b: F.struct(F.xxhash64(b, F.col("registers").substr((b * 2 * rows + 1).cast("int"), F.lit(2 * rows))).alias("key"), b.alias("band"))
     banded = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1)), key)).alias("k")).select("node", "k.*")
     which = F.pmod("band", F.lit(LEADERS))
-    crowd = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", which).alias("by"), F.col("node").alias("node")))["node"].alias("leader"), F.count("*").alias("size")).where("size > 1")
+    crowd = banded.groupBy("key").agg(F.min(F.struct(F.when(which == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("node", which)).alias("by"), F.col("node").alias("node")))["node"].alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = cut(banded.join(crowd, "key").select("key", "node", "leader", "size"), "minhash-buckets")
 
+    sets = full_sets(docs, buckets, id_col, text_col)
+
     star = buckets.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-    found = verified(likely(star, classes, percent), texts, percent)
+    found = verified(likely(star, classes, percent), sets, percent)
     comp = cut(components(found, "minhash-edges"), "minhash-roots")
 
     more = buckets.where("size > 2").join(comp, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("comp"), (F.col("node") == F.col("leader")).alias("led"))
     open_keys = more.where("NOT led").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = more.where("NOT led").join(open_keys, "key").join(classes.select("node", "n", "registers"), "node").withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("long"))
-    late = verified(remaining(members, percent), texts, percent)
+    members = more.where("NOT led").join(open_keys, "key").withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("long"))
+    members = members.join(classes.select("node", "n", "registers").join(sets, "node"), "node")
+    late = cut(remaining(members, percent), "minhash-links")
     roots = cut(components(found.unionByName(late), "minhash-edges"), "minhash-roots")
-    drop(buckets, comp, found, late)
+    drop(buckets, comp, found, late, sets)
 
     of_class = classes.select("set_digest", "node").join(roots, "node", "left").select("set_digest", F.coalesce("root", "node").alias("root"))
     out = sketched.select("id", "n_shingles", "set_digest").join(of_class, "set_digest", "left")
@@ -250,3 +302,26 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = cluster(docs, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__kept")).where("__kept IS NOT NULL").distinct()
     rows = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return rows.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+#: DuckDB SQL for cluster() over documents at 85 %: all pairs that share a shingle, and their closure.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w
+), x AS (
+  SELECT doc_id, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT p.a, p.b FROM p JOIN s m ON m.doc_id = p.a JOIN s n ON n.doc_id = p.b WHERE 100 * c >= 85 * (len(m.s) + len(n.s) - c)
+), u AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(doc_id, node) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.node = u.a
+), k AS (
+  SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN k ON k.doc_id = s.doc_id
+"""

@@ -65,4 +65,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pii_feistel, op3_quality_rules, op4_vp_tree, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op9_suffix_dedup, op10_chat_format)}
-ORACLES: dict[str, str] = {"op4_vp_tree": vptree.ORACLE, "op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_near_dedup": minhash.ORACLE, "op4_vp_tree": vptree.ORACLE, "op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE}
