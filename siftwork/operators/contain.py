@@ -17,8 +17,10 @@ def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str
     an equi-join, and the whole pattern is then compared at every place. Exact and complete at any number of patterns.
     """
     seeds = patterns.select(F.col(pattern_col).alias("pattern")).where(F.length("pattern") >= SEED).distinct().withColumn("seed", F.substring("pattern", 1, SEED))
-    found = texts.select(F.col(key), F.col(text_col).alias("text"), F.explode(F.array_distinct(grams(F.col(text_col), SEED))).alias("seed")).join(seeds, "seed")
-    found = found.where(F.contains("text", "pattern")).select(key, "text", "pattern").distinct()
+    # only hashes of the texts travel with their many runs; equal texts are gone through once
+    rows = texts.select(F.col(key), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__h"))
+    meet = rows.select("__h", F.explode(F.array_distinct(grams(F.col("text"), SEED))).alias("seed")).join(seeds, "seed").select("__h", "pattern").distinct()
+    found = rows.join(meet, "__h").where(F.contains("text", "pattern")).select(key, "text", "pattern").distinct()
     # lengths of what stands before each place give the offsets
     ahead = F.concat(F.lit("(?s)(?=\\Q"), F.replace("pattern", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     cuts = found.withColumn("cuts", F.split("text", ahead, -1)).withColumn("begins", F.startswith("text", "pattern"))
