@@ -2,7 +2,8 @@
 
 The verdict compares two multinomials over hashed uni- and bigrams: one of a trusted target (documents labelled good), one of
 the raw corpus (all documents). A document's score is the mean of log p(target) - log p(raw) over its n-grams, so length
-does not matter, and every document with a score of at least THRESHOLD passes. N-grams are over tokens: words cut between
+does not matter. A document of n-grams that no other has scores -log(1 + T / R), with T and R n-grams in the target and the
+corpus; every document that scores no more than MARGIN below that passes. N-grams are over tokens: words cut between
 punctuation and the rest, so that "word***" gives "word" and "***".
 
 The raw counts cover all n-grams of all documents. The target takes at most TRUSTED labelled documents, those with the
@@ -21,22 +22,23 @@ from .common import SPACE, cut, let, spread
 
 BUCKETS = 1 << 16
 TRUSTED = 20_000
-THRESHOLD = -0.2
+#: Below the score of a document all of whose n-grams occur in it alone, once.
+MARGIN = 0.1
 WINDOW = 8
 
 _SPACES = r"[\x20\x09-\x0D]+"
-_MARK = r"!-/:-@\[-`{-~"
-_EDGE = rf"{_SPACES}|(?<=[{_MARK}])(?=[^{_MARK}\x20\x09-\x0D])|(?<=[^{_MARK}\x20\x09-\x0D])(?=[{_MARK}])"
+#: Punctuation, which is set apart from what it touches.
+_MARKS = r"([!-/:-@\[-`{-~]+)"
 
 
-def _split(text: Column, edge: str) -> Column:
+def _split(text: Column) -> Column:
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, edge, -1))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, _SPACES, -1))
 
 
 def words_of(text: Column) -> Column:
     """array<string>: runs of characters other than ASCII white space."""
-    return _split(text, _SPACES)
+    return _split(text)
 
 
 def buckets_of(text: Column) -> Column:
@@ -46,7 +48,7 @@ def buckets_of(text: Column) -> Column:
         pair = lambda x, i: F.pmod(F.xxhash64(x, F.get(h, i + 1)), F.lit(BUCKETS))
         return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS))), F.slice(F.transform(h, pair), F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))))
 
-    return let(F.transform(_split(text, _EDGE), lambda w: F.xxhash64(w)), grams)
+    return let(F.transform(_split(F.regexp_replace(text, _MARKS, " $1 ")), lambda w: F.xxhash64(w)), grams)
 
 
 def repeated_words(words: Column) -> Column:
@@ -83,7 +85,7 @@ def base_counts(text: Column) -> list[Column]:
 
 
 def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted: int = TRUSTED) -> DataFrame:
-    """One row with llr array<double>: the log-likelihood ratio of each bucket, with one added to every count."""
+    """One row with least double, the score of a document of new n-grams, and llr array<double>: the log-likelihood ratio of each bucket, with one added to every count of the target."""
     good = labels.groupBy(F.col("doc_id").alias("__good")).agg(F.min("quality").alias("q")).where("q = 1 AND __good IS NOT NULL")
     good = good.orderBy(F.xxhash64("__good"), "__good").limit(trusted).select("__good")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -92,12 +94,14 @@ def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("b"))
     sides = every.join(counts, "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))).alias("m"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    odds = lambda side: lambda x: F.log((x[side] + 1) / (F.coalesce(F.col(side), F.lit(0)) + BUCKETS))
-    ratio = F.transform("m", lambda x: odds("target")(x) - odds("raw")(x))
-    return sides.select(F.when(F.coalesce("target", F.lit(0)) > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("llr"))
+    # the raw side gets as many more pseudo-counts as it has counts: equal shares then have ratio 1 at any size
+    more = F.coalesce(F.col("raw") / F.col("target"), F.lit(1.0))
+    ratio = F.transform("m", lambda x: F.log((x["target"] + 1) / (F.coalesce("target", F.lit(0)) + BUCKETS)) - F.log((x["raw"] + more) / (F.coalesce("raw", F.lit(0)) + more * BUCKETS)))
+    least = -F.log(1 + F.coalesce(F.col("target") / F.col("raw"), F.lit(0.0)))
+    return sides.select(least.alias("least"), F.when(F.coalesce("target", F.lit(0)) > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("llr"))
 
 
-def judge(docs: DataFrame, fitted: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, fitted: DataFrame, text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """docs with verdict struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed, kept>, in place of any column of that name."""
     llr = F.col("__llr")  # of BUCKETS numbers, a scalar subquery's result
     mean = lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(llr, x.cast("int"))) / F.size(b)).otherwise(0.0)
@@ -107,10 +111,10 @@ def judge(docs: DataFrame, fitted: DataFrame, text_col: str = "text", threshold:
     def verdict(v: Column) -> Column:
         n, r = v["w"]["n_words"], v["w"]["n_repeat_words"]
         failed = (n < 20) | (r * 100 > n * 30)
-        return F.struct(n.alias("n_words"), v["word_chars"].alias("word_chars"), v["n_symbols"].alias("n_symbols"), v["n_dup_lines"].alias("n_dup_lines"), r.alias("n_repeat_words"), v["score"].alias("score"), failed.alias("base_failed"), (~failed & (v["score"] >= threshold)).alias("kept"))
+        return F.struct(n.alias("n_words"), v["word_chars"].alias("word_chars"), v["n_symbols"].alias("n_symbols"), v["n_dup_lines"].alias("n_dup_lines"), r.alias("n_repeat_words"), v["score"].alias("score"), failed.alias("base_failed"), (~failed & (v["score"] >= F.col("__least") - margin)).alias("kept"))
 
-    rows = spread(docs).withColumn("__llr", fitted.select("llr").scalar())
-    return rows.withColumn("verdict", let(parts, verdict)).drop("__llr")
+    rows = spread(docs).withColumn("__llr", fitted.select("llr").scalar()).withColumn("__least", fitted.select("least").scalar())
+    return rows.withColumn("verdict", let(parts, verdict)).drop("__llr", "__least")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
