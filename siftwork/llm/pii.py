@@ -12,7 +12,9 @@ become equal ones in every document, different ones stay different. The kinds an
 * date     YYYY-MM-DD, YYYY/MM/DD, YYYY.MM.DD, DD.MM.YYYY and MM/DD/YYYY of the calendar; permuted within its 400 years
            (a calendar cycle of 146097 = 189 * 773 days, so that the two halves fit exactly)
 
-Invalid values stay as they are. Null texts stay null, empty ones empty. Rows are independent; extra columns pass through, a
+Invalid values stay as they are. Where a match is not valid, or is a number of unusual groups that may hold a neighbour's digits,
+its line is looked through again from group to group (see `_lines` and `_gaps`), so that a valid number beside other digits or capitals is
+found. Null texts stay null, empty ones empty. Rows are independent; extra columns pass through, a
 column with the name of the result is replaced. The network has ROUNDS rounds whose function is SHA-256 over key, kind, round
 and the other half.
 """
@@ -42,6 +44,14 @@ ANY = "|".join(PATTERNS.values())
 #: Cheap test that keeps texts without digits and @ from the patterns.
 HINT = r"[0-9@]"
 DAYS = (189, 773)
+#: How cards are mostly written: groups of 4-4-4-4, 4-6-5 or 4-6-4, or none. Other groups count only where these don't.
+SHAPES = r"[2-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5}|[2-6][0-9]{12,18}"
+#: Lengths of IBANs by country.
+LENGTHS = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+#: Matches begin and end between atoms. WINDOW of them hold every number, and mail addresses of up to half as many labels.
+ATOM, WINDOW = "(?s)[0-9A-Za-z]+|[^0-9A-Za-z]", 200
+#: More digits behind + than a phone number has: its pattern may take some of a neighbour's.
+CROWDED = r"\+[0-9](?:[ .()-]{0,3}[0-9]){15,}"
 
 
 def feistel(values: Column, radix: Column, half: Column, key: Column, tweak: str) -> Column:
@@ -187,19 +197,117 @@ def _date(m: Column, key: Column) -> Column:
     return let(_date_of(m), moved)
 
 
+def _valid(kind: str, m: Column) -> Column:
+    """Is m, all of it, a valid value of the kind?"""
+    full = m.rlike(f"^(?:{PATTERNS[kind]})$")
+    if kind == "email":
+        return F.contains(m, F.lit("@"))
+    if kind == "iban":
+        flat = F.regexp_replace(m, "[ -]", "")
+        return full & (mod97(F.concat(flat.substr(F.lit(5), F.length(flat)), F.substring(flat, 1, 4))) == 1)
+    if kind == "date":
+        return full & _date_of(m).isNotNull()
+    if kind == "ssn":
+        return full & _ssn_ok(m)
+    if kind == "phone":
+        return full & F.length(_digits(m)).between(8, 15)
+    if kind == "ipv4":
+        return full & ~F.exists(F.split(m, r"\."), lambda x: (x.cast("int") > 255) | x.rlike("^0[0-9]"))
+    return full & F.call_function("luhn_check", _digits(m))
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a match of ANY that is valid, else null."""
-    full = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
-    flat = F.regexp_replace(m, "[ -]", "")
-    return (
-        F.when(F.contains(m, F.lit("@")), "email")
-        .when(m.rlike("^[A-Z]{2}"), F.when(full("iban") & (mod97(F.concat(flat.substr(F.lit(5), F.length(flat)), F.substring(flat, 1, 4))) == 1), "iban"))
-        .when(full("date"), F.when(_date_of(m).isNotNull(), "date"))
-        .when(full("ssn"), F.when(_ssn_ok(m), "ssn"))
-        .when(full("phone"), F.when(F.length(_digits(m)).between(8, 15), "phone"))
-        .when(full("ipv4"), F.when(~F.exists(F.split(m, r"\."), lambda x: (x.cast("int") > 255) | x.rlike("^0[0-9]")), "ipv4"))
-        .when(full("card"), F.when(F.call_function("luhn_check", _digits(m)), "card"))
-    )
+    return F.when(F.contains(m, F.lit("@")), "email").when(m.rlike("^[A-Z]{2}"), F.when(_valid("iban", m), "iban")).otherwise(F.coalesce(*[F.when(_valid(k, m), k) for k in KINDS if k not in ("email", "iban")]))
+
+
+def _country_length(m: Column) -> Column:
+    """How long IBANs of m's country are; null where unknown."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LENGTHS.items() for x in pair]), F.substring(m, 1, 2))
+
+
+_PIECES = "array<struct<kind:string,value:string>>"
+
+
+def _piece(kind, value) -> Column:
+    return F.struct((F.lit(None).cast("string") if kind is None else kind).alias("kind"), value.alias("value"))
+
+
+def _pieces(text: Column, begins: str, find) -> Column:
+    """array<struct<kind, value>>: text in order, parted at what find() sees at the start of a window behind its first character."""
+
+    def of(atoms: Column) -> Column:
+        joined = lambda at, n: F.array_join(F.slice(atoms, at + 1, n), "")
+
+        def step(state: Column, i: Column) -> Column:
+            window = F.concat(F.when(i > 0, F.get(atoms, i - 1)).otherwise("\n").substr(-1, 1), joined(i, F.lit(WINDOW)))
+            seen = F.when((i >= state["next"]) & F.get(atoms, i).rlike(begins), let(window, find))
+
+            def taken(value: Column) -> Column:
+                n = F.size(F.regexp_extract_all(value["value"], F.lit(ATOM), F.lit(0)))
+                hit = F.struct(i.alias("at"), (i + n).alias("to"), value["kind"].alias("kind"), value["value"].alias("value"))
+                return F.when(value.isNull(), state).otherwise(F.struct((i + n).alias("next"), F.concat(state["hits"], F.array(hit)).alias("hits")))
+
+            return let(seen, taken)
+
+        def parted(hits: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(hits, k)["to"], F.lit(0))
+            both = F.flatten(F.transform(hits, lambda h, k: F.array(_piece(None, joined(end(k - 1), h["at"] - end(k - 1))), _piece(h["kind"], h["value"]))))
+            last = end(F.size(hits) - 1)
+            return F.concat(both, F.array(_piece(None, joined(last, F.size(atoms) - last))))
+
+        none = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,to:int,kind:string,value:string>>").alias("hits"))
+        return let(F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(atoms) - 1, F.lit(0))), none, step)["hits"], parted)
+
+    return F.when(text == "", F.array(_piece(None, text))).otherwise(let(F.regexp_extract_all(text, F.lit(ATOM), F.lit(0)), of))
+
+
+def _sure(window: Column) -> Column:
+    """A card in one of SHAPES, or an IBAN of its country's length."""
+    card = F.regexp_extract(window, f"(?s)(?<=^.)(?:{SHAPES}){_W}", 0)
+    n = _country_length(window.substr(2, 2))
+    iban = F.call_function("regexp_extract", window, F.concat(F.lit("(?s)(?<=^.)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){"), (n - 4).cast("string"), F.lit(f"}}{_W}")), F.lit(0))
+    one = lambda kind, m: let(m, lambda x: F.when((x != "") & _valid(kind, x), _piece(F.lit(kind), x)))
+    return F.coalesce(one("card", card), F.when(n.isNotNull(), one("iban", iban)))
+
+
+def _any(window: Column) -> Column:
+    """A value of any kind, kinds by precedence. Numbers that can go on behind a separator are tried from long to short."""
+
+    def shorter(m: Column) -> Column:
+        return let(F.regexp_extract_all(m, F.lit(ATOM), F.lit(0)), lambda p: F.transform(F.sequence(F.size(p), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(p, F.lit(1), k), "")))
+
+    def options(kind: str, m: Column) -> Column:
+        if kind == "iban":  # a known country's are whole or none: _sure() has seen the right length
+            return F.when(_country_length(m).isNull(), shorter(m)).otherwise(F.array(m))
+        if kind == "card":
+            return F.concat(F.array(F.regexp_extract(m, rf"^[0-9]{{4}}([ -])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{4}}{_W}", 0)), shorter(m))
+        return shorter(m) if kind == "phone" else F.array(m)
+
+    def one(kind: str) -> Column:
+        found = F.regexp_extract(window, f"(?s)(?<=^.)(?:{PATTERNS[kind]})", 0)
+        best = lambda m: F.get(F.filter(options(kind, m), lambda x: (x != "") & _valid(kind, x)), 0)
+        return let(found, lambda m: F.when(m != "", let(best(m), lambda x: F.when(x.isNotNull(), _piece(F.lit(kind), x)))))
+
+    return F.coalesce(*map(one, KINDS))
+
+
+def _lines(text: Column) -> Column:
+    """array<struct<kind, value>> of a text, line by line: what is sure, and the gaps."""
+    line = lambda x: F.when(x.rlike(HINT), _pieces(x, "^(?:[2-6]|[A-Z]{2}[0-9]{2})", _sure)).otherwise(F.array(_piece(None, x)))
+    return F.flatten(F.transform(F.split(text, "\n", -1), lambda x, i: F.concat(F.when(i > 0, F.array(_piece(None, F.lit("\n")))).otherwise(F.array().cast(_PIECES)), line(x))))
+
+
+def _gaps(pieces: Column) -> Column:
+    """The same with values of all kinds told apart in the gaps."""
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull() & p["value"].rlike(HINT), _pieces(p["value"], "^[0-9A-Za-z(+._%-]", _any)).otherwise(F.array(p))))
+
+
+def _doubtful(found: Column) -> Column:
+    """Is a match invalid, or may it hold characters of a neighbour?"""
+    card = (found["kind"] == "card") & ~found["value"].rlike(f"^(?:{SHAPES})$")
+    iban = (found["kind"] == "iban") & (F.length(_flat(found["value"])) != _country_length(found["value"]))
+    return found["kind"].isNull() | card | F.coalesce(iban, F.lit(False))
 
 
 def pseudonym(m: Column, kind: Column, key: Column) -> Column:
@@ -216,25 +324,19 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     )
 
 
-def scrub(text: Column, key: str) -> Column:
-    """struct<text string, kinds array<string>>: the text with pseudonyms, and the kinds of what they replaced, in order."""
-    secret = F.lit(key)
-
-    def replaced(matches: Column) -> Column:
-        def whole(found: Column) -> Column:
-            gaps = F.split(text, ANY, -1)
-            after = F.concat(F.transform(found, lambda f: f["text"]), F.array(F.lit("")))
-            both = F.flatten(F.zip_with(gaps, after, lambda g, r: F.array(F.coalesce(g, F.lit("")), F.coalesce(r, F.lit("")))))
-            return F.struct(F.array_join(both, "").alias("text"), F.filter(F.transform(found, lambda f: f["kind"]), lambda k: k.isNotNull()).alias("kinds"))
-
-        return let(F.transform(matches, lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, secret).alias("text")))), whole)
-
-    none = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
-    return F.when(text.rlike(HINT), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.when(F.size(m) > 0, replaced(m)).otherwise(none))).otherwise(none)
-
-
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with text_col's values replaced, and pii_kinds array<string>."""
-    rows = spread(docs).withColumn("__pii", scrub(F.col(text_col), key))
+    text, found, pieces, secret = F.col(text_col), F.col("__found"), F.col("__pieces"), F.lit(key)
+    none = F.array().cast(_PIECES)
+    ends = F.concat(found, F.array(_piece(None, F.lit(""))))
+    plain = F.flatten(F.zip_with(F.split(text, ANY, -1), ends, lambda g, f: F.array(_piece(None, F.coalesce(g, F.lit(""))), f)))
+    put = lambda p: F.when(p["kind"].isNull(), p["value"]).otherwise(let(p["value"], lambda m: let(p["kind"], lambda k: pseudonym(m, k, secret))))
+    # one step after another: the analyzer doesn't resolve all of it nested
+    rows = spread(docs).withColumn("__found", F.when(text.rlike(HINT), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _piece(kind_of(m), m))).otherwise(none))
+    rows = rows.withColumn("__again", F.exists(found, _doubtful) | ((F.size(found) > 0) & text.rlike(CROWDED)))
+    rows = rows.withColumn("__pieces", F.when(F.col("__again"), _lines(text)).when(F.size(found) > 0, plain).otherwise(F.array(_piece(None, text))))
+    rows = rows.withColumn("__pieces", F.when(F.col("__again"), _gaps(pieces)).otherwise(pieces))
+    kinds = F.filter(F.transform(pieces, lambda p: p["kind"]), lambda k: k.isNotNull())
+    rows = rows.withColumn("__text", F.when(F.size(found) > 0, F.array_join(F.transform(pieces, put), "")).otherwise(text)).withColumn("__kinds", kinds)
     names = [c for c in docs.columns if c != "pii_kinds"]
-    return rows.select(*[F.col("__pii.text").alias(c) if c == text_col else F.col(c) for c in names], F.col("__pii.kinds").alias("pii_kinds"))
+    return rows.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in names], F.col("__kinds").alias("pii_kinds"))

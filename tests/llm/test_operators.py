@@ -200,6 +200,36 @@ def test_pii_leaves_the_rest(spark):
     assert a == b.replace("-", "") and same.pii_kinds == ["card", "card", "iban"]
 
 
+def test_pii_beside_other_digits(spark):
+    """Numbers that touch a neighbour across a separator: text, number in it, kinds; the rest stays, and all copies get one pseudonym."""
+    card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
+    around = ["{} 12/26", "{} 123", "{}-1234", "98765 {}", "98765 {} 12/26 123", "{} 42, or {} 7", "order 12-{} 2026", "a\n{} 12\nb", "1234 {} 00", "ID12 {} X"]
+    cards = [(a, c, ["card"] * a.count("{}")) for a in around for c in (card, card.replace(" ", "-"), card.replace(" ", ""), "3782 822463 10005")]
+    rows = [
+        *cards,
+        *[(a, i, ["iban"]) for a in ("{} USD 500", "{} EUR", "{} A1 B2", "AB12 {} X") for i in (iban, "DE89 3704 0044 0532 0130 00")],
+        *[(f"order 1234 {{}} {x}".rstrip(), "456-78-9012", ["ssn"]) for x in ("", "b")],
+        ("12345678 {}", "555-123-4567", ["phone"]),
+        (f"+49 30 123456 {{}}", card, ["phone", "card"]),
+        (f"+1 {{}}", card, ["card"]),
+        ("{} 10.0.0.1", card, ["card", "ipv4"]),
+        ("{} 12/26/2024", card, ["card", "date"]),
+        ("{} 12.ab@host.example.org", card, ["card", "email"]),
+        (f"{iban} {{}}", card, ["iban", "card"]),
+    ]
+    texts = [a.format(*[v] * a.count("{}")) for a, v, _ in rows]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, [(i, t, "s") for i, t in enumerate([*texts, "4111111111111111", iban])]), "k").collect()}
+    flat = lambda s: re.sub("[ -]", "", s)
+    alone = {flat(card): got[len(texts)].text, iban: got[len(texts) + 1].text}
+    for i, (a, v, kinds) in enumerate(rows):
+        assert got[i].pii_kinds == kinds, texts[i]
+        assert v not in got[i].text and len(got[i].text) == len(texts[i])
+        at = texts[i].index(v)
+        assert flat(got[i].text[at : at + len(v)]) == alone.get(flat(v), flat(got[i].text[at : at + len(v)])), texts[i]
+        if len(set(kinds)) == 1:
+            assert got[i].text.replace(got[i].text[at : at + len(v)], v) == texts[i]
+
+
 def base_counts(text):
     t = text or ""
     w = tokens_of(t)
