@@ -16,17 +16,26 @@ from . import contain, recognize
 #: In the order in which the first violation is looked for.
 ORDER = ("SCHEMA_CONFORMANCE", "REGISTRY_SCAN", "TYPE_BRAND", "ENTROPY_HEURISTIC", "SIZE_BUDGET", "RATE_LIMIT", "DESTINATION_PIN")
 
+#: Characters of a secret that give it away.
+GRAM = 8
+
 
 def violation(rows: DataFrame, code: str) -> DataFrame:
     """rows(payload_id) as violations of a kind, each payload once."""
     return rows.select("payload_id").distinct().select("payload_id", F.lit(ORDER.index(code)).alias("seq"), F.lit(code).alias("code"))
 
 
-def registry_scan(strings: DataFrame, registry: DataFrame) -> DataFrame:
-    """Violations of strings(payload_id, value) that hold a secret of registry(secret) in any encoding."""
+def registry_scan(strings: DataFrame, registry: DataFrame, fragments: bool = True) -> DataFrame:
+    """Violations of strings(payload_id, value) that hold a secret of registry(secret, or secret and tier) in any encoding, or any run of GRAM characters of a secret of tier 1 or 2. Secrets without a tier count as such. fragments=False: whole secrets only."""
     forms = registry.select(F.explode(F.array_union(F.array("secret"), T.encodings(F.col("secret")))).alias("pattern"))
     texts = strings.select("payload_id", T.normalize(F.regexp_replace("value", "⟦[A-Z_]+(?:#[0-9]+)?⟧", " ")).alias("text"))
-    return violation(contain.search(texts, forms, "payload_id"), "REGISTRY_SCAN")
+    found = contain.search(texts, forms, "payload_id").select("payload_id")
+    if fragments:
+        secrets = registry.where(F.coalesce(F.col("tier"), F.lit(1)) <= 2) if "tier" in registry.columns else registry
+        grams = lambda text: F.explode(F.array_distinct(T.grams(text, GRAM))).alias("g")
+        known = secrets.select(grams(T.normalize(F.col("secret")))).distinct()
+        found = found.unionByName(texts.select("payload_id", grams(F.col("text"))).join(known, "g", "left_semi").select("payload_id"))
+    return violation(found, "REGISTRY_SCAN")
 
 
 def sweep(strings: DataFrame, names=tuple(recognize.RECOGNIZERS)) -> DataFrame:

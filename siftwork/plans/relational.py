@@ -244,6 +244,21 @@ def ngram_overlap(spark, sf_dir):
     return contain.shared_grams(read(spark, sf_dir, "documents").select("doc_id", "text"), items, "doc_id", n=24).select("doc_id").distinct()
 
 
+@query()
+def ngram_matches_8(spark, sf_dir):
+    """ngram_matches at the n of the gate, too much for a twin."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("secret"))
+    found = contain.shared_grams(read(spark, sf_dir, "documents").select("doc_id", "text"), items.select("secret").distinct(), "doc_id")
+    return found.join(items, "secret").select("doc_id", "item_id", "n_shared")
+
+
+@query()
+def ngram_overlap_8(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(T.grams(F.col("text"), 8))).alias("g")).distinct()
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.grams(F.col("text"), 8))).alias("g"))
+    return docs.join(items, "g", "left_semi").select("doc_id").distinct()
+
+
 @query("""WITH p AS (SELECT DISTINCT w AS pattern FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{11,}')) AS w FROM benchmark)) SELECT doc_id, pattern, (strpos(text, pattern) - 1)::BIGINT AS first_start FROM documents JOIN p ON contains(text, pattern)""")
 def ac_search(spark, sf_dir):
     """Long words of the benchmark in documents: the first place of each."""

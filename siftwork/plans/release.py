@@ -31,6 +31,12 @@ def strings(spark, sf_dir):
 
 
 def gate_registry(spark, sf_dir):
+    whole = payloads(spark, sf_dir).withColumnRenamed("body", "value")
+    return gate.registry_scan(whole, registry(spark, sf_dir), fragments=False).select("payload_id", "code")
+
+
+def gate_registry_whole(spark, sf_dir):
+    """gate_registry with fragments of secrets."""
     whole = payloads(spark, sf_dir).withColumnRenamed("body", "value")
     return gate.registry_scan(whole, registry(spark, sf_dir)).select("payload_id", "code")
 
@@ -40,6 +46,13 @@ def gate_sweep(spark, sf_dir):
 
 
 def gate_verdict(spark, sf_dir):
+    p = payloads(spark, sf_dir)
+    whole = p.withColumnRenamed("body", "value")
+    return gate.verdicts(p, gate.registry_scan(whole, registry(spark, sf_dir), fragments=False), gate.sweep(whole, _NAMES), gate.entropy(strings(spark, sf_dir)), gate.size(p, LIMIT))
+
+
+def gate_verdict_whole(spark, sf_dir):
+    """gate_verdict with fragments of secrets."""
     p = payloads(spark, sf_dir)
     whole = p.withColumnRenamed("body", "value")
     return gate.verdicts(p, gate.registry_scan(whole, registry(spark, sf_dir)), gate.sweep(whole, _NAMES), gate.entropy(strings(spark, sf_dir)), gate.size(p, LIMIT))
@@ -123,7 +136,7 @@ def span_f1(spark, sf_dir):
     return metrics.matched(shaped, valid)
 
 
-QUERIES = {f.__name__: f for f in (gate_registry, gate_sweep, gate_verdict, gate_destination, literal_scan, payload_scan, handle_consistency, score_privacy, mlp_forward, ablation, json_strings, perf_delta, span_f1)}
+QUERIES = {f.__name__: f for f in (gate_registry, gate_registry_whole, gate_sweep, gate_verdict, gate_verdict_whole, gate_destination, literal_scan, payload_scan, handle_consistency, score_privacy, mlp_forward, ablation, json_strings, perf_delta, span_f1)}
 _P = "probe AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 _REG = "g AS (SELECT DISTINCT doc_id AS payload_id FROM documents JOIN s ON contains(lower(text), secret))"
 _SWEEP = f"{_P}, {', '.join(map(found_sql, _NAMES))}, w AS (SELECT DISTINCT doc_id AS payload_id FROM ({' UNION ALL '.join(f'SELECT doc_id FROM {n}' for n in _NAMES)}))"
