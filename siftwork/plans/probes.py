@@ -105,21 +105,31 @@ def _recognizer(name: str):
     return run
 
 
-def rec_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recognize.detect(probe(spark, sf_dir), "doc_id", "text", tuple(RULES))
+def rec_text_all(spark: SparkSession, sf_dir: str, names=tuple(RULES)) -> DataFrame:
+    """Of the recognizers that have a twin."""
+    found = recognize.detect(probe(spark, sf_dir), "doc_id", "text", names)
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").cast("long").alias("starts"), F.count_if(F.col("tier") < 3).alias("identifiers"))
 
 
-def rec_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recognize.detect(probe(spark, sf_dir), "doc_id", "text", tuple(RULES))
+def rec_detect_all(spark: SparkSession, sf_dir: str, names=tuple(RULES)) -> DataFrame:
+    found = recognize.detect(probe(spark, sf_dir), "doc_id", "text", names)
     return found.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first_start"))
 
 
+def rec_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all recognizers; secrets and compressed addresses can't be told in SQL."""
+    return rec_text_all(spark, sf_dir, tuple(recognize.RECOGNIZERS))
+
+
+def rec_detect_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rec_detect_all(spark, sf_dir, tuple(recognize.RECOGNIZERS))
+
+
 def _union_sql() -> str:
     return "WITH " + ",\n".join([probe_sql(), *map(found_sql, RULES)]) + ",\nevery AS (" + " UNION ALL ".join(f"SELECT * FROM {n}" for n in RULES) + ")"
 
 
-QUERIES = {f"rec_{n}": _recognizer(n) for n in recognize.RECOGNIZERS} | {"rec_text_all": rec_text_all, "rec_detect_all": rec_detect_all}
+QUERIES = {f"rec_{n}": _recognizer(n) for n in recognize.RECOGNIZERS} | {"rec_text_all": rec_text_all, "rec_detect_all": rec_detect_all, "rec_text_whole": rec_text_whole, "rec_detect_whole": rec_detect_whole}
 ORACLES = {f"rec_{n}": f"WITH {probe_sql()},\n{found_sql(n)}\nSELECT * FROM {n}" for n in RULES} | {
     "rec_text_all": _union_sql() + ' SELECT doc_id, count(*)::BIGINT AS n, sum("start")::BIGINT AS starts, count(*) FILTER (tier < 3)::BIGINT AS identifiers FROM every GROUP BY doc_id',
     "rec_detect_all": _union_sql() + ' SELECT doc_id, type, count(*)::BIGINT AS n, min("start")::BIGINT AS first_start FROM every GROUP BY doc_id, type',

@@ -45,6 +45,11 @@ def gate_sweep(spark, sf_dir):
     return gate.sweep(payloads(spark, sf_dir).withColumnRenamed("body", "value"), _NAMES).select("payload_id", "code")
 
 
+def gate_sweep_whole(spark, sf_dir):
+    """gate_sweep with all recognizers."""
+    return gate.sweep(payloads(spark, sf_dir).withColumnRenamed("body", "value")).select("payload_id", "code")
+
+
 def gate_verdict(spark, sf_dir):
     p = payloads(spark, sf_dir)
     whole = p.withColumnRenamed("body", "value")
@@ -52,10 +57,10 @@ def gate_verdict(spark, sf_dir):
 
 
 def gate_verdict_whole(spark, sf_dir):
-    """gate_verdict with fragments of secrets."""
+    """gate_verdict with fragments of secrets and all recognizers."""
     p = payloads(spark, sf_dir)
     whole = p.withColumnRenamed("body", "value")
-    return gate.verdicts(p, gate.registry_scan(whole, registry(spark, sf_dir)), gate.sweep(whole, _NAMES), gate.entropy(strings(spark, sf_dir)), gate.size(p, LIMIT))
+    return gate.verdicts(p, gate.registry_scan(whole, registry(spark, sf_dir)), gate.sweep(whole), gate.entropy(strings(spark, sf_dir)), gate.size(p, LIMIT))
 
 
 def gate_destination(spark, sf_dir):
@@ -136,7 +141,7 @@ def span_f1(spark, sf_dir):
     return metrics.matched(shaped, valid)
 
 
-QUERIES = {f.__name__: f for f in (gate_registry, gate_registry_whole, gate_sweep, gate_verdict, gate_verdict_whole, gate_destination, literal_scan, payload_scan, handle_consistency, score_privacy, mlp_forward, ablation, json_strings, perf_delta, span_f1)}
+QUERIES = {f.__name__: f for f in (gate_registry, gate_registry_whole, gate_sweep, gate_sweep_whole, gate_verdict, gate_verdict_whole, gate_destination, literal_scan, payload_scan, handle_consistency, score_privacy, mlp_forward, ablation, json_strings, perf_delta, span_f1)}
 _P = "probe AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 _REG = "g AS (SELECT DISTINCT doc_id AS payload_id FROM documents JOIN s ON contains(lower(text), secret))"
 _SWEEP = f"{_P}, {', '.join(map(found_sql, _NAMES))}, w AS (SELECT DISTINCT doc_id AS payload_id FROM ({' UNION ALL '.join(f'SELECT doc_id FROM {n}' for n in _NAMES)}))"

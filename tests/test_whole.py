@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.operators import gate
-from siftwork.plans import relational, release
+from siftwork.operators import gate, recognize
+from siftwork.plans import probes, relational, release
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +40,18 @@ def test_shared_grams_of_eight(spark, write):
     assert sorted(r.doc_id for r in relational.ngram_overlap_8(spark, sf).collect()) == [1, 4]
     secret = {r.payload_id for r in release.gate_registry_whole(spark, write(documents=([(1, "s", "a tremendo b"), (2, "s", "tremend")], "doc_id long, source string, text string"), benchmark=([(1, "tremendously")], "item_id long, text string"))).collect()}
     assert secret == {1}
+
+
+def test_all_recognizers(spark, sf_dir, write):
+    texts = ["user@zmail.in", "+91 9876543210", "ABCDE1234F", "2345 6789 0124", "rahul.123@okhdfcbank", "sk_live_abcdEFGH12345678", "5555555555554444", "nothing here", None]
+    sf = write(documents=([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string"), benchmark=([(1, "unmentioned")], "item_id long, text string"))
+    assert {r.payload_id for r in release.gate_sweep_whole(spark, sf).collect()} == set(range(7))
+    verdict = {r.payload_id: r.code for r in release.gate_verdict_whole(spark, sf).collect()}
+    assert verdict == {i: "TYPE_BRAND" if i < 7 else None for i in range(9)}
+    rows = probes.probe(spark, sf_dir)
+    each = [(r.doc_id, r.start, r.type, r.tier) for n in recognize.RECOGNIZERS for r in recognize.detect(rows, "doc_id", "text", (n,)).collect()]
+    got = {r.doc_id: (r.n, r.starts, r.identifiers) for r in probes.rec_text_whole(spark, sf_dir).collect()}
+    assert got == {d: (len(x := [e for e in each if e[0] == d]), sum(e[1] for e in x), sum(e[3] < 3 for e in x)) for d in {e[0] for e in each}}
+    kinds = {(r.doc_id, r.type): (r.n, r.first_start) for r in probes.rec_detect_whole(spark, sf_dir).collect()}
+    assert kinds == {k: (len(x := [e[1] for e in each if (e[0], e[2]) == k]), min(x)) for k in {(e[0], e[2]) for e in each}}
+    assert any(t == "SECRET" for _, t in kinds)
