@@ -27,13 +27,14 @@ def violation(rows: DataFrame, code: str) -> DataFrame:
 
 def registry_scan(strings: DataFrame, registry: DataFrame, fragments: bool = True) -> DataFrame:
     """Violations of strings(payload_id, value) that hold a secret of registry(secret, or secret and tier) in any encoding, or any run of GRAM characters of a secret of tier 1 or 2. Secrets without a tier count as such. fragments=False: whole secrets only."""
-    forms = registry.select(F.explode(F.array_union(F.array("secret"), T.encodings(F.col("secret")))).alias("pattern"))
-    texts = strings.select("payload_id", T.normalize(F.regexp_replace("value", "⟦[A-Z_]+(?:#[0-9]+)?⟧", " ")).alias("text"))
+    normal = registry.select("secret", T.normalize_any()(F.col("secret")).alias("norm"))
+    forms = normal.select(F.explode(F.array_union(F.array("secret", "norm"), F.array_union(T.encodings(F.col("secret")), T.encodings(F.col("norm"))))).alias("pattern"))
+    texts = strings.select("payload_id", T.normalize_any()(F.regexp_replace("value", "⟦[A-Z_]+(?:#[0-9]+)?⟧", " ")).alias("text"))
     found = contain.search(texts, forms, "payload_id").select("payload_id")
     if fragments:
         secrets = registry.where(F.coalesce(F.col("tier"), F.lit(1)) <= 2) if "tier" in registry.columns else registry
         grams = lambda text: F.explode(F.array_distinct(T.grams(text, GRAM))).alias("g")
-        known = secrets.select(grams(T.normalize(F.col("secret")))).distinct()
+        known = secrets.select(T.normalize_any()(F.col("secret")).alias("secret")).select(grams(F.col("secret"))).distinct()
         found = found.unionByName(texts.select("payload_id", grams(F.col("text"))).join(known, "g", "left_semi").select("payload_id"))
     return violation(found, "REGISTRY_SCAN")
 
@@ -79,10 +80,13 @@ def payload_scan(payload: Column, value: Column, least: int = 4) -> Column:
 
 def literal_scan(texts: DataFrame, registry: DataFrame) -> DataFrame:
     """(payload_id, secret) of texts(payload_id, value) that hold a secret in any encoding or over 70 % of its runs of eight characters."""
-    norm = texts.select("payload_id", T.normalize(F.col("value")).alias("text"))
-    forms = registry.select("secret", F.explode(F.array_union(F.array("secret"), T.encodings(F.col("secret")))).alias("pattern"))
+    nfkc = T.normalize_any()
+    norm = texts.select("payload_id", nfkc(F.col("value")).alias("text"))
+    normal = registry.select("secret", nfkc(F.col("secret")).alias("norm"))
+    forms = normal.select("secret", F.explode(F.array_union(F.array("secret", "norm"), F.array_union(T.encodings(F.col("secret")), T.encodings(F.col("norm"))))).alias("pattern"))
     whole = contain.search(norm, forms, "payload_id").select("payload_id", "pattern").distinct().join(forms, "pattern").select("payload_id", "secret")
-    part = contain.shared_grams(norm, registry, "payload_id").where("n_shared > 0.7 * n_grams").select("payload_id", "secret")
+    near = contain.shared_grams(norm, normal.select(F.col("norm").alias("secret")).distinct(), "payload_id").where("n_shared > 0.7 * n_grams")
+    part = near.select("payload_id", F.col("secret").alias("norm")).join(normal, "norm").select("payload_id", "secret")
     return whole.unionByName(part).distinct()
 
 
@@ -95,8 +99,9 @@ def handle_consistency(used: DataFrame, declared: DataFrame) -> DataFrame:
 
 def leakage(released: DataFrame, truth: DataFrame) -> DataFrame:
     """(run, n, leaked, tier1) of truth(run, value, tier): how many values stand, normalized, in released(run, body). Values under SEED characters can't be looked up and don't count."""
-    values = truth.select("run", T.normalize(F.col("value")).alias("pattern"), "tier").where(F.length("pattern") >= contain.SEED).distinct()
-    bodies = released.select("run", T.normalize(F.col("body")).alias("text"))
+    nfkc = T.normalize_any()
+    values = truth.select("run", nfkc(F.col("value")).alias("pattern"), "tier").where(F.length("pattern") >= contain.SEED).distinct()
+    bodies = released.select("run", nfkc(F.col("body")).alias("text"))
     found = contain.search(bodies, values, "run").select("run", "pattern").distinct().withColumn("hit", F.lit(True))
     out = values.join(found, ["run", "pattern"], "left")
     return out.groupBy("run").agg(F.count("*").alias("n"), F.count_if("hit").alias("leaked"), F.count_if(F.col("hit") & (F.col("tier") == 1)).alias("tier1"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwork import schema
-from siftwork.functions.text import normalize
+from siftwork.functions.text import normalize_any
 
 LEFT, RIGHT = "⟦", "⟧"
 HANDLE = r"^⟦[A-Z_]+(#[0-9]+)?⟧$"
@@ -20,7 +20,7 @@ def handle(kind: Column, tier: Column, index: Column) -> Column:
 
 def numbered(values: DataFrame) -> DataFrame:
     """(session, key, kind, tier, index, handle) for values(session, ord, value, type, tier): each normalized value once, by first appearance, with its first type. Values are pre-aggregated before they are ranked."""
-    first = values.withColumn("key", normalize(F.col("value"))).groupBy("session", "key").agg(F.min(F.struct("ord", "type", "tier")).alias("f"))
+    first = values.withColumn("key", normalize_any()(F.col("value"))).groupBy("session", "key").agg(F.min(F.struct("ord", "type", "tier")).alias("f"))
     index = F.row_number().over(W.partitionBy("session").orderBy("f.ord", "key"))
     out = first.select("session", "key", F.col("f.type").alias("kind"), F.col("f.tier").alias("tier"), F.col("f.ord").alias("first_ord"), index.alias("index"))
     return out.withColumn("handle", handle(F.col("kind"), F.col("tier"), F.col("index")))

@@ -191,7 +191,7 @@ def substitute(spark, sf_dir):
     """Documents with the values of their own source that they hold replaced by handles."""
     handles = session.numbered(_values(spark, sf_dir))
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.select("source", "doc_id", F.explode(recognize.recognize(F.col("text"), _NAMES)).alias("s")).select("doc_id", F.col("source").alias("session"), F.col("s.value").alias("value"), T.normalize(F.col("s.value")).alias("key"))
+    own = docs.select("source", "doc_id", F.explode(recognize.recognize(F.col("text"), _NAMES)).alias("s")).select("doc_id", F.col("source").alias("session"), F.col("s.value").alias("value"), T.normalize_any()(F.col("s.value")).alias("key"))
     pairs = own.join(handles, ["session", "key"]).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("value", "handle"))).alias("pairs"))
     out = docs.join(pairs, "doc_id", "left")
     return out.select("doc_id", F.when(F.col("pairs").isNotNull(), session.substitute(F.col("text"), F.col("pairs"))).otherwise(F.col("text")).alias("text"))
@@ -200,7 +200,7 @@ def substitute(spark, sf_dir):
 @query(f"{_VALUES} SELECT kind AS type, min(tier)::INTEGER AS tier, count(*)::BIGINT AS n, sum(c)::BIGINT AS occurrences FROM t JOIN (SELECT session, key, count(*) AS c FROM v GROUP BY ALL) USING (session, key) GROUP BY 1")
 def handle_summary(spark, sf_dir):
     values = _values(spark, sf_dir)
-    times = values.groupBy("session", T.normalize(F.col("value")).alias("key")).agg(F.count("*").alias("occurrences"))
+    times = values.withColumn("key", T.normalize_any()(F.col("value"))).groupBy("session", "key").agg(F.count("*").alias("occurrences"))
     return session.summarize(session.numbered(values).select("session", "key", F.col("kind").alias("type"), "tier").join(times, ["session", "key"]))
 
 
@@ -211,6 +211,13 @@ def normalize(spark, sf_dir):
     return c.select("conv_id", "turn", "role", T.normalize(F.col("text")).alias("text"), T.normalize_numeric(F.col("text")).alias("plain"))
 
 
+@query()
+def normalize_whole(spark, sf_dir):
+    """normalize over all turns, behind NFKC, which SQL doesn't have."""
+    c = read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", "role", T.normalize_any()(F.col("text")).alias("text"), T.normalize_numeric(F.col("text")).alias("plain"))
+
+
 _ESC = "replace(replace(replace(replace(replace(url_encode({}), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')"
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.operators import gate, recognize
+from siftwork.operators import gate, recognize, session
 from siftwork.plans import probes, relational, release
 
 
@@ -55,3 +55,18 @@ def test_all_recognizers(spark, sf_dir, write):
     kinds = {(r.doc_id, r.type): (r.n, r.first_start) for r in probes.rec_detect_whole(spark, sf_dir).collect()}
     assert kinds == {k: (len(x := [e[1] for e in each if (e[0], e[2]) == k]), min(x)) for k in {(e[0], e[2]) for e in each}}
     assert any(t == "SECRET" for _, t in kinds)
+
+
+def test_compatibility_forms(spark, write):
+    wide = "４１１１１１１１１１１１１１１１"
+    turns = [("ＡＢ c\u00a0 d", "ab c d"), ("é É", "é é"), (None, None), ("Plain  x", "plain x"), (wide, "4" + "1" * 15)]
+    sf = write(conversations=([(i, 0, "user", t) for i, (t, _) in enumerate(turns)], "conv_id long, turn int, role string, text string"))
+    assert {r.conv_id: r.text for r in relational.normalize_whole(spark, sf).collect()} == {i: t for i, (_, t) in enumerate(turns)}
+    secrets = spark.createDataFrame([("4" + "1" * 15,), ("ｓｅｃｒｅｔｗｏｒｄ",)], "secret string")
+    strings = spark.createDataFrame([(1, f"x {wide} y"), (2, "a secretword b"), (3, "none")], "payload_id int, value string")
+    assert {r.payload_id for r in gate.registry_scan(strings, secrets, fragments=False).collect()} == {1, 2}
+    assert {(r.payload_id, r.secret) for r in gate.literal_scan(strings, secrets).collect()} == {(1, "4" + "1" * 15), (2, "ｓｅｃｒｅｔｗｏｒｄ")}
+    leaks = gate.leakage(spark.createDataFrame([("r", wide)], "run string, body string"), spark.createDataFrame([("r", "4" + "1" * 15, 1)], "run string, value string, tier int"))
+    assert leaks.first().leaked == 1
+    values = spark.createDataFrame([("s", 1, wide, "CARD", 2), ("s", 2, "4" + "1" * 15, "CARD", 2)], "session string, ord long, value string, type string, tier int")
+    assert session.numbered(values).count() == 1
