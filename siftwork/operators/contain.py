@@ -10,17 +10,29 @@ from siftwork.functions.text import grams
 SEED = 6
 
 
-def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str = "text", pattern_col: str = "pattern") -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, on: str, within: str | None) -> DataFrame:
+    """An equi-join on a column and, where null is a value like others, a second one."""
+    if not within:
+        return left.join(right, on)
+    a, b = left.alias("a"), right.alias("b")
+    both = (F.col(f"a.{on}") == F.col(f"b.{on}")) & F.col(f"a.{within}").eqNullSafe(F.col(f"b.{within}"))
+    return a.join(b, both).select("a.*", *[f"b.{c}" for c in right.columns if c not in (on, within)])
+
+
+def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str = "text", pattern_col: str = "pattern", within: str | None = None) -> DataFrame:
     """(key, pattern, start, end): all places of all patterns of SEED characters or more, overlapping ones too.
 
     A pattern can only begin where its first SEED characters do: the runs of SEED characters of each text, distinct, meet the seeds in
     an equi-join, and the whole pattern is then compared at every place. Exact and complete at any number of patterns.
+    within: a column of both tables, and then of the result; patterns are looked for in texts with the same value (nulls are the same) only.
     """
-    seeds = patterns.select(F.col(pattern_col).alias("pattern")).where(F.length("pattern") >= SEED).distinct().withColumn("seed", F.substring("pattern", 1, SEED))
+    part = [within] if within else []
+    seeds = patterns.select(*part, F.col(pattern_col).alias("pattern")).where(F.length("pattern") >= SEED).distinct().withColumn("seed", F.substring("pattern", 1, SEED))
     # only hashes of the texts travel with their many runs; equal texts are gone through once
-    rows = texts.select(F.col(key), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__h"))
-    meet = rows.select("__h", F.explode(F.array_distinct(grams(F.col("text"), SEED))).alias("seed")).join(seeds, "seed").select("__h", "pattern").distinct()
-    found = rows.join(meet, "__h").where(F.contains("text", "pattern")).select(key, "text", "pattern").distinct()
+    rows = texts.select(F.col(key), *part, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__h"))
+    runs = rows.select("__h", *part, F.explode(F.array_distinct(grams(F.col("text"), SEED))).alias("seed"))
+    meet = _join(runs, seeds, "seed", within).select("__h", *part, "pattern").distinct()
+    found = _join(rows, meet, "__h", within).where(F.contains("text", "pattern")).select(key, *part, "text", "pattern").distinct()
     # lengths of what stands before each place give the offsets
     ahead = F.concat(F.lit("(?s)(?=\\Q"), F.replace("pattern", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     cuts = found.withColumn("cuts", F.split("text", ahead, -1)).withColumn("begins", F.startswith("text", "pattern"))
@@ -28,7 +40,7 @@ def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str
     # a split drops the empty piece in front of a match at the start
     inner = F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), upto)
     starts = F.concat(F.when(F.col("begins"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.when(F.size("cuts") > 1, inner).otherwise(F.array().cast("array<int>")))
-    return cuts.select(key, "pattern", F.explode(F.array_distinct(starts)).alias("start")).withColumn("end", F.col("start") + F.length("pattern"))
+    return cuts.select(key, *part, "pattern", F.explode(F.array_distinct(starts)).alias("start")).withColumn("end", F.col("start") + F.length("pattern"))
 
 
 def shared_grams(texts: DataFrame, secrets: DataFrame, key: str = "id", text_col: str = "text", secret_col: str = "secret", n: int = 8) -> DataFrame:

@@ -70,3 +70,13 @@ def test_compatibility_forms(spark, write):
     assert leaks.first().leaked == 1
     values = spark.createDataFrame([("s", 1, wide, "CARD", 2), ("s", 2, "4" + "1" * 15, "CARD", 2)], "session string, ord long, value string, type string, tier int")
     assert session.numbered(values).count() == 1
+
+
+def test_substitute_takes_what_the_session_knows(spark, write):
+    card = "4532015112830366"
+    docs = [(1, "a", f"pay {card} now"), (2, "a", f"Order ID: {card}"), (3, "b", f"Order ID: {card}"), (4, "a", "Mail USER@zmail.in and user@zmail.in"), (5, None, f"pay {card}"), (6, None, f"Order ID: {card}"), (7, "a", None)]
+    got = {r.doc_id: r.text for r in relational.substitute(spark, write(documents=(docs, "doc_id long, source string, text string"))).collect()}
+    assert len(got) == 7 and got[3] == docs[2][2] and got[7] == ""
+    assert got[2] == "Order ID: " + got[1][4:-4] and "⟦CARD" in got[2]
+    assert got[6] == "Order ID: " + got[5][4:] and "⟦CARD" in got[6]
+    assert got[4].count("⟦EMAIL#") == 2 and "zmail" not in got[4]
