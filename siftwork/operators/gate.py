@@ -103,7 +103,8 @@ def leakage(released: DataFrame, truth: DataFrame) -> DataFrame:
     values = truth.select("run", nfkc(F.col("value")).alias("pattern"), "tier").where(F.length("pattern") >= contain.SEED).distinct()
     bodies = released.select("run", nfkc(F.col("body")).alias("text"))
     found = contain.search(bodies, values, "run").select("run", "pattern").distinct().withColumn("hit", F.lit(True))
-    out = values.join(found, ["run", "pattern"], "left")
+    same = F.col("v.run").eqNullSafe(F.col("f.run")) & (F.col("v.pattern") == F.col("f.pattern"))
+    out = values.alias("v").join(found.alias("f"), same, "left").select("v.*", "f.hit")
     return out.groupBy("run").agg(F.count("*").alias("n"), F.count_if("hit").alias("leaked"), F.count_if(F.col("hit") & (F.col("tier") == 1)).alias("tier1"))
 
 

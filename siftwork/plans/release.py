@@ -90,7 +90,7 @@ def score_privacy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("run"), F.coalesce("text", F.lit("")).alias("body"))
     runs = docs.select("run").distinct()
     truth = registry(spark, sf_dir).withColumnRenamed("secret", "value").withColumn("tier", F.when(F.length("value") > 12, 1).otherwise(2))
-    named = truth.withColumn("run", F.explode(F.array(*[F.lit(f"src{k}") for k in range(20)]))).join(runs, "run")
+    named = truth.crossJoin(F.broadcast(runs))
     return gate.leakage(docs, named)
 
 
@@ -135,9 +135,8 @@ def span_f1(spark, sf_dir):
     from siftwork.functions.text import spans
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    some = docs.where(F.col("text").rlike("[0-9]{13}"))
-    shaped = some.select("doc_id", F.posexplode(spans(F.col("text"), schema.PATTERNS["card"])).alias("ord", "s")).select("doc_id", "ord", "s.start", "s.end", F.lit("CARD").alias("type"))
-    valid = some.select("doc_id", F.posexplode(recognize.card(F.col("text"))).alias("ord", "s")).select("doc_id", "ord", "s.start", "s.end", F.lit("CARD").alias("type"))
+    shaped = docs.select("doc_id", F.posexplode(spans(F.col("text"), schema.PATTERNS["card"])).alias("ord", "s")).select("doc_id", "ord", "s.start", "s.end", F.lit("CARD").alias("type"))
+    valid = docs.select("doc_id", F.posexplode(recognize.card(F.col("text"))).alias("ord", "s")).select("doc_id", "ord", "s.start", "s.end", F.lit("CARD").alias("type"))
     return metrics.matched(shaped, valid)
 
 

@@ -80,3 +80,10 @@ def test_substitute_takes_what_the_session_knows(spark, write):
     assert got[2] == "Order ID: " + got[1][4:-4] and "⟦CARD" in got[2]
     assert got[6] == "Order ID: " + got[5][4:] and "⟦CARD" in got[6]
     assert got[4].count("⟦EMAIL#") == 2 and "zmail" not in got[4]
+
+
+def test_scores_take_all_documents(spark, write):
+    docs = [(1, "src1", "a 5555-5555-5555-4444 b"), (2, "elsewhere", "tremendously 4532015112830366"), (3, None, "x tremendously")]
+    sf = write(documents=(docs, "doc_id long, source string, text string"), benchmark=([(1, "tremendously")], "item_id long, text string"))
+    assert {r.doc_id for r in release.span_f1(spark, sf).collect()} == {1, 2}
+    assert {r.run: (r.n, r.leaked) for r in release.score_privacy(spark, sf).collect()} == {"src1": (1, 0), "elsewhere": (1, 1), None: (1, 1)}
