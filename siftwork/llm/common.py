@@ -19,18 +19,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_own: dict[str, str] = {}
+_tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Where that isn't set, a local master, whose
+    executors are this process, gets a folder of its own, and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="siftwork-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="siftwork-")
+            atexit.register(shutil.rmtree, _own[context.applicationId], True)
+        found = _own[context.applicationId]
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -43,14 +54,52 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _tables:
+        _tables.remove(path)
+
+
+def mark() -> int:
+    """How many tables of cut() and folders of new_path() there are, for sweep()."""
+    return len(_tables)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete what was written since mark() but the tables to keep, once what read it has been written itself."""
+    kept = {getattr(df, "_siftwork_path", None) for df in keep}
+    for path in _tables[since:]:
+        if path not in kept:
+            _delete(spark, path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote and that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_siftwork_path", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+#: A key's rows are dealt into parts where it has more than one in PARTS of all rows, and more than LEAST.
+PARTS, LEAST = 10_000, 512
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, n: int, sizes: DataFrame, how: str = "inner") -> DataFrame:
+    """many.join(one, key), where any share of many's rows may have the same key. `one` has a row for each key at most, n is the
+    number of many's rows and sizes(key, n) counts them by key.
+
+    Keys of more rows than a limit, PARTS of them at most, which is what bounds the broadcast, are dealt into parts, and their row of `one` is repeated for each part.
+    Rows with a null key are dealt out as well; a left join keeps them.
+    """
+    limit = max(LEAST, n // PARTS)
+    heavy = F.broadcast(sizes.where(F.col("n") > limit).select(F.col(key).alias("__heavy"), F.ceil(F.col("n") / limit).cast("long").alias("__parts")))
+    dealt = F.pmod(F.xxhash64(*many.columns), F.coalesce("__parts", F.when(F.col(key).isNull(), F.lit(1 << 20)).otherwise(F.lit(1)).cast("long")))
+    left = many.join(heavy, F.col(key) == F.col("__heavy"), "left").select(*many.columns, dealt.alias("__part"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1).cast("long")) - 1))
+    right = one.join(heavy, F.col(key) == F.col("__heavy"), "left").select(*one.columns, each.alias("__part"))
+    return left.join(right, [key, "__part"], how).drop("__part")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -75,14 +124,14 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node that it reaches.
 
     Alternating star contraction (Kiveris et al. 2014): each pass is an aggregation of a minimum and a join, so that a
-    node with very many neighbours is pre-aggregated and no group is gathered. Nodes without edges are not returned.
+    node with very many neighbours is pre-aggregated and its rows are dealt into parts; no group is gathered. Nodes without edges are not returned.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, low.drop("n"), "a", 2 * now.count(), low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         after = cut(small, name)

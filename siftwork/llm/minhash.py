@@ -9,8 +9,11 @@ with the probability of their Jaccard similarity, but for collisions of the comp
 2. Bands of a few registers (see rows_for) give each class as many keys as there are bands. In each bucket of a key all others are paired with a leader; there are
    few leaders for a group however many buckets it fills, and the pairs are as many as the members.
 3. Pairs whose corrected estimate is near the threshold or above are verified on full sets; links are closed to components.
-4. Buckets whose other members still lie in several components are gone through in blocks for the remaining pairs.
-   Pairs inside one component need no check: they cannot change the result.
+4. Buckets whose other members still lie in several components are gone through for the remaining pairs. Pairs inside one
+   component need no check, they cannot change the result: those outside a bucket's largest component meet all its members, in
+   blocks, so that what is moved grows with the members where outsiders are few. A pair is compared in the first band it shares.
+
+A key or a leader may have any share of all rows: joins deal such a key into parts (see spread_join).
 
 A pair at the threshold shares no band with a probability of 4e-7 at 0.85 and 5e-8 at 0.8; the filter in front of the verification is six
 standard deviations below the threshold. A null or blank text has an empty set, which is linked with nothing. Rows with the same
@@ -27,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import components, cut, drop, spread
+from .common import components, cut, drop, spread, spread_join
 
 REGISTERS, MANTISSA = 128, 8
 ROUNDS = 6
 LEADERS = 3
-#: Rows of a bucket that are compared together.
-BLOCK = 512
+#: Rows of a bucket, and bytes of their sets, that are compared together, about.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Ids (of eight bytes) that are broadcast at most.
 SENT = 2_000_000
 _LOW = np.uint64((1 << 57) - 1)
@@ -123,10 +126,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose corrected estimate isn't too low."""
+    """The pairs(node, leader), a table, whose corrected estimate isn't too low."""
     least = least_estimate(percent)
-    side = lambda k: classes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    side = lambda k: classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("registers").alias(f"r_{k}"))
+    mine = pairs.join(side("node"), "node")
+    both = spread_join(mine, side("leader"), "leader", pairs.count(), pairs.groupBy("leader").agg(F.count("*").alias("n"))).select("node", "leader", "n_node", "n_leader", "r_node", "r_leader")
 
     def run(batches):
         for t in batches:
@@ -134,9 +138,9 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 r = [np.frombuffer(b"".join(t.column(k).to_pylist()), "<u2").reshape(-1, REGISTERS) for k in (4, 5)]
                 n = [t.column(k).to_numpy().astype(float) for k in (2, 3)]
                 keep = estimate((r[0] == r[1]).sum(1), *n) >= least
-                yield t.select(["a", "b"]).filter(pa.array(keep))
+                yield t.select(["node", "leader"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "node long, leader long")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,87 +170,110 @@ def similar(both, n, m, percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose full sets of shingles are similar enough, as a table."""
-    side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb")
+    """(a, b): the pairs(node, leader), a table, whose full sets of shingles are similar enough."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("hashes").alias(f"h_{k}"))
+    mine = pairs.join(side("node"), "node")
+    both = spread_join(mine, side("leader"), "leader", pairs.count(), pairs.groupBy("leader").agg(F.count("*").alias("n"))).select("node", "leader", "h_node", "h_leader")
 
     def run(batches):
         known, its = None, np.empty(0, np.uint64)
         for t in batches:
             keep = []
             for i in range(t.num_rows):
-                b = t.column(3)[i].as_py()
-                if b != known:  # rows come by b
-                    known, its = b, unpack(b)
+                h = t.column(3)[i].as_py()
+                if h != known:  # pairs of one leader mostly follow one another
+                    known, its = h, unpack(h)
                 mine = unpack(t.column(2)[i].as_py())
                 keep.append(similar(shingles.shared(mine, its), len(mine), len(its), percent))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in t.columns[:2]], names=["a", "b"])
 
-    return cut(both.sortWithinPartitions("b").mapInArrow(run, "a long, b long"), "minhash-links")
+    return both.mapInArrow(run, "a long, b long")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of a group of bounded size, by products of slices of the membership matrix."""
-    m = len(sets)
-    owner = np.repeat(np.arange(m), [len(u) for u in sets])
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right, both of bounded number, by products of slices of the membership matrices."""
+    sets, m = [*left, *right], len(left)
+    owner = np.repeat(np.arange(len(sets)), [len(u) for u in sets])
     _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(number, kind="stable")
     owner, number = owner[order], number[order]
     often = times[number] > 1  # what one member alone has is in no intersection
     owner, number = owner[often], number[often]
     number = np.cumsum(np.concatenate([[0], number[1:] != number[:-1]])) if len(number) else number
-    out = np.zeros((m, m), np.float32)
+    out = np.zeros((m, len(right)), np.float32)
     for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
         a, b = np.searchsorted(number, [lo, lo + 4096])
-        part = np.zeros((m, 4096), np.float32)
+        part = np.zeros((len(sets), 4096), np.float32)
         part[owner[a:b], number[a:b] - lo] = 1
-        out += part @ part.T
+        out += part[:m] @ part[m:].T
     return out
 
 
-def links_inside(node, comp, n, registers, hashes: list[bytes], percent: int, least: float) -> tuple[list[int], list[int]]:
-    """Links between members of different components that suffice to connect what the group's links connect."""
-    r = np.frombuffer(b"".join(registers), "<u2").reshape(-1, REGISTERS)
-    n, label = n.astype(float), comp.copy()
+def links_across(band: int, rows: int, out: list[tuple], every: list[tuple], percent: int, least: float) -> tuple[list[int], list[int]]:
+    """Links between outsiders and members of a bucket's block that suffice to connect what their links connect. Both sides are
+    lists of (node, outside, comp, n, registers, hashes), the outsiders' own rows being among the members of some block."""
+
+    def columns(side):
+        node, outside, comp, n, registers, hashes = zip(*side, strict=True)
+        return np.array(node), np.array(outside), np.array(comp), np.array(n, float), np.frombuffer(b"".join(registers), "<u2").reshape(-1, REGISTERS), hashes
+
+    node, _, comp, n, r, hashes = columns(out)
+    nodes, outside, comps, ns, rs, its = columns(every)
     maybe = []
-    for x in range(len(node) - 1):
-        y = x + 1 + np.flatnonzero(label[x + 1 :] != label[x])
+    for x in range(len(node)):
+        y = np.flatnonzero((comps != comp[x]) & ~(outside & (nodes < node[x])))  # two outsiders meet both ways
         if len(y):
-            y = y[estimate((r[y] == r[x]).sum(1), n[y], np.full(len(y), n[x])) >= least]
+            equal = rs[y] == r[x]
+            first = equal[:, : band * rows].reshape(len(y), band, rows).all(2).any(1) if band else np.zeros(len(y), bool)
+            y = y[~first & (estimate(equal.sum(1), ns[y], np.full(len(y), n[x])) >= least)]
             if len(y):
                 maybe.append((x, y))
     if not maybe:
         return [], []
-    sets = [unpack(h) for h in hashes]
-    size = np.array([len(u) for u in sets])
-    every = intersections(sets) if sum(len(y) for _, y in maybe) > 2 * len(node) else None
+    sets, others = [unpack(h) for h in hashes], [unpack(h) for h in its]
+    size, sizes = np.array([len(u) for u in sets]), np.array([len(u) for u in others])
+    dense = intersections(sets, others) if sum(len(y) for _, y in maybe) > 2 * (len(out) + len(every)) else None
     a, b = [], []
     for x, ys in maybe:
-        for y in ys.tolist() if every is None else ys[similar(every[x, ys], size[x], size[ys], percent)].tolist():
-            if label[x] != label[y] and (every is not None or similar(shingles.shared(sets[x], sets[y]), size[x], size[y], percent)):
-                label[label == label[y]] = label[x]
-                a.append(int(max(node[x], node[y])))
-                b.append(int(min(node[x], node[y])))
+        for y in ys.tolist() if dense is None else ys[similar(dense[x, ys], size[x], sizes[ys], percent)].tolist():
+            if comp[x] != comps[y] and (dense is not None or similar(shingles.shared(sets[x], others[y]), size[x], sizes[y], percent)):
+                was, now = comps[y], comp[x]
+                comp[comp == was], comps[comps == was] = now, now
+                a.append(int(node[x]))
+                b.append(int(nodes[y]))
     return a, b
 
 
-def remaining(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): verified links between members(key, node, n, registers, hashes, comp, nb) of one bucket in different components.
-
-    Each bucket is dealt into nb blocks of about BLOCK rows, and each pair of blocks is one small group, which is compared as a
-    whole: what comes out are links, never more than members.
-    """
-    least = least_estimate(percent)
-    block = F.pmod(F.xxhash64("node"), F.col("nb"))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda y: F.struct(F.least(F.col("block"), y).alias("i"), F.greatest(F.col("block"), y).alias("j")))
-    names = ("key", "i", "j", "node", "n", "comp", "registers", "hashes")
-    rows = members.withColumn("block", block).withColumn("to", F.explode(others)).select("key", F.col("to.i").alias("i"), F.col("to.j").alias("j"), *names[3:])
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+def meetings(members: DataFrame) -> DataFrame:
+    """(key, band, i, j, side, outside, node, comp) from members(key, band, node, comp, n), a table: who meets whom. In each bucket of
+    several components, those outside its largest one (side 0, block i) meet all (side 1, block j). Block sizes are bounded in rows
+    and in bytes of sets; a bucket has n_all * blocks_out + n_out * blocks_all rows."""
+    per = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    most = F.max(F.struct("c", "w", "comp"))
+    open_ = per.groupBy("key").agg(most.alias("most"), F.sum("c").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w * 6 / BLOCK_BYTES)).cast("long")
+    open_ = cut(open_.select("key", "n", F.col("most.comp").alias("largest"), blocks(F.col("n"), F.col("w")).alias("n_j"), blocks(F.col("n") - F.col("most.c"), F.col("w") - F.col("most.w")).alias("n_i")), "minhash-open")
+    both = spread_join(members.select("key", "band", "node", "comp"), open_.drop("n"), "key", members.count(), open_.select("key", "n"))
+    outside = F.col("comp") != F.col("largest")
+    mine = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(f"n_{k}"))
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), F.col(f"n_{k}") - 1)
+    as_member = F.transform(upto("i"), lambda i: F.struct(i.alias("i"), mine("j").alias("j"), F.lit(1).alias("side")))
+    as_outsider = F.transform(upto("j"), lambda j: F.struct(mine("i").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    rows = both.select("key", "band", outside.alias("outside"), "node", "comp", F.explode(F.when(outside, F.concat(as_outsider, as_member)).otherwise(as_member)).alias("to"))
+    return rows.select("key", "band", "to.i", "to.j", "to.side", "outside", "node", "comp")
+
+
+def remaining(met: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): verified links between those who meet in meetings(), a table. Each pair of blocks is one small group: what comes out are links, never more than members."""
+    least, width = least_estimate(percent), rows_for(percent)
+    whole = classes.select("node", "n", "registers").join(sets, "node")
+    rows = spread_join(met, whole, "node", met.count(), met.groupBy("node").agg(F.count("*").alias("n")))
+    rows = rows.select("key", "i", "j", "band", "side", "node", "outside", "comp", "n", "registers", "hashes").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
         def found(group: list[tuple]):
-            key, i, j, node, n, comp, registers, hashes = zip(*group, strict=True)
-            a, b = links_inside(np.array(node), np.array(comp), np.array(n), registers, hashes, percent, least)
+            sides = [[row[5:] for row in group if row[4] == side] for side in (0, 1)]
+            a, b = links_across(group[0][3], width, *sides, percent, least) if all(sides) else ([], [])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         group: list[tuple] = []
@@ -267,31 +294,34 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     """(id_col, n_shingles long, component_id long, kept boolean) for every row: components of documents with a Jaccard similarity of percent / 100 or more."""
     sketched = cut(sketches(docs, id_col, text_col), "minhash-sketches")
     linkable = sketched.where("set_digest IS NOT NULL AND id IS NOT NULL")
-    classes = cut(linkable.groupBy("set_digest").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n"), F.min("registers").alias("registers")), "minhash-classes")
+    classes = cut(linkable.groupBy("set_digest").agg(F.min("id").alias("node"), F.max("n_shingles").alias("n"), F.min("registers").alias("registers"), F.count("*").alias("copies")), "minhash-classes")
 
     rows = rows_for(percent)
+    bands = REGISTERS // rows
     key = lambda b: F.struct(F.xxhash64(b, F.col("registers").substr((b * 2 * rows + 1).cast("int"), F.lit(2 * rows))).alias("key"), b.alias("band"))
-    banded = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1)), key)).alias("k")).select("node", "k.*")
+    banded = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), key)).alias("k")).select("node", "k.*")
     which = F.pmod("band", F.lit(LEADERS))
-    crowd = banded.groupBy("key").agg(F.min(F.struct(F.when(which == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("node", which)).alias("by"), F.col("node").alias("node")))["node"].alias("leader"), F.count("*").alias("size")).where("size > 1")
-    buckets = cut(banded.join(crowd, "key").select("key", "node", "leader", "size"), "minhash-buckets")
+    by = F.when(which == 0, F.col("node")).otherwise(F.xxhash64("node", which))
+    crowd = cut(banded.groupBy("key").agg(F.min_by("node", by).alias("leader"), F.count("*").alias("n")).where("n > 1"), "minhash-crowd")
+    buckets = cut(spread_join(banded, crowd.withColumnRenamed("n", "size"), "key", bands * classes.count(), crowd), "minhash-buckets")
 
     sets = full_sets(docs, buckets, id_col, text_col)
 
-    star = buckets.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-    found = verified(likely(star, classes, percent), sets, percent)
+    star = cut(buckets.where("node <> leader").select("node", "leader").distinct(), "minhash-star")
+    pairs = cut(likely(star, classes, percent), "minhash-pairs")
+    found = cut(verified(pairs, sets, percent), "minhash-links")
     comp = cut(components(found, "minhash-edges"), "minhash-roots")
 
-    more = buckets.where("size > 2").join(comp, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("comp"), (F.col("node") == F.col("leader")).alias("led"))
-    open_keys = more.where("NOT led").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    members = more.where("NOT led").join(open_keys, "key").withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("long"))
-    members = members.join(classes.select("node", "n", "registers").join(sets, "node"), "node")
-    late = cut(remaining(members, percent), "minhash-links")
+    # what a leader is linked with is known
+    members = buckets.where("size > 2 AND node <> leader").select("key", "band", "node").join(classes.select("node", "n"), "node").join(comp, "node", "left")
+    members = cut(members.select("key", "band", "node", "n", F.coalesce("root", "node").alias("comp")), "minhash-members")
+    met = cut(meetings(members), "minhash-meetings")
+    late = cut(remaining(met, classes, sets, percent), "minhash-links")
     roots = cut(components(found.unionByName(late), "minhash-edges"), "minhash-roots")
-    drop(buckets, comp, found, late, sets)
+    drop(crowd, buckets, star, pairs, comp, members, met, found, late, sets)
 
     of_class = classes.select("set_digest", "node").join(roots, "node", "left").select("set_digest", F.coalesce("root", "node").alias("root"))
-    out = sketched.select("id", "n_shingles", "set_digest").join(of_class, "set_digest", "left")
+    out = spread_join(sketched.select("id", "n_shingles", "set_digest"), of_class, "set_digest", sketched.count(), classes.select("set_digest", F.col("copies").alias("n")), "left")
     # rows with one id are one document: they share what any of them reaches
     component = F.when(F.col("id").isNotNull(), F.least(F.coalesce("root", "id"), "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -88,6 +88,70 @@ def test_near_dedup_blocks(spark, monkeypatch):
     assert got == brute_components(rows, 85)
 
 
+def outsiders(n):
+    """A large group of near copies, and five texts that share bands with it but are not similar enough."""
+    r, base = random.Random(n), words(300, 77).split()
+
+    def edited(k):
+        c = list(base)
+        for at in r.sample(range(len(c)), k):
+            c[at] = f"edit{r.random()}"
+        return " ".join(c)
+
+    return [(i, edited(2)) for i in range(n)] + [(n + i, edited(14)) for i in range(5)]
+
+
+def test_near_dedup_grows_with_the_group(spark, monkeypatch):
+    """Rows that are compared in blocks grow with the members, not with their square; hot keys are dealt into parts."""
+    counted, cut = {}, minhash.cut
+
+    def counting(df, name):
+        out = cut(df, name)
+        counted.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "cut", counting)
+    monkeypatch.setattr(common, "LEAST", 50)
+    met = []
+    for n in (800, 3200):
+        counted.clear()
+        rows = outsiders(n)
+        got = minhash.cluster(docs(spark, [(i, t, "s") for i, t in rows])).where("kept").collect()
+        assert [r.doc_id for r in got if r.doc_id < n] == [0] and len(got) == 6
+        met.append(counted["minhash-meetings"][0])
+    assert 800 < met[0] and met[1] < 5 * met[0]
+
+
+def test_near_dedup_shuffles_where_ids_are_too_many(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SENT", 0)
+    rows = near_copies(9)
+    got = {r.doc_id: r.component_id for r in minhash.cluster(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == brute_components(rows, 85)
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST", 7)
+    many = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(200)] + [(900, 77)], "id long, k long")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (5, "c")], "k long, v string")
+    sizes = many.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = sorted(common.spread_join(many, one, "k", 201, sizes, how).select("id", "k", "v").collect(), key=str)
+        assert got == sorted(many.join(one, "k", how).select("id", "k", "v").collect(), key=str)
+    parts = common.spread_join(many, one, "k", 201, sizes, "left")
+    assert "__part" not in parts.columns
+
+
+def test_shared_folder(spark):
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        assert common.shared_dir(spark) == common.shared_dir(spark)
+    since = common.mark()
+    a, b = common.cut(spark.range(3), "test"), common.cut(spark.range(4), "test")
+    common.sweep(spark, since, b)
+    assert b.count() == 4 and common.mark() == since + 1
+    common.drop(b)
+    assert common.mark() == since
+
+
 def test_near_dedup_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.cluster(docs(spark, ODD)).collect()), key=str)
     by = {g[0]: g for g in got}
@@ -110,7 +174,8 @@ def test_sketches_estimate_similarity():
             x, y = (np.frombuffer(s, "<u2") for s in minhash.sketch([a, b]))
             errors.append(minhash.estimate(np.array([(x == y).sum()]), np.array([len(a)]), np.array([len(b)]))[0] - len(a) / len(b))
         assert max(map(abs, errors)) < 0.2
-    assert np.array_equal(minhash.intersections([np.arange(5, dtype=np.uint64), np.arange(3, 9, dtype=np.uint64)]), [[5 - 3, 2], [2, 2]])
+    sets = [np.arange(5, dtype=np.uint64), np.arange(3, 9, dtype=np.uint64), np.arange(3, dtype=np.uint64)]
+    assert np.array_equal(minhash.intersections(sets[:2], sets), [[5, 2, 3], [2, 6, 0]])
 
 
 def brute_repeats(rows):
