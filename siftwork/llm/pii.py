@@ -3,7 +3,7 @@
 Found values are permuted within their format under a key: a value becomes another value of the same format, equal values
 become equal ones in every document, different ones stay different. The kinds and what makes a value valid:
 
-* email    local@domain; letters and digits of the local part are permuted within their classes, the domain stays
+* email    local@domain; letters and digits of the local part are permuted within their classes, the domain stays and is part of the tweak
 * card     13 to 19 digits, single spaces or dashes between (they don't change the pseudonym); passes Luhn; the check digit is computed anew
 * iban     country, two check digits, up to 30 letters and digits; passes mod 97; check digits are computed anew
 * ssn      AAA-GG-SSSS with a valid area, group and serial; walks the cycle until valid again
@@ -15,18 +15,23 @@ become equal ones in every document, different ones stay different. The kinds an
 Invalid values stay as they are. Where a match is not valid, or is a number of unusual groups that may hold a neighbour's digits,
 its line is looked through again from group to group (see `_lines` and `_gaps`), so that a valid number beside other digits or capitals is
 found. Null texts stay null, empty ones empty. Rows are independent; extra columns pass through, a
-column with the name of the result is replaced. The network has ROUNDS rounds whose function is SHA-256 over key, kind, round
-and the other half.
+column with the name of the result is replaced.
+
+The network has ROUNDS rounds (SMALL_ROUNDS for up to three characters) whose function is SHA-256 in counter mode over key, kind,
+format, round, half and the other half, so that no two places share hash bits. A single character is split into two coordinates,
+which are permuted in turn, so it isn't only shifted. The key enters the plan as a row of its own and shows in no explain output;
+where none is passed, the session's setting KEY_SETTING gives it, whose name Spark redacts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, spread
 
-ROUNDS = 8
+ROUNDS, SMALL_ROUNDS = 8, 24
+KEY_SETTING = "spark.siftwork.pii.secret"
 KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 
 _N, _W = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
@@ -54,41 +59,59 @@ ATOM, WINDOW = "(?s)[0-9A-Za-z]+|[^0-9A-Za-z]", 200
 CROWDED = r"\+[0-9](?:[ .()-]{0,3}[0-9]){15,}"
 
 
-def feistel(values: Column, radix: Column, half: Column, key: Column, tweak: str) -> Column:
+def feistel(values: Column, radix: Column, half: Column, key: Column, tweak: str, rounds: Column | int = ROUNDS) -> Column:
     """A keyed permutation of the arrays of numbers with values[i] < radix[i]: in turn each half is shifted by a hash of the other. All arguments must be columns or lambda variables already bound."""
+    text = lambda x: x.cast("string")
 
     def one(state: Column, r: Column) -> Column:
         left = F.pmod(r, F.lit(2)) == 0
         other = F.when(left, F.slice(state, half + 1, F.size(state) - half)).otherwise(F.slice(state, F.lit(1), half))
-        digest = F.sha2(F.concat_ws("|", key, F.lit(tweak), r.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), 256)
-        part = lambda h, i: F.conv(F.substring(h, 1, 64).substr((F.pmod(i, F.lit(10)) * 6 + 1).cast("int"), F.lit(6)), 16, 10).cast("long") + i
-        return let(digest, lambda h: F.transform(state, lambda v, i: F.when((i < half) == left, F.pmod(v + part(h, i), F.get(radix, i))).otherwise(v)))
+        seed = F.concat_ws("|", key, F.lit(tweak), text(r), F.array_join(F.transform(other, text), ","))
+
+        def shifted(seed: Column) -> Column:
+            # each digest of 64 hexadecimal digits serves ten places
+            digests = F.transform(F.sequence(F.lit(0), F.floor((F.size(state) - 1) / 10).cast("int")), lambda k: F.sha2(F.concat_ws("|", seed, text(k)), 256))
+            part = lambda d, i: F.conv(F.get(d, F.floor(i / 10).cast("int")).substr((F.pmod(i, F.lit(10)) * 6 + 1).cast("int"), F.lit(6)), 16, 10).cast("long")
+            return let(digests, lambda d: F.transform(state, lambda v, i: F.when((i < half) == left, F.pmod(v + part(d, i), F.get(radix, i))).otherwise(v)))
+
+        return let(seed, shifted)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one)
+    count = F.lit(rounds) if isinstance(rounds, int) else rounds
+    return F.aggregate(F.sequence(F.lit(0), count - 1), values, one)
 
 
-def _class(c: Column, digit, lower, upper, other) -> Column:
-    return F.when((c >= "0") & (c <= "9"), digit).when((c >= "a") & (c <= "z"), lower).when((c >= "A") & (c <= "Z"), upper).otherwise(other)
+def _class(c: Column, digit, lower, upper) -> Column:
+    return F.when(c <= "9", digit).when(c >= "a", lower).otherwise(upper)
 
 
 def permute_chars(text: Column, fixed: Column, key: Column, tweak: str) -> Column:
     """text with its ASCII digits and letters permuted within their classes, but for the first `fixed` characters; text and fixed must be bound."""
 
-    def of(chars: Column) -> Column:
-        radix = F.transform(chars, lambda c, i: F.when(i < fixed, 1).otherwise(_class(c, 10, 26, 26, 1)).cast("long"))
-        values = F.transform(chars, lambda c, i: F.when(i < fixed, 0).otherwise(_class(c, F.ascii(c) - 48, F.ascii(c) - 97, F.ascii(c) - 65, 0)).cast("long"))
+    def of(tail: Column) -> Column:
+        chars = F.split(_flat(tail), "")
+        radix = F.transform(chars, lambda c: _class(c, 10, 26, 26).cast("long"))
+        values = F.transform(chars, lambda c: (F.ascii(c) - _class(c, 48, 97, 65)).cast("long"))
         # the shape and the fixed part are part of the tweak, so that formats are permuted apart
-        shape = F.array_join(F.transform(chars, lambda c, i: F.when(i < fixed, c).otherwise(_class(c, F.lit("9"), F.lit("a"), F.lit("A"), c))), "")
-        half = (fixed + F.floor((F.size(chars) - fixed + 1) / 2)).cast("int")
+        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
+        about = F.concat_ws("|", key, F.concat(text.substr(F.lit(1), fixed), shape))
 
-        def back(s: Column, rx: Column) -> Column:
-            put = lambda v, i: let(F.get(chars, i), lambda c: F.when(F.get(rx, i) == 1, c).otherwise(F.char(v + _class(c, 48, 97, 65, 0))))
-            return F.array_join(F.transform(s, put), "")
+        def back(s: Column, cs: Column) -> Column:
+            flat = F.array_join(F.transform(cs, lambda c, i: F.char(F.get(s, i) + _class(c, 48, 97, 65))), "")
+            return let(flat, lambda f: _as_written(tail, f))
 
-        run = lambda rx: lambda vs: lambda sh: lambda hf: let(feistel(vs, rx, hf, F.concat_ws("|", key, sh), tweak), lambda s: back(s, rx))
-        return let(radix, lambda rx: let(values, lambda vs: let(shape, lambda sh: let(half, run(rx)(vs)(sh)))))
+        def run(cs: Column, rx: Column, vs: Column, key: Column) -> Column:
+            half, rounds = F.floor((F.size(cs) + 1) / 2).cast("int"), F.when(F.size(cs) <= 3, SMALL_ROUNDS).otherwise(ROUNDS)
+            many = let(half, lambda hf: let(rounds, lambda n: feistel(vs, rx, hf, key, tweak, n)))
+            # one character: its number is parted into a bit and the rest
+            wide = F.floor(F.get(rx, 0) / 2).cast("long")
+            two = lambda w: let(F.array(F.lit(2).cast("long"), w), lambda rx2: let(F.array(F.floor(F.get(vs, 0) / w).cast("long"), F.pmod(F.get(vs, 0), w)), lambda v2: feistel(v2, rx2, F.lit(1), key, tweak, SMALL_ROUNDS)))
+            one = let(wide, lambda w: let(two(w), lambda s: F.array(F.get(s, 0) * w + F.get(s, 1))))
+            return let(F.when(F.size(cs) == 1, one).otherwise(many), lambda s: back(s, cs))
 
-    return let(F.split(text, ""), of)
+        made = let(chars, lambda cs: let(radix, lambda rx: let(values, lambda vs: let(about, lambda k: run(cs, rx, vs, k)))))
+        return F.when(_flat(tail) == "", text).otherwise(F.concat(text.substr(F.lit(1), fixed), made))
+
+    return let(text.substr(fixed + 1, F.length(text)), of)
 
 
 def _digits(s: Column) -> Column:
@@ -118,7 +141,8 @@ def _ssn_ok(s: Column) -> Column:
 
 def _email(m: Column, key: Column) -> Column:
     at = F.instr(m, "@")
-    return let(m.substr(F.lit(1), at - 1), lambda p: F.concat(permute_chars(p, F.lit(0), key, "email"), m.substr(at, F.length(m))))
+    whose = F.concat_ws("|", key, F.lower(m.substr(at, F.length(m))))
+    return let(whose, lambda k: let(m.substr(F.lit(1), at - 1), lambda p: F.concat(permute_chars(p, F.lit(0), k, "email"), m.substr(at, F.length(m)))))
 
 
 def _flat(m: Column) -> Column:
@@ -324,9 +348,17 @@ def pseudonym(m: Column, kind: Column, key: Column) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def _hidden(spark: SparkSession, key: str | None) -> Column:
+    """The key as the only value of a table, so that plans name its column and nothing else."""
+    key = spark.conf.get(KEY_SETTING, None) if key is None else key
+    if not key:
+        raise ValueError(f"no key for pseudonyms: pass one or set {KEY_SETTING}")
+    return spark.createDataFrame([(key,)], "pii_key string").scalar()
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with text_col's values replaced, and pii_kinds array<string>."""
-    text, found, pieces, secret = F.col(text_col), F.col("__found"), F.col("__pieces"), F.lit(key)
+    text, found, pieces, secret = F.col(text_col), F.col("__found"), F.col("__pieces"), F.col("__key")
     none = F.array().cast(_PIECES)
     ends = F.concat(found, F.array(_piece(None, F.lit(""))))
     plain = F.flatten(F.zip_with(F.split(text, ANY, -1), ends, lambda g, f: F.array(_piece(None, F.coalesce(g, F.lit(""))), f)))
@@ -335,7 +367,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     rows = spread(docs).withColumn("__found", F.when(text.rlike(HINT), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: _piece(kind_of(m), m))).otherwise(none))
     rows = rows.withColumn("__again", F.exists(found, _doubtful) | ((F.size(found) > 0) & text.rlike(CROWDED)))
     rows = rows.withColumn("__pieces", F.when(F.col("__again"), _lines(text)).when(F.size(found) > 0, plain).otherwise(F.array(_piece(None, text))))
-    rows = rows.withColumn("__pieces", F.when(F.col("__again"), _gaps(pieces)).otherwise(pieces))
+    rows = rows.withColumn("__pieces", F.when(F.col("__again"), _gaps(pieces)).otherwise(pieces)).withColumn("__key", _hidden(docs.sparkSession, key))
     kinds = F.filter(F.transform(pieces, lambda p: p["kind"]), lambda k: k.isNotNull())
     rows = rows.withColumn("__text", F.when(F.size(found) > 0, F.array_join(F.transform(pieces, put), "")).otherwise(text)).withColumn("__kinds", kinds)
     names = [c for c in docs.columns if c != "pii_kinds"]

@@ -13,12 +13,16 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.cluster(read(spark, sf_dir, "documents"))
 
 
-#: A stand-in; a deployment passes its own.
+#: A stand-in where the session has no key; a deployment sets its own.
 PII_KEY = "siftwork-example-key"
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(pii.KEY_SETTING, PII_KEY)
+
+
 def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    done = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     return done.select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_join("pii_kinds", ",").alias("kinds"))
 
 

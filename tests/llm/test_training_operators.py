@@ -1,5 +1,6 @@
 """The training-data operators against brute force and on the odd cases: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -295,6 +296,108 @@ def test_pii_beside_other_digits(spark):
             assert got[i].text.replace(got[i].text[at : at + len(v)], v) == texts[i]
 
 
+def plain_feistel(values, radix, half, key, tweak, rounds):
+    for r in range(rounds):
+        left = r % 2 == 0
+        seed = f"{key}|{tweak}|{r}|{','.join(map(str, values[half:] if left else values[:half]))}"
+        bits = "".join(hashlib.sha256(f"{seed}|{k}".encode()).hexdigest()[:60] for k in range((len(values) - 1) // 10 + 1))
+        values = [(v + int(bits[6 * i : 6 * i + 6], 16)) % radix[i] if (i < half) == left else v for i, v in enumerate(values)]
+    return values
+
+
+def plain_chars(text, fixed, key, tweak):
+    head, tail = text[:fixed], text[fixed:]
+    shape = re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", tail)))
+    chars = re.sub("[^0-9A-Za-z]", "", tail)
+    if not chars:
+        return text
+    base = [48 if c.isdigit() else 97 if c.islower() else 65 for c in chars]
+    radix = [10 if b == 48 else 26 for b in base]
+    values, key = [ord(c) - b for c, b in zip(chars, base)], f"{key}|{head}{shape}"
+    if len(chars) == 1:
+        w = radix[0] // 2
+        a, b = plain_feistel([values[0] // w, values[0] % w], [2, w], 1, key, tweak, pii.SMALL_ROUNDS)
+        values = [a * w + b]
+    else:
+        values = plain_feistel(values, radix, (len(chars) + 1) // 2, key, tweak, pii.SMALL_ROUNDS if len(chars) <= 3 else pii.ROUNDS)
+    new = iter(chr(v + b) for v, b in zip(values, base))
+    return head + re.sub("[0-9A-Za-z]", lambda m: next(new), tail)
+
+
+def plain_pseudonym(kind, m, key):
+    """What pii.pseudonym() must give, told again for one value."""
+    flat = re.sub("[^0-9A-Za-z]", "", m)
+    put = lambda new: (lambda it: re.sub("[0-9A-Za-z]", lambda _: next(it), m))(iter(new))
+    if kind == "email":
+        local, at = m[: m.index("@")], m[m.index("@") :]
+        return plain_chars(local, 0, f"{key}|{at.lower()}", "email") + at
+    if kind == "card":
+        front = plain_chars(flat[:-1], 0, key, "card")
+        return put(front + next(str(c) for c in range(10) if luhn(front + str(c))))
+    if kind == "iban":
+        made = plain_chars(flat[:2] + "00" + flat[4:], 4, key, "iban")
+        number = int("".join(str(int(c, 36)) for c in made[4:] + made[:2] + "00"))
+        return put(f"{made[:2]}{98 - number % 97:02}{made[4:]}")
+    if kind == "phone":
+        code = re.match(r"\+([0-9]{1,3})(?=[ .(-])|\+[0-9]", m)
+        return put(plain_chars(flat, len(code[0]) - 1 if code else 0, key, "phone"))
+    if kind == "ssn":
+        m = plain_chars(m, 0, key, "ssn")
+        while not re.fullmatch("(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", m):
+            m = plain_chars(m, 0, key, "ssn")
+        return m
+    if kind == "ipv4":
+        parts = m.split(".")
+        low, wide = ([{1: a, 2: b, 3: c}[len(x)] for x in parts] for a, b, c in ((0, 10, 100), (10, 90, 156)))
+        moved = plain_feistel([int(x) - b for x, b in zip(parts, low)], wide, 2, f"{key}|{''.join(str(len(x)) for x in parts)}", "ipv4", pii.ROUNDS)
+        return ".".join(str(v + b) for v, b in zip(moved, low))
+    d = datetime.date.fromisoformat(m)
+    block, inside = divmod((d - datetime.date(1600, 1, 1)).days, 146097)
+    a, b = plain_feistel(list(divmod(inside, 773)), [189, 773], 1, key, "date", pii.ROUNDS)
+    return (datetime.date(1600, 1, 1) + datetime.timedelta(block * 146097 + a * 773 + b)).isoformat()
+
+
+def test_pii_equals_a_plain_feistel_network(spark):
+    values = [("email", f"{'a' * n}@example.org") for n in range(1, 65)] + [("email", f"{c}@example.org") for c in "bcdefghijklmnopqrstuvwxyz"]
+    values += [("email", x) for x in ("a.@b.example.org", "X@Example.org", "7@example.org", "a_b-c.9@example.org", "a1@example.org", "...@example.org")]
+    values += [("card", x) for x in ("4111 1111 1111 1111", "4111-1111-1111-1111", "378282246310005")] + [("iban", x) for x in ("DE89370400440532013000", "GB82 WEST 1234 5698 7654 32")]
+    values += [("phone", x) for x in ("+49 30 1234567", "+4930123456", "(555) 123-4567", "555-123-4567")] + [("ssn", f"{k:03}-12-3456") for k in range(100, 160)]
+    values += [("ipv4", x) for x in ("10.1.2.3", "192.168.1.1", "1.2.3.4")] + [("date", x) for x in ("1999-12-31", "2000-02-29", "2026-01-01", "1600-01-01")]
+    df = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k1").collect()}
+    for i, (kind, v) in enumerate(values):
+        assert (got[i].pii_kinds, got[i].text) == ([kind], plain_pseudonym(kind, v, "k1"))
+
+
+def test_pii_leaks_no_relation_of_places(spark):
+    """Equal characters of one value get independent ones: no difference between two places is the same whatever the key."""
+    df = spark.createDataFrame([(n, f"{'a' * n}@example.org") for n in (2, 3, 12, 21, 40, 64)] + [(100 + i, f"{c}@example.org") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")], "doc_id long, text string")
+    seen = {}
+    for key in ("a", "b", "c", "d", "e"):
+        got = {r.doc_id: r.text.split("@")[0] for r in pii.pseudonymise(df, key).collect()}
+        for n in (2, 3, 12, 21, 40, 64):
+            for i in range(n):
+                for j in range(i):
+                    seen.setdefault((n, j, i), set()).add((ord(got[n][i]) - ord(got[n][j])) % 26)
+        single = [ord(got[100 + i]) - 97 for i in range(26)]
+        assert sorted(single) == list(range(26))
+        assert len({(b - a) % 26 for a, b in zip(single, single[1:])}) > 3  # no plain shift
+    assert min(len(x) for k, x in seen.items() if k[0] > 2) > 1
+
+
+def test_pii_key_shows_in_no_plan(spark, capsys):
+    d = spark.createDataFrame([(1, "a@example.org")], "doc_id long, text string")
+    pii.pseudonymise(d, "very-hidden").explain("extended")
+    assert "very-hidden" not in capsys.readouterr().out
+    with pytest.raises(ValueError):
+        pii.pseudonymise(d)
+    spark.conf.set(pii.KEY_SETTING, "very-hidden")
+    try:
+        assert pii.pseudonymise(d).collect() == pii.pseudonymise(d, "very-hidden").collect()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def base_counts(text):
     t = text or ""
     w = tokens_of(t)
