@@ -1,6 +1,11 @@
 """Quality rules, near-dedup, PII, source mixing and tokens, one after another over documents.
 
 Each stage takes what its predecessor kept and works on all of it. All but the last return the columns of documents.
+
+Null and empty texts fail the quality rules, so the stages behind see none; on their own these keep them (see the operators). Rows
+with a null id are never near-duplicates; rows that share an id are one document, of which near_dedup keeps one row. A null source is a
+source of its own. Repeated rows and very long texts are nothing special, an empty table gives an empty result. Extra columns stay
+until the last stage, which returns its own columns only.
 """
 
 from __future__ import annotations
@@ -10,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm import bpe, minhash, mixing, pii, quality
-from siftwork.llm.common import cut, read
-from siftwork.llm.queries import PII_KEY
+from siftwork.llm.common import cut, drop, mark, read, sweep
+from siftwork.llm.queries import pii_key
 
 #: The stages can't be told in SQL; tests compare them with brute force.
 ORACLE_SQL = None
@@ -29,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced; the lengths stay."""
-    return pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
+    return pii.pseudonymise(docs, pii_key(spark)).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +53,12 @@ STAGES = [("quality rules", quality_rules), ("near-dedup", near_dedup), ("pseudo
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's result is a table in the shared folder; what it was made from is deleted once it is written."""
     docs = read(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = cut(docs, "pipeline")
-    return docs
+    for _, stage in STAGES[:-1]:
+        since = mark()
+        after = cut(stage(spark, docs, sf_dir), "pipeline")
+        sweep(spark, since, after)
+        drop(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
