@@ -6,23 +6,27 @@ The suffixes of all texts are dealt out so that equal strings meet. Of the ANCHO
 with the smallest hash (the leftmost of several) is its anchor: equal windows have equal anchors at equal places. Windows that follow
 one another and have one anchor form a run, and runs are dealt into buckets by their anchors.
 
-1. Texts are packed; each pack asks for its anchors, by 32 bits of their hashes in each bucket, which occur elsewhere. Anchors that
-   occur once in all texts have no repeated windows; a collision only lets a run through that the next step tells apart.
-2. The runs with repeated anchors go to their buckets. Equal runs are one string with its earliest place.
+1. Texts are packed. Each group of packs, those of one task, asks for its anchors, by 32 bits of their hashes in each bucket, how often
+   they occur in all texts. Anchors that occur once have no repeated windows; a collision only lets a run through that the
+   next step tells apart.
+2. The runs with repeated anchors go to their buckets. Equal runs are one string with its earliest place. Runs of an anchor that
+   HOT of them or more have are parted by the anchor's place in the window, WIDE places at a time, and dealt by all the bytes that such windows
+   share, so that no bucket holds all texts around one passage.
 3. A bucket's strings are dealt into shards. Each shard is sorted by suffix and gives its transform: before each suffix, the STEP
    symbols in front of it. An anchor is one symbol of the alphabet, so a window has SPAN - ANCHOR + 1 symbols. The transforms
    are merged by iterative interleave refinement (after Holt and McMillan 2014): the interleave vector that is right for
-   prefixes of d symbols, stably sorted by the symbols in front, is right for d + STEP. Where neighbours begin to differ gives their
-   common prefix; intervals that are never parted are the repeats. Suffixes are not sorted again across shards.
+   prefixes of d symbols, placed by counting the symbols in front, is right for d + STEP. Common prefixes of neighbours in the merged order
+   give the repeated intervals. Suffixes are not sorted again across shards.
 4. Of each repeat all but the earliest place is marked; packs gather their marks and cut the texts.
 
-Null texts count as empty. Texts shorter than SPAN lose nothing. Of rows with the same id one, by place in the packs, counts as
-the earlier; rows with a null id come last. Empty tables give empty results; extra columns are ignored.
+Equal anchors are equal 64-bit hashes, equal runs equal pairs of such hashes and lengths; the other 35 bytes of a window are compared themselves.
+Null texts count as empty. Texts shorter than SPAN lose nothing. Of rows with the same id the one whose text has the smaller
+checksum counts as the earlier; rows with a null id come last, in the same order. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +43,18 @@ SPAN, ANCHOR, STEP, SHARDS = 100, 65, 4, 4
 DEPTH = SPAN - ANCHOR + 1
 #: Bytes of text in a pack, unless one text alone is longer, and for which there is one bucket.
 PACK = BUCKET = 4 << 20
+#: Bytes of text for which there is one bucket of questions, and anchors that are asked for together, about.
+ASKED, TOGETHER = 32 << 20, 1 << 22
+#: Runs from which on an anchor is hot, and places of it in a window that then stay together.
+HOT, WIDE = 8192, 3
 #: Symbols that are merged at a time, unless one anchor's runs are more; anchors, which are symbols above the bytes.
 UNIT, ANCHORS = 1 << 20, 60_000
 _LAST = (1 << 63) - 1
 _POS = np.uint64((1 << 26) - 1)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(x.tobytes())
-
-
-def _unpacked(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
 def packs_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(pack long, ids binary, lens binary, text binary, n_bytes long): many texts in a row, compressed."""
+    """(pack long, part long, ids binary, sums binary, lens binary, text binary, n_bytes long): many texts in a row, compressed, with their checksums."""
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -65,9 +65,10 @@ def packs_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def row():
             nonlocal ids, texts, size, n
             whole = b"".join(texts)
+            raw = (np.array(ids, "<i8"), np.array([zlib.crc32(t) for t in texts], "<u4"), np.array([len(t) for t in texts], "<i8"))
             made = pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | n], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array([len(t) for t in texts], "<i8").tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(1).compress(whole)], pa.binary()), pa.array([len(whole)], pa.int64())],
-                names=["pack", "ids", "lens", "text", "n_bytes"],
+                [pa.array([part << 32 | n], pa.int64()), pa.array([part], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in raw], pa.array([zstandard.ZstdCompressor(1).compress(whole)], pa.binary()), pa.array([len(whole)], pa.int64())],
+                names=["pack", "part", "ids", "sums", "lens", "text", "n_bytes"],
             )
             ids, texts, size, n = [], [], 0, n + 1
             return made
@@ -84,7 +85,7 @@ def packs_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield row()
 
     rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")))
-    return rows.mapInArrow(run, "pack long, ids binary, lens binary, text binary, n_bytes long")
+    return rows.mapInArrow(run, "pack long, part long, ids binary, sums binary, lens binary, text binary, n_bytes long")
 
 
 class Runs:
@@ -121,14 +122,14 @@ class Runs:
         self.at = base + ((m[base] - (base.astype(np.uint64) & _POS)) & _POS).astype(np.int64)
         self.anchor = h[self.at]
 
-    def content(self) -> np.ndarray:
-        """A hash of each run's bytes."""
+    def content(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from begin to end."""
         with np.errstate(over="ignore"):
-            return mix((self.c[self.last + SPAN - 1] - self.c[self.first]) * self.down[self.first])
+            return mix((self.c[end] - self.c[begin]) * self.down[begin])
 
 
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8), np.frombuffer(row["lens"], "<i8"), np.frombuffer(row["ids"], "<i8")
+def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8), np.frombuffer(row["lens"], "<i8")
 
 
 def _by(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -140,34 +141,88 @@ def _by(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
 
 
 def questions(packs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, pack, asked): 32 bits of each anchor's hash, once, or twice where the pack has it twice or more."""
+    """(bucket, part, packs, counts, asked, several): 32 bits of the hashes of all anchors of some packs of a task in a bucket, `counts` of them for each
+    pack; several holds pairs of an index and a number where a pack has an anchor more than once."""
 
     def run(batches):
+        def asked(part, found):
+            names, anchors, times = zip(*found, strict=True)
+            of = np.repeat(np.arange(len(names)), [len(x) for x in anchors])
+            anchors, times = np.concatenate(anchors), np.concatenate(times)
+            order, parts = _by((anchors % np.uint64(buckets)).astype(np.int64))
+            low, times, of = (anchors >> np.uint64(32)).astype("<u4")[order], times[order], of[order]
+            rows = []
+            for b, i, j in parts:
+                more = np.flatnonzero(times[i:j] > 1)
+                several = np.stack([more, times[i:j][more]], 1).astype("<u4")
+                rows.append((b, part, np.array(names, "<i8").tobytes(), np.bincount(of[i:j], minlength=len(names)).astype("<u4").tobytes(), low[i:j].tobytes(), several.tobytes()))
+            kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "part", "packs", "counts", "asked", "several"])
+
+        part, found, size = None, [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                data, lens, _ = _open(row)
-                found, times = np.unique(Runs(data, lens).anchor, return_counts=True)
-                found = np.repeat(found, np.minimum(times, 2))
-                order, parts = _by((found % np.uint64(buckets)).astype(np.int64))
-                low = (found >> np.uint64(32)).astype("<u4")[order]
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int64()), pa.array([row["pack"]] * len(parts), pa.int64()), pa.array([low[i:j].tobytes() for _, i, j in parts], pa.binary())], names=["bucket", "pack", "asked"])
+                if found and (row["part"] != part or size >= TOGETHER):
+                    yield asked(part, found)
+                    found, size = [], 0
+                data, lens = _open(row)
+                anchors, times = np.unique(Runs(data, lens).anchor, return_counts=True)
+                part = row["part"]
+                if len(anchors):
+                    found.append((row["pack"], anchors, times))
+                    size += len(anchors)
+        if found:
+            yield asked(part, found)
 
-    return packs.mapInArrow(run, "bucket long, pack long, asked binary")
+    return packs.mapInArrow(run, "bucket long, part long, packs binary, counts binary, asked binary, several binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
-    """(bucket, pack, repeated): those of the asked that occur twice or more in all packs."""
+    """(pack, repeated, hot): for each pack those of its anchors that occur twice or more in all packs, as bucket << 32 | 32 bits of the hash, and those of them that are hot.
 
-    def run(key, t):
-        each = [np.frombuffer(x, "<u4") for x in t.column("asked").to_pylist()]
-        every = np.sort(np.concatenate(each))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        got = [np.unique(x[twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x]) if len(twice) else x[:0] for x in each]
-        keep = [i for i, x in enumerate(got) if len(x)]
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(keep), pa.int64()), "pack": pa.array([t.column("pack")[i].as_py() for i in keep], pa.int64()), "repeated": pa.array([got[i].astype("<u4").tobytes() for i in keep], pa.binary())})
+    Buckets answer the groups of packs that asked, and each group's answers are then parted by pack: there is no row for each pack and bucket.
+    """
 
-    return asked.groupBy("bucket").applyInArrow(run, "bucket long, pack long, repeated binary")
+    def counted(key, t):
+        low, times = [], []
+        for x, several in zip(t.column("asked").to_pylist(), t.column("several").to_pylist(), strict=True):
+            low.append(np.frombuffer(x, "<u4"))
+            n = np.ones(len(low[-1]), np.int64)
+            at, more = np.frombuffer(several, "<u4").reshape(-1, 2).T
+            n[at] = more
+            times.append(n)
+        _, number = np.unique(np.concatenate(low), return_inverse=True)
+        total = np.bincount(number, weights=np.concatenate(times))[number]
+        out, begin = [], 0
+        for x, part, packs, counts in zip(low, t.column("part").to_pylist(), t.column("packs").to_pylist(), t.column("counts").to_pylist(), strict=True):
+            n = total[begin : begin + len(x)]
+            begin += len(x)
+            keep = n > 1
+            if keep.any():
+                of = np.repeat(np.arange(len(counts) // 4), np.frombuffer(counts, "<u4"))[keep]
+                out.append((key[0].as_py(), part, packs, np.bincount(of, minlength=len(counts) // 4).astype("<u4").tobytes(), x[keep].tobytes(), np.packbits(n[keep] >= HOT).tobytes()))
+        names = ["bucket", "part", "packs", "counts", "repeated", "hot"]
+        return pa.table([pa.array([r[k] for r in out], pa.int64() if k < 2 else pa.binary()) for k in range(6)], names=names)
+
+    def parted(key, t):
+        by: dict[int, list[np.ndarray]] = {}
+        for b, packs, counts, repeated, hot in zip(*(t.column(c).to_pylist() for c in ("bucket", "packs", "counts", "repeated", "hot")), strict=True):
+            x = np.frombuffer(repeated, "<u4").astype(np.uint64) | np.uint64(b << 32)
+            flags = np.unpackbits(np.frombuffer(hot, np.uint8), count=len(x)).astype(bool)
+            ends = np.cumsum(np.frombuffer(counts, "<u4"))
+            for p, i, j in zip(np.frombuffer(packs, "<i8").tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                if i < j:
+                    by.setdefault(p, []).append((x[i:j], x[i:j][flags[i:j]]))
+        whole = [(p, *[np.sort(np.concatenate(y)).astype("<u8").tobytes() for y in zip(*found, strict=True)]) for p, found in by.items()]
+        return pa.table([pa.array([r[k] for r in whole], pa.binary() if k else pa.int64()) for k in range(3)], names=["pack", "repeated", "hot"])
+
+    found = asked.groupBy("bucket").applyInArrow(counted, "bucket long, part long, packs binary, counts binary, repeated binary, hot binary")
+    return found.groupBy("part").applyInArrow(parted, "pack long, repeated binary, hot binary")
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted known?"""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> bytes:
@@ -175,47 +230,55 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> bytes:
     return np.stack([first, last + SPAN - 1], 1).astype("<i4").tobytes()
 
 
-def strings(packs: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
+def strings(packs: DataFrame, answered: DataFrame, buckets: int, asked: int) -> DataFrame:
     """(bucket, pack, what): with a bucket, the pack's distinct runs with repeated anchors; with bucket -1, places that repeat inside the pack."""
-    got = answered.groupBy("pack").agg(F.collect_list(F.struct("bucket", "repeated")).alias("got"))
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                data, lens, ids = _open(row)
+                data, lens = _open(row)
+                ids, sums = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sums"], "<u4")
                 r = Runs(data, lens)
-                known = np.sort(np.concatenate([np.frombuffer(g["repeated"], "<u4").astype(np.uint64) | np.uint64(g["bucket"] << 32) for g in row["got"]]))
-                bucket = r.anchor % np.uint64(buckets)
-                mine = (r.anchor >> np.uint64(32)) | bucket << np.uint64(32)
-                use = np.flatnonzero(known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine)
-                if not len(use):
+                mine = (r.anchor >> np.uint64(32)) | (r.anchor % np.uint64(asked)) << np.uint64(32)
+                use = _among(mine, np.frombuffer(row["repeated"], "<u8"))
+                hot = use & _among(mine, np.frombuffer(row["hot"], "<u8"))
+                first, last, at, anchor = (x[use & ~hot] for x in (r.first, r.last, r.at, r.anchor))
+                bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+                if hot.any():
+                    # windows with the anchor at low, low + 1 ... low + WIDE - 1 share the bytes from low in front of it on
+                    low = np.tile(np.arange(0, SPAN - ANCHOR + 1, WIDE), int(hot.sum()))
+                    f, e, t, k = (np.repeat(x[hot], (SPAN - ANCHOR) // WIDE + 1) for x in (r.first, r.last, r.at, r.anchor))
+                    f, e = np.maximum(f, t - low - WIDE + 1), np.minimum(e, t - low + 1)
+                    some = f < e
+                    f, e, t, k, low = f[some], e[some], t[some], k[some], low[some]
+                    share = mix(r.content(t - low, t - low + SPAN - WIDE + 1) + low.astype(np.uint64))
+                    first, last, at, anchor = (np.concatenate(x) for x in ((first, f), (last, e), (at, t), (anchor, k)))
+                    bucket = np.concatenate([bucket, (share % np.uint64(buckets)).astype(np.int64)])
+                if not len(first):
                     continue
-                begins = np.cumsum(lens) - lens
-                doc = np.searchsorted(begins, r.first[use], side="right") - 1
                 # of texts that begin at one place all but the last are empty
-                ident, same = ids[doc], r.content()[use]
-                order = np.lexsort((r.first[use], ident, r.last[use] - r.first[use], same, r.anchor[use]))
-                u = use[order]
-                new = np.concatenate([[True], (same[order][1:] != same[order][:-1]) | (r.anchor[u][1:] != r.anchor[u][:-1]) | ((r.last - r.first)[u][1:] != (r.last - r.first)[u][:-1])])
-                again = u[~new]
-                rows = [(-1, _ranges(r.first[again], r.last[again]))] if len(again) else []
-                order = order[new]
-                u = use[order]
-                by, parts = _by(bucket[u].astype(np.int64))
-                u, order = u[by], order[by]
-                left, right = r.at[u] - r.first[u], r.last[u] + SPAN - 1 - r.at[u] - ANCHOR
+                doc = np.searchsorted(np.cumsum(lens) - lens, first, side="right") - 1
+                size, same, ident, check = last - first, r.content(first, last + SPAN - 1), ids[doc], sums[doc]
+                order = np.lexsort((first, check, ident, size, same, anchor))
+                new = np.ones(len(order), bool)
+                new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (same, anchor, size, at - first)], 0)
+                again = order[~new]
+                rows = [(-1, _ranges(first[again], last[again]))] if len(again) else []
+                u = order[new]
+                by, parts = _by(bucket[u])
+                u = u[by]
+                left, right = at[u] - first[u], last[u] + SPAN - 1 - at[u] - ANCHOR
                 for b, i, j in parts:
-                    w = slice(i, j)
+                    w, v = slice(i, j), u[i:j]
                     size = left[w] + right[w]
                     k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    l_of = np.repeat(left[w], size)
-                    flanks = data[np.repeat(r.first[u[w]], size) + k + np.where(k >= l_of, ANCHOR, 0)]
+                    flanks = data[np.repeat(first[v], size) + k + np.where(k >= np.repeat(left[w], size), ANCHOR, 0)]
                     head = np.array([j - i], "<i8").tobytes()
-                    body = b"".join(x.astype(t).tobytes() for x, t in ((r.anchor[u[w]], "<u8"), (same[order[w]], "<u8"), (ident[order[w]], "<i8"), (r.first[u[w]], "<i4"), (left[w], "u1"), (right[w], "u1")))
+                    body = b"".join(x.astype(t).tobytes() for x, t in ((anchor[v], "<u8"), (same[v], "<u8"), (ident[v], "<i8"), (check[v], "<u4"), (first[v], "<i4"), (left[w], "u1"), (right[w], "u1")))
                     rows.append((b, zstandard.ZstdCompressor(1).compress(head + body + flanks.tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([row["pack"]] * len(rows), pa.int64()), pa.array([x[1] for x in rows], pa.binary())], names=["bucket", "pack", "what"])
 
-    return packs.join(got, "pack").select("pack", "ids", "lens", "text", "got").mapInArrow(run, "bucket long, pack long, what binary")
+    return packs.join(answered, "pack").select("pack", "ids", "sums", "lens", "text", "repeated", "hot").mapInArrow(run, "bucket long, pack long, what binary")
 
 
 def grams(t: np.ndarray) -> np.ndarray:
@@ -239,42 +302,40 @@ def suffixes(rank: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def placed(symbols: np.ndarray) -> np.ndarray:
+    """The stable order of 32-bit symbols, by counting: numpy counts where numbers have 16 bits."""
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    high = (symbols >> np.uint32(16)).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
 def merge(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, intervals): the places of all texts, one text after another, in merged order, and for each the number of its
-    interval of places with equal first symbols, depth (a multiple of STEP) of them.
+    """(places, common): the places of all texts, one text after another, in merged order, and how many symbols, by steps of STEP up to
+    depth (a multiple of it), each has in common with the one before.
 
     The interleave vector z starts as the order of no symbols: text after text.
     """
     sizes = [len(t) for t in texts]
-    codes, number = np.unique(np.concatenate([grams(t) for t in texts]), return_inverse=True)
-    cuts = np.cumsum(sizes)[:-1]
-    orders, front = [], []
-    for rank in np.split(number.astype(np.uint32), cuts):
-        o = suffixes(rank, depth)
-        orders.append(o)
-        front.append(rank[o - STEP])  # the transform: the STEP symbols before each suffix, cyclically
-    total = sum(sizes)
+    _, number = np.unique(np.concatenate([grams(t) for t in texts]), return_inverse=True)
+    ranks = np.split(number.astype(np.uint32), np.cumsum(sizes)[:-1])
+    orders = [suffixes(rank, depth) for rank in ranks]
+    front = [rank[o - STEP] for rank, o in zip(ranks, orders, strict=True)]  # the transform: the STEP symbols before each suffix, cyclically
     z = np.repeat(np.arange(len(texts), dtype=np.uint8), sizes)
-    interval = np.zeros(total, np.uint32)
-    index = np.arange(total, dtype=np.uint64)
-    symbols = np.empty(total, np.uint64)
-    done = 0
-    while done < depth:
+    symbols = np.empty(len(z), np.uint32)
+    for _ in range(0, depth, STEP):
         for s, f in enumerate(front):
             symbols[z == s] = f
-        key = np.sort(symbols << np.uint64(32) | index)
-        order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        symbol, before = key >> np.uint64(32), interval[order]
-        z = z[order]
-        interval[0] = 0
-        interval[1:] = np.cumsum((symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1]))
-        done += STEP
-    places = np.empty(total, np.int64)
-    begin = 0
+        z = z[placed(symbols)]
+    places, begin = np.empty(len(z), np.int64), 0
     for s, o in enumerate(orders):
         places[z == s] = o + begin
         begin += sizes[s]
-    return places, interval
+    common, equal = np.zeros(len(z), np.uint8), np.arange(1, len(z))
+    for k in range(0, depth, STEP):
+        ahead = np.concatenate([np.roll(rank, -k) for rank in ranks])
+        equal = equal[ahead[places[equal]] == ahead[places[equal - 1]]]
+        common[equal] += STEP
+    return places, common
 
 
 def repeats(groups: np.ndarray, left: np.ndarray, right: np.ndarray, flanks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,7 +349,8 @@ def repeats(groups: np.ndarray, left: np.ndarray, right: np.ndarray, flanks: np.
     t[at + left] = groups + 257
     # a window never reaches the mark behind its run, so what texts are cut where doesn't matter
     edges = sorted({int(at[len(at) * s // SHARDS]) for s in range(SHARDS)} | {len(t)})
-    places, interval = merge([t[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], DEPTH)
+    places, common = merge([t[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], DEPTH)
+    interval = np.cumsum(common < DEPTH)
     run = np.searchsorted(at, places, side="right") - 1
     offset = places - at[run]
     window = offset < size[run] + 2 - DEPTH
@@ -297,10 +359,10 @@ def repeats(groups: np.ndarray, left: np.ndarray, right: np.ndarray, flanks: np.
     return run[often], offset[often], interval[often]
 
 
-def _later(groups, left, right, flanks, ident, pack, place) -> tuple[np.ndarray, np.ndarray]:
+def _later(groups, left, right, flanks, ident, check, pack, place) -> tuple[np.ndarray, np.ndarray]:
     """(run, offset) of the windows that equal an earlier one, by run and offset."""
     run, offset, interval = repeats(groups, left, right, flanks)
-    order = np.lexsort((place[run] + offset, pack[run], ident[run], interval))
+    order = np.lexsort((place[run] + offset, pack[run], check[run], ident[run], interval))
     i = interval[order]
     late = order[1:][i[1:] == i[:-1]]
     run, offset = run[late], offset[late]
@@ -312,21 +374,21 @@ def marks(dealt: DataFrame) -> DataFrame:
     """(pack, what): the places in packs of runs and windows that repeat earlier ones."""
 
     def run(key, t):
-        parts: list[list[np.ndarray]] = [[] for _ in range(8)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(9)]
         for p, raw in zip(t.column("pack").to_pylist(), t.column("what").to_pylist(), strict=True):
             raw = zstandard.ZstdDecompressor().decompress(raw)
             n, at = int(np.frombuffer(raw, "<i8", 1)[0]), 8
-            for k, kind in enumerate(("<u8", "<u8", "<i8", "<i4", "u1", "u1")):
+            for k, kind in enumerate(("<u8", "<u8", "<i8", "<u4", "<i4", "u1", "u1")):
                 x = np.frombuffer(raw, kind, n, at)
                 at += x.nbytes
                 parts[k].append(x)
-            parts[6].append(np.frombuffer(raw, np.uint8, -1, at))
-            parts[7].append(np.full(n, p))
-        anchor, same, ident, place, left, right, flanks, pack = (np.concatenate(x) for x in parts)
+            parts[7].append(np.frombuffer(raw, np.uint8, -1, at))
+            parts[8].append(np.full(n, p))
+        anchor, same, ident, check, place, left, right, flanks, pack = (np.concatenate(x) for x in parts)
         place, left, right = place.astype(np.int64), left.astype(np.int64), right.astype(np.int64)
         size = left + right
         flank_at = np.cumsum(size) - size
-        order = np.lexsort((place, pack, ident, left, size, same, anchor))
+        order = np.lexsort((place, pack, check, ident, left, size, same, anchor))
         differ = np.zeros(len(order), bool)
         differ[0] = True
         for x in (anchor, same, size, left):
@@ -346,7 +408,7 @@ def marks(dealt: DataFrame) -> DataFrame:
             end = int(np.searchsorted(group, group[end - 1], side="left" if group[end - 1] > group[begin] and end < len(order) and group[end] == group[end - 1] else "right"))
             u = order[begin:end]
             k = np.arange(size[u].sum()) - np.repeat(np.cumsum(size[u]) - size[u], size[u])
-            r, o = _later(group[begin:end] - group[begin], left[u], right[u], flanks[np.repeat(flank_at[u], size[u]) + k], ident[u], pack[u], place[u])
+            r, o = _later(group[begin:end] - group[begin], left[u], right[u], flanks[np.repeat(flank_at[u], size[u]) + k], ident[u], check[u], pack[u], place[u])
             if len(r):
                 new = np.concatenate([[True], (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)])
                 first = np.flatnonzero(new)
@@ -369,7 +431,8 @@ def removed_from(packs: DataFrame, places: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                data, lens, ids = _open(row)
+                data, lens = _open(row)
+                ids = np.frombuffer(row["ids"], "<i8")
                 gone = np.zeros(len(data) + 1, np.int32)
                 for x in row["places"] or []:
                     x = np.frombuffer(x, "<i4").reshape(-1, 2)
@@ -392,9 +455,10 @@ def removed_from(packs: DataFrame, places: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept binary) for every row: its text without repeated bytes."""
     packs = cut(packs_of(docs, id_col, text_col), "suffix-packs")
-    buckets = int(max(8, (packs.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET))
-    answered = cut(answers(questions(packs.select("pack", "ids", "lens", "text"), buckets)), "suffix-answers")
-    dealt = cut(strings(packs, answered, buckets), "suffix-strings")
+    n = packs.agg(F.sum("n_bytes")).first()[0] or 0
+    buckets, asked = max(8, n // BUCKET), max(8, n // ASKED)
+    answered = cut(answers(questions(packs.select("pack", "part", "lens", "text"), asked)), "suffix-answers")
+    dealt = cut(strings(packs, answered, buckets, asked), "suffix-strings")
     drop(answered)
     found = cut(marks(dealt.where("bucket >= 0")).unionByName(dealt.where("bucket < 0").select("pack", "what")), "suffix-marks")
     drop(dealt)
