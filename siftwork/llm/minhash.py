@@ -35,8 +35,8 @@ from .common import components, cut, drop, spread, spread_join
 REGISTERS, MANTISSA = 128, 8
 ROUNDS = 6
 LEADERS = 3
-#: Rows of a bucket, and bytes of their sets, that are compared together, about.
-BLOCK, BLOCK_BYTES = 512, 32 << 20
+#: Rows of a bucket that are compared together, about: BLOCK, or one in SHARE of larger buckets up to MOST, and bytes of their sets.
+BLOCK, SHARE, MOST, BLOCK_BYTES = 128, 32, 1024, 32 << 20
 #: Ids (of eight bytes) that are broadcast at most.
 SENT = 2_000_000
 _LOW = np.uint64((1 << 57) - 1)
@@ -246,19 +246,20 @@ def links_across(band: int, rows: int, out: list[tuple], every: list[tuple], per
 
 def meetings(members: DataFrame) -> DataFrame:
     """(key, band, i, j, side, outside, node, comp) from members(key, band, node, comp, n), a table: who meets whom. In each bucket of
-    several components, those outside its largest one (side 0, block i) meet all (side 1, block j). Block sizes are bounded in rows
-    and in bytes of sets; a bucket has n_all * blocks_out + n_out * blocks_all rows."""
+    several components, those outside its largest one (side 0, block i) meet all (side 1, block j; side 2 where
+    one row is both). Block sizes are bounded in rows and in bytes of sets; a bucket has n_all * blocks_out + n_out * blocks_all rows at most."""
     per = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     most = F.max(F.struct("c", "w", "comp"))
     open_ = per.groupBy("key").agg(most.alias("most"), F.sum("c").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
-    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w * 6 / BLOCK_BYTES)).cast("long")
+    size = F.least(F.greatest(F.lit(BLOCK), F.floor(F.col("n") / SHARE)), F.lit(max(BLOCK, MOST)))
+    blocks = lambda c, w: F.greatest(F.ceil(c / size), F.ceil(w * 6 / BLOCK_BYTES)).cast("long")
     open_ = cut(open_.select("key", "n", F.col("most.comp").alias("largest"), blocks(F.col("n"), F.col("w")).alias("n_j"), blocks(F.col("n") - F.col("most.c"), F.col("w") - F.col("most.w")).alias("n_i")), "minhash-open")
     both = spread_join(members.select("key", "band", "node", "comp"), open_.drop("n"), "key", members.count(), open_.select("key", "n"))
     outside = F.col("comp") != F.col("largest")
     mine = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.col(f"n_{k}"))
     upto = lambda k: F.sequence(F.lit(0).cast("long"), F.col(f"n_{k}") - 1)
-    as_member = F.transform(upto("i"), lambda i: F.struct(i.alias("i"), mine("j").alias("j"), F.lit(1).alias("side")))
-    as_outsider = F.transform(upto("j"), lambda j: F.struct(mine("i").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    as_member = F.transform(F.filter(upto("i"), lambda i: ~outside | (i != mine("i"))), lambda i: F.struct(i.alias("i"), mine("j").alias("j"), F.lit(1).alias("side")))
+    as_outsider = F.transform(upto("j"), lambda j: F.struct(mine("i").alias("i"), j.alias("j"), F.when(j == mine("j"), 2).otherwise(0).alias("side")))
     rows = both.select("key", "band", outside.alias("outside"), "node", "comp", F.explode(F.when(outside, F.concat(as_outsider, as_member)).otherwise(as_member)).alias("to"))
     return rows.select("key", "band", "to.i", "to.j", "to.side", "outside", "node", "comp")
 
@@ -272,7 +273,7 @@ def remaining(met: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 
     def run(batches):
         def found(group: list[tuple]):
-            sides = [[row[5:] for row in group if row[4] == side] for side in (0, 1)]
+            sides = [[row[5:] for row in group if row[4] in side] for side in ((0, 2), (1, 2))]
             a, b = links_across(group[0][3], width, *sides, percent, least) if all(sides) else ([], [])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 

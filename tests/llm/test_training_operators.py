@@ -84,6 +84,7 @@ def test_near_dedup_equals_brute_force(spark, percent):
 
 def test_near_dedup_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "MOST", 4)
     rows = near_copies(3)
     got = {r.doc_id: r.component_id for r in minhash.cluster(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
     assert got == brute_components(rows, 85)
