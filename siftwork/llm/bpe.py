@@ -20,8 +20,9 @@ from .common import small, spread
 
 #: Characters beyond which a text is encoded piece by piece.
 PIECE = 1 << 16
-#: Between a letter, digit or underscore and a space or newline every split pattern of this family begins a new match.
-SAFE = re.compile(r"\w(?=[ \n])")
+#: Between a letter or digit and a space or newline every split pattern of this family begins a new match. (An underscore is
+#: punctuation to them, which may take newlines along.)
+SAFE = re.compile(r"[^\W_](?=[ \n])")
 
 
 @functools.lru_cache(maxsize=4)

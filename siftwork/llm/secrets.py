@@ -2,7 +2,8 @@
 
 Base spans (assign, access, hex) are always reported. Weak candidates are parts that prove nothing alone: a login name or
 key identifier (ident), a short or high-entropy value (part) and an address (endpoint). An interval join over each scope
-reports a weak one only where a complementary part lies in the same scope within REACH characters:
+reports a weak one only where a complementary part lies in the same scope, and within `reach` characters (REACH, unless the caller
+says otherwise; None: anywhere in the scope):
 
 * ident     with any secret part: assign, hex or part
 * part      with any identifier: access or ident
@@ -76,45 +77,45 @@ def _near(starts: list[int], ends: list[int], lo: int, hi: int) -> bool:
     return bisect.bisect_left(starts, hi) > bisect.bisect_right(ends, lo)
 
 
-def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], reach: int | None = REACH) -> list[tuple[int, int, int]]:
     """The weak parts with their complement near: an interval join on sorted ends, linear but for the look-ups."""
     taken = [(s, e) for s, _, e in base]
     starts, ends = [s for s, _ in taken], sorted(e for _, e in taken)
     weak = [w for w in weak if w[1] == 5 or not _near(starts, ends, w[0], w[2])]
     if not weak:
         return []
-    walls = [m.start() for m in _BLANK.finditer(text)]
+    walls, reach = [m.start() for m in _BLANK.finditer(text)], len(text) if reach is None else reach
     secret = sorted((s, e) for s, k, e in [*base, *weak] if k in (0, 2, 4))
     ident = sorted((s, e) for s, k, e in [*base, *weak] if k in (1, 3))
     sides = [([s for s, _ in x], sorted(e for _, e in x)) for x in (secret, ident)]
     out = []
     for s, k, e in weak:
         i = bisect.bisect_left(walls, s)
-        lo = max(s - REACH, walls[i - 1] if i else 0)
+        lo = max(s - reach, walls[i - 1] if i else 0)
         j = bisect.bisect_left(walls, e)
-        hi = min(e + REACH, walls[j] if j < len(walls) else len(text))
+        hi = min(e + reach, walls[j] if j < len(walls) else len(text))
         near = [_near(*side, lo, hi) for side in sides]
         if near[0] if k == 3 else near[1] if k == 4 else all(near):
             out.append((s, k, e))
     return out
 
 
-def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans_of(text: str, reach: int | None = REACH) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
     weak = weak_parts(text)
-    return base, sorted({*base, *link(text, base, weak)}) if weak else base
+    return base, sorted({*base, *link(text, base, weak, reach)}) if weak else base
 
 
 def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
     """(id_col, base string, spans string): comma-joined kind:start:end by start, then kind; code points, end exclusive."""
 
     def run(batches):
         for batch in small(batches):
-            found = [spans_of(t or "") for t in batch.column(1).to_pylist()]
+            found = [spans_of(t or "", reach) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_said(b) for b, _ in found], pa.string()), pa.array([_said(a) for _, a in found], pa.string())], names=[id_col, "base", "spans"])
 
     rows = spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)))

@@ -6,7 +6,8 @@ triangle inequality holds. A node's subtree is skipped if the distance to its sh
 divided by `factor`: 1 restores exact search, larger factors skip more and may miss some.
 
 Index and queries are packed into rows of a bounded number of vectors; each block of queries meets each shard once, in a join by
-shard, and only the best `k` of every meeting are shuffled. Scores are computed on the original vectors in double precision,
+shard and slice of SLICE blocks (a shard is repeated for each slice, and its tree built there), so that there are more tasks than shards
+where there are many queries, and only the best `k` of every meeting are shuffled. Scores are computed on the original vectors in double precision,
 component by component from the first, so equal vectors have equal scores wherever they lie.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, neither do rows with a null id or a
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 #: Vectors in a shard and queries in a block, about.
 SHARD, BLOCK = 8192, 256
 LEAF = 256
+#: Blocks of queries that share one task's tree.
+SLICE = 4
 _SLACK = 1e-9
 
 
@@ -151,14 +154,16 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1
     deal = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("long")
     packed = _pack(index.withColumn("shard", deal(shards)), "shard", kind)
     asked = _pack(queries.withColumn("block", deal(blocks)), "block", kind).withColumnRenamed("ids", "q_ids").withColumnRenamed("vectors", "q_vectors")
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    meet = packed.join(asked, ["shard", "dim"]).select("shard", "dim", "ids", "vectors", "q_ids", "q_vectors").sortWithinPartitions("shard", "dim")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = asked.withColumn("slice", F.floor(F.col("block") / SLICE)).withColumn("shard", upto(shards))
+    packed = packed.withColumn("slice", upto(-(-blocks // SLICE)))
+    meet = packed.join(asked, ["shard", "slice", "dim"]).select("shard", "dim", "ids", "vectors", "q_ids", "q_vectors", "slice").sortWithinPartitions("shard", "slice", "dim")
 
     def run(batches):
         held, tree, points, ids = None, None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                s, dim, raw_ids, raw, q_ids, q_raw = (batch.column(c)[i].as_py() for c in range(6))
+                s, dim, raw_ids, raw, q_ids, q_raw = (batch.column(c)[i].as_py() for c in range(6))  # rows come by shard
                 if held != (s, dim):
                     ids, points = np.frombuffer(raw_ids, "<i8"), np.frombuffer(raw, kind).reshape(-1, dim).astype(float)
                     held, tree = (s, dim), Tree(lift(points))

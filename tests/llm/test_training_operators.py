@@ -474,15 +474,18 @@ def test_vp_trees_are_exact(spark):
     x[100:160] = x[7]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(900, None, 1), (901, [], 1), (902, [0.0] * 6, 1), (903, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (904, [float("nan")] * 6, 1), (905, [float("inf")] + [0.0] * 5, 1), (906, [1.0, 2.0], 1), (None, [1.0] * 6, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = vptree.nearest(df, df.where("vec_id % 20 = 0"), shard=150, block=16).collect()
+    df = df.unionByName(df.where("vec_id = 45"))  # rows of one id are candidates of their own
+    x = np.concatenate([x, x[45:46]])
+    ident = [*range(700), 45]
+    got = vptree.nearest(df, df.where("vec_id % 20 = 0"), shard=150, block=4).collect()
     found = {}
     for h in sorted(got, key=lambda h: h["rank"]):
         found.setdefault(h.query_id, []).append((h.vec_id, h.score))
     assert set(found) == set(range(0, 700, 20))
     for q, hits in found.items():
         scores = vptree.inner(x[q].astype(float), x.astype(float))
-        want = sorted((i for i in range(700) if i != q), key=lambda i: (-scores[i], i))[:20]
-        assert [i for i, _ in hits] == want and [s for _, s in hits] == [scores[i] for i in want]
+        want = sorted((i for i in range(701) if ident[i] != q), key=lambda i: (-scores[i], ident[i]))[:20]
+        assert [i for i, _ in hits] == [ident[i] for i in want] and [s for _, s in hits] == [scores[i] for i in want]
     assert vptree.nearest(df.limit(0), df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.5, 1.0], 1)], df.schema)
     assert [(h.query_id, h["rank"], h.vec_id, h.score) for h in vptree.nearest(few, few.where("vec_id = 0")).collect()] == [(0, 1, 1, 0.5)]
@@ -531,6 +534,30 @@ def test_secrets_link_weak_parts(spark):
     assert secrets.summary(secrets.scan(d)).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 
+def brute_links(text, reach):
+    """Each weak part against all other parts of its scope."""
+    base, weak = secrets.base_spans(text), secrets.weak_parts(text)
+    meets = lambda a, b, c, d: a < d and c < b
+    weak = [w for w in weak if w[1] == 5 or not any(meets(w[0], w[2], s, e) for s, _, e in base)]
+    walls = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    out = set(base)
+    for s, k, e in weak:
+        lo, hi = max([0, *[w for w in walls if w < s]]), min([len(text), *[w for w in walls if w >= e]])
+        if reach is not None:
+            lo, hi = max(lo, s - reach), min(hi, e + reach)
+        near = {j for a, j, b in [*base, *weak] if meets(a, b, lo, hi)}
+        secret, ident = bool(near & {0, 2, 4}), bool(near & {1, 3})
+        if {3: secret, 4: ident, 5: secret and ident}[k]:
+            out.add((s, k, e))
+    return sorted(out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["user: bob", "password: short1", "token=abc123def456ghi7", "AKIA9Z8Y7X6W5V4U3T", "0123456789abcdef", "https://db.example.org/x", "Zm9vYmFyOTk4N2FiQ0RFRkdI", " and words ", "\n", "\n\n", "\n \n", "filler " * 8]), max_size=12).map(" ".join), st.sampled_from([None, 20, 60, 400]))
+def test_secret_links_equal_all_pairs(text, reach):
+    assert secrets.spans_of(text, reach)[1] == brute_links(text, reach)
+
+
 def test_arc_lines_and_lengths():
     for version in (1, 2):
         data = warc.arc_head(version, "a.arc") + warc.arc_record(version, "http://a b/ü", "20010203040506", b"HTTP/1.1 200 OK\r\n\r\nhi\n\nthere") + warc.arc_record(version, "http://c/", "2001", b"") + b"\nnonsense\n" + warc.arc_record(version, "http://d/", "2001", b"abc")[:-1]
