@@ -5,6 +5,9 @@ name besides) blocks. convert() gives each record a WARC identifier, timestamp,
 UUIDs that hold the record's 64-bit key and 58 bits of a hash of its URI, date and payload, so that equal input gives equal
 archives, and a revisit names its original without a join.
 
+An archive that is written has one gzip member for each record, begins with a warcinfo record and is bounded in bytes: its rows, BUNDLE bytes of
+records or one longer record, are PER_FILE at most. load_arcs() reads a folder of legacy archives, plain or gzipped.
+
 A record whose declared length runs beyond the data is kept and marked as truncated; a header line that doesn't parse is
 skipped. Null payloads count as empty. Rows with equal key and payload are written once each, with the same type. A null key
 is written without the key header and never revisits. Extra columns are ignored, an empty table gives no records.
@@ -22,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, spread
+from .common import cut, drop, new_path, spread
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 KEY = "X-Record-Key"
 #: Fixed: the names of the fields of a record's line, by the version of its archive.
 FIELDS = {1: ("url", "ip", "date", "mime", "length"), 2: ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "file", "length")}
-#: Records written into one archive at most; bounds what a reader holds.
-PER_FILE = 5000
+#: Bytes of records in a row of an archive, unless one record alone is longer, and rows of an archive: bounds what a reader holds.
+BUNDLE, PER_FILE = 8 << 20, 16
 
 
 class ArcRecord(NamedTuple):
@@ -76,6 +79,27 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         at += n
 
 
+def inflated(data: bytes) -> bytes:
+    """An archive without its gzip members, if it has any; what follows a broken member is lost."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    z, out = Inflate(data), bytearray()
+    try:
+        while z.more():
+            out += z.buffer
+            z.buffer.clear()
+    except zlib.error:
+        pass
+    return bytes(out + z.buffer)
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member that ends in a zero byte: the length's highest one, or an empty member behind a record of 16 MB or more."""
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = z.compress(record) + z.flush()
+    return out if out[-1] == 0 else out + member(b"")
+
+
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """Head, with its empty line, and payload; no head where the block isn't an HTTP message."""
     if not block.startswith(b"HTTP/"):
@@ -202,6 +226,11 @@ def make_arcs(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
 RECORD = "key long, url string, date string, truncated boolean, block binary, digest string, n_bytes long"
 
 
+def load_arcs(spark, path: str) -> DataFrame:
+    """(name, content): the archives in a folder, as read_arcs() takes them. Archives of 2 GB or more can't be read as one value."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
 def read_arcs(arcs: DataFrame, content_col: str = "content") -> DataFrame:
     """The records of legacy archives: key (of the KEY header, else null), url, date, truncated, block, payload's digest and n_bytes."""
 
@@ -210,7 +239,7 @@ def read_arcs(arcs: DataFrame, content_col: str = "content") -> DataFrame:
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 rows = []
-                for r in parse_arc(content or b""):
+                for r in parse_arc(inflated(content or b"")):
                     head, body = split_http(r.block)
                     key = field(head, KEY)
                     rows.append((int(key) if key else None, r.fields["url"], r.fields["date"], r.truncated, r.block, hashlib.sha256(body).hexdigest(), len(body)))
@@ -222,30 +251,44 @@ def read_arcs(arcs: DataFrame, content_col: str = "content") -> DataFrame:
 
 def originals(records: DataFrame, least: int = LEAST) -> DataFrame:
     """(key, digest, first struct<key, url, date>) of the records that revisit another: of equal payloads of at least `least` bytes all but the one with the smallest key. Only narrow rows are shuffled; a payload that very many records share is pre-aggregated."""
-    narrow = cut(records.select("key", "url", "date", "digest", "n_bytes"), "warc-narrow").where(F.col("n_bytes") >= least)
+    narrow = records.select("key", "url", "date", "digest", "n_bytes").where(F.col("n_bytes") >= least)
     first = narrow.where("key IS NOT NULL").groupBy("digest").agg(F.min(F.struct("key", "url", "date")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return narrow.join(first, "digest").where(F.col("key") > F.col("first.key")).select("key", "digest", "first").distinct()
 
 
-def write_warcs(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
-    """Gzipped WARC archives of the records in the folder path, written by Spark's own writer."""
+def write_warcs(records: DataFrame, path: str, per_file: int = PER_FILE, bundle: int = BUNDLE) -> None:
+    """WARC archives of the records in the folder path, written by Spark's own writer. Records are a table from here on, so that archives are parsed once."""
+    records = cut(records, "warc-records", "zstd")
     again = originals(records).select(F.col("key").alias("k"), F.col("digest").alias("d"), "first")
     rows = records.join(again, (F.col("key") == F.col("k")) & (F.col("digest") == F.col("d")), "left").select("key", "url", "date", "truncated", "block", "digest", "first.key", "first.url", "first.date")
 
     def run(batches):
         info = warc_record("warcinfo", [("WARC-Record-ID", f"<{record_id(0, 'warcinfo')}>"), ("WARC-Date", "2001-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"software: siftwork\r\nformat: WARC File Format 1.1\r\n")
-        begun = False
+        out, size, written = [], 0, 0
+
+        def row():
+            nonlocal out, size, written
+            head, written = [member(info)] if written % per_file == 0 else [], written + 1
+            # the writer ends each row with a zero byte, which is the last record's own
+            made = pa.RecordBatch.from_arrays([pa.array([b"".join(head + out)[:-1]], pa.binary())], names=["rows"])
+            out, size = [], 0
+            return made
+
         for batch in batches:
-            out = [] if begun else [info]
-            for key, url, date, truncated, block, digest, k, u, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.append(convert(key, url, date, truncated, block, digest, None if k is None else (k, u, d)))
-            begun = True
-            # the writer ends each row with a newline, which is the record's last byte
-            yield pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], names=["record"])
+            for at in range(0, batch.num_rows, 64):
+                for key, url, date, truncated, block, digest, k, u, d in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    made = convert(key, url, date, truncated, block, digest, None if k is None else (k, u, d))
+                    if out and size + len(made) > bundle:
+                        yield row()
+                    out.append(member(made))
+                    size += len(made)
+        if out:
+            yield row()
 
     names = ["key", "url", "date", "truncated", "block", "digest", "first_key", "first_url", "first_date"]
-    made = rows.toDF(*names).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+    made = rows.toDF(*names).mapInArrow(run, "rows binary").select(F.col("rows").cast("string").alias("value"))
+    made.write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+    drop(records)
 
 
 def read_warcs(spark, path: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """The training-data operators against brute force and on the odd cases: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
 import datetime
+import gzip
 import hashlib
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -590,6 +592,34 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    """Each record is a gzip member of its own, each file begins with a warcinfo and stays within its bytes; archives come from a folder, gzipped or not."""
+    (tmp_path / "arcs").mkdir()
+    pages = [(i, f"http://h/{i}", "HTTP/1.1 200 OK\r\n" + f"{warc.KEY}: {i}\r\n\r\n" + "x" * (i * 100)) for i in range(30)]
+    for n, version in ((0, 1), (1, 2)):
+        parts = [warc.arc_head(version, f"{n}.arc"), *[warc.arc_record(version, u, "20010101", b.encode()) for i, u, b in pages if i % 2 == n]]
+        raw = b"".join(map(gzip.compress, parts)) if n else b"".join(parts)
+        (tmp_path / "arcs" / f"{n}.arc").write_bytes(raw)
+    records = warc.read_arcs(warc.load_arcs(spark, str(tmp_path / "arcs")))
+    warc.write_warcs(records.coalesce(1), str(tmp_path / "out"), per_file=3, bundle=2000)
+    files = list((tmp_path / "out").glob("part-*"))
+    assert len(files) > 3
+    n = 0
+    for f in files:
+        data, members = f.read_bytes(), 0
+        while data:
+            z = zlib.decompressobj(31)
+            record = z.decompress(data)
+            assert z.eof and record.startswith(b"WARC/1.1\r\n") and (b"WARC-Type: warcinfo" in record) == (members == 0)
+            data, members = z.unused_data, members + 1
+        n += members - 1
+    assert n == 30
+    got = {r.key: r.payload_bytes for r in warc.read_warcs(spark, str(tmp_path / "out")).collect()}
+    assert got == {i: i * 100 for i in range(30)}
+    assert len(warc.member(b"a" * (1 << 24))) > 40 and warc.member(b"a" * (1 << 24))[-1] == 0
+    assert warc.inflated(gzip.compress(b"one") + gzip.compress(b"two") + b"\x1f\x8bbroken") == b"onetwo"
+
+
 def enc():
     import public_tokenizers as tokenizers
 
