@@ -44,9 +44,9 @@ DEPTH = SPAN - ANCHOR + 1
 #: Bytes of text in a pack, unless one text alone is longer, and for which there is one bucket.
 PACK = BUCKET = 4 << 20
 #: Bytes of text for which there is one bucket of questions, and anchors that are asked for together, about.
-ASKED, TOGETHER = 32 << 20, 1 << 22
+ASKED, TOGETHER = 64 << 20, 1 << 20
 #: Runs from which on an anchor is hot, and places of it in a window that then stay together.
-HOT, WIDE = 8192, 3
+HOT, WIDE = 1 << 15, 6
 #: Symbols that are merged at a time, unless one anchor's runs are more; anchors, which are symbols above the bytes.
 UNIT, ANCHORS = 1 << 20, 60_000
 _LAST = (1 << 63) - 1
@@ -231,7 +231,7 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> bytes:
 
 
 def strings(packs: DataFrame, answered: DataFrame, buckets: int, asked: int) -> DataFrame:
-    """(bucket, pack, what): with a bucket, the pack's distinct runs with repeated anchors; with bucket -1, places that repeat inside the pack."""
+    """(bucket, pack, what): with a bucket, the pack's distinct runs with repeated anchors; with a negative one, places that repeat inside the pack."""
 
     def run(batches):
         for batch in batches:
@@ -263,7 +263,7 @@ def strings(packs: DataFrame, answered: DataFrame, buckets: int, asked: int) ->
                 new = np.ones(len(order), bool)
                 new[1:] = np.any([x[order][1:] != x[order][:-1] for x in (same, anchor, size, at - first)], 0)
                 again = order[~new]
-                rows = [(-1, _ranges(first[again], last[again]))] if len(again) else []
+                rows = [(-1 - row["pack"] % buckets, _ranges(first[again], last[again]))] if len(again) else []
                 u = order[new]
                 by, parts = _by(bucket[u])
                 u = u[by]
@@ -317,7 +317,8 @@ def merge(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """
     sizes = [len(t) for t in texts]
     _, number = np.unique(np.concatenate([grams(t) for t in texts]), return_inverse=True)
-    ranks = np.split(number.astype(np.uint32), np.cumsum(sizes)[:-1])
+    number = number.astype(np.uint32)
+    ranks = np.split(number, np.cumsum(sizes)[:-1])
     orders = [suffixes(rank, depth) for rank in ranks]
     front = [rank[o - STEP] for rank, o in zip(ranks, orders, strict=True)]  # the transform: the STEP symbols before each suffix, cyclically
     z = np.repeat(np.arange(len(texts), dtype=np.uint8), sizes)
@@ -330,10 +331,10 @@ def merge(texts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     for s, o in enumerate(orders):
         places[z == s] = o + begin
         begin += sizes[s]
+    # (behind the end of a text stands the next one: no window reaches there)
     common, equal = np.zeros(len(z), np.uint8), np.arange(1, len(z))
     for k in range(0, depth, STEP):
-        ahead = np.concatenate([np.roll(rank, -k) for rank in ranks])
-        equal = equal[ahead[places[equal]] == ahead[places[equal - 1]]]
+        equal = equal[number.take(places[equal] + k, mode="wrap") == number.take(places[equal - 1] + k, mode="wrap")]
         common[equal] += STEP
     return places, common
 
@@ -371,9 +372,11 @@ def _later(groups, left, right, flanks, ident, check, pack, place) -> tuple[np.n
 
 
 def marks(dealt: DataFrame) -> DataFrame:
-    """(pack, what): the places in packs of runs and windows that repeat earlier ones."""
+    """(pack, what): the places in packs of runs and windows that repeat earlier ones, and those known already."""
 
     def run(key, t):
+        if key[0].as_py() < 0:
+            return t.select(["pack", "what"])
         parts: list[list[np.ndarray]] = [[] for _ in range(9)]
         for p, raw in zip(t.column("pack").to_pylist(), t.column("what").to_pylist(), strict=True):
             raw = zstandard.ZstdDecompressor().decompress(raw)
@@ -458,8 +461,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n = packs.agg(F.sum("n_bytes")).first()[0] or 0
     buckets, asked = max(8, n // BUCKET), max(8, n // ASKED)
     answered = cut(answers(questions(packs.select("pack", "part", "lens", "text"), asked)), "suffix-answers")
-    dealt = cut(strings(packs, answered, buckets, asked), "suffix-strings")
+    found = cut(marks(strings(packs, answered, buckets, asked)), "suffix-marks")
     drop(answered)
-    found = cut(marks(dealt.where("bucket >= 0")).unionByName(dealt.where("bucket < 0").select("pack", "what")), "suffix-marks")
-    drop(dealt)
     return removed_from(packs, found).withColumnRenamed("id", id_col)

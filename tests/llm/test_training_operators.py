@@ -219,15 +219,13 @@ def test_suffix_dedup_parts_a_hot_anchor(spark, monkeypatch):
     """One passage in every document: the texts around it are dealt into many buckets, and rows of one id don't depend on the partitions."""
     passage, r = words(40, 8), random.Random(8)
     rows = [(i, f"{words(6, 1000 + i)} {passage} {words(6, 5000 + i)}") for i in range(1500)]
-    dealt, cut = {}, suffix.cut
+    dealt, marks = {}, suffix.marks
 
-    def seen(df, name):
-        out = cut(df, name)
-        if name == "suffix-strings":
-            dealt[suffix.HOT] = max(x.n for x in out.where("bucket >= 0").groupBy("bucket").agg(F.sum(F.length("what")).alias("n")).collect())
-        return out
+    def seen(out):
+        dealt[suffix.HOT] = max(x.n for x in out.where("bucket >= 0").groupBy("bucket").agg(F.sum(F.length("what")).alias("n")).collect())
+        return marks(out)
 
-    monkeypatch.setattr(suffix, "cut", seen)
+    monkeypatch.setattr(suffix, "marks", seen)
     monkeypatch.setattr(suffix, "BUCKET", 1000)
     got = {}
     for hot in (8192, 50):
