@@ -43,8 +43,8 @@ SPAN, ANCHOR, STEP, SHARDS = 100, 65, 4, 4
 DEPTH = SPAN - ANCHOR + 1
 #: Bytes of text in a pack, unless one text alone is longer, and for which there is one bucket.
 PACK = BUCKET = 4 << 20
-#: Bytes of text for which there is one bucket of questions, and anchors that are asked for together, about.
-ASKED, TOGETHER = 64 << 20, 1 << 20
+#: Bytes of text for which there is one bucket of questions, least and most, and anchors that are asked for together, about.
+ASKED, TOGETHER = (16 << 20, 64 << 20), 1 << 20
 #: Runs from which on an anchor is hot, and places of it in a window that then stay together.
 HOT, WIDE = 1 << 15, 6
 #: Symbols that are merged at a time, unless one anchor's runs are more; anchors, which are symbols above the bytes.
@@ -459,7 +459,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(id_col, n_bytes, n_removed, n_spans, kept binary) for every row: its text without repeated bytes."""
     packs = cut(packs_of(docs, id_col, text_col), "suffix-packs")
     n = packs.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets, asked = max(8, n // BUCKET), max(8, n // ASKED)
+    buckets, asked = max(8, n // BUCKET), max(8, n // min(ASKED[1], max(ASKED[0], n >> 11)))
     answered = cut(answers(questions(packs.select("pack", "part", "lens", "text"), asked)), "suffix-answers")
     found = cut(marks(strings(packs, answered, buckets, asked)), "suffix-marks")
     drop(answered)
