@@ -23,28 +23,59 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>>: leftmost matches that don't overlap, offsets in code points, end exclusive. Null text: null."""
+def running(sizes: Column, block: int = 256):
+    """A function of i: the sum of the first i numbers of an array. Sums of blocks are added up once, so that none is added for every i again."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    blocks = F.sequence(F.lit(0), F.floor(F.size(sizes) / block).cast("int"))
+    ends = F.aggregate(blocks, F.array(F.lit(0)), lambda done, b: F.array_append(done, F.element_at(done, -1) + total(F.slice(sizes, b * block + 1, block))))
+
+    def upto(ends: Column):
+        at = lambda i: F.floor(i / block).cast("int")
+        return lambda i: F.get(ends, at(i)) + F.when(i % block == 0, 0).otherwise(total(F.slice(sizes, at(i) * block + 1, i % block)))
+
+    return lambda body: let(ends, lambda e: body(upto(e)))
+
+
+#: Characters around a span that spans() can tell.
+NEAR = 30
+
+
+def spans(text: Column, pattern: str, near: bool = False) -> Column:
+    """array<struct<start, end, value>>: leftmost matches that don't overlap, offsets in code points, end exclusive. Null text: null.
+    near: with lead and trail, up to NEAR characters on either side, put together from the pieces beside a match, so that the text isn't gone through for each."""
     pattern = java(pattern)
+    none = F.array().cast(f"array<struct<start:int,end:int,value:string{',lead:string,trail:string' if near else ''}>>")
+    joined = lambda a, b: F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x, y)), "")
 
     def placed(m: Column) -> Column:
+        def sides(gaps: Column, i: Column) -> list[Column]:
+            # matches have six characters or more: five pieces are enough
+            front, back = F.get(gaps, i), F.get(gaps, i + 1)
+            at, n = F.greatest(i - 5, F.lit(0)) + 1, F.least(i, F.lit(5))
+            lead = F.when(F.length(front) >= NEAR, F.right(front, F.lit(NEAR))).otherwise(F.right(F.concat(joined(F.slice(gaps, at, n), F.slice(m, at, n)), front), F.lit(NEAR)))
+            trail = F.when(F.length(back) >= NEAR, F.left(back, F.lit(NEAR))).otherwise(F.left(F.concat(back, joined(F.slice(m, i + 2, F.lit(5)), F.slice(gaps, i + 3, F.lit(5)))), F.lit(NEAR)))
+            return [lead.alias("lead"), trail.alias("trail")] if near else []
+
         def at(gaps: Column) -> Column:
-            upto = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-            one = lambda v, i: let(upto(gaps, i + 1) + upto(m, i), lambda s: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))
-            return F.transform(m, one)
+            def of(sizes: Column) -> Column:
+                one = lambda upto: lambda v, i: let(upto(i) + F.length(F.get(gaps, i)), lambda s: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value"), *sides(gaps, i)))
+                return running(sizes)(lambda upto: F.transform(m, one(upto)))
+
+            return let(F.transform(m, lambda v, i: F.length(F.get(gaps, i)) + F.length(v)), of)
 
-        return let(F.split(text, pattern, -1), at)
+        # a text without matches isn't parted
+        return F.when(F.size(m) == 0, none).otherwise(let(F.split(text, pattern, -1), at))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
-def before(text: Column, s: Column, n: int = 1) -> Column:
-    """Up to n characters in front of a span."""
-    return text.substr(F.greatest(s["start"] - n, F.lit(0)) + 1, F.least(s["start"], F.lit(n)))
+def before(s: Column, n: int = 1) -> Column:
+    """Up to n characters in front of a span with its sides."""
+    return F.right(s["lead"], F.lit(n))
 
 
-def after(text: Column, s: Column, n: int = 1) -> Column:
-    return text.substr(s["end"] + 1, F.lit(n))
+def after(s: Column, n: int = 1) -> Column:
+    return F.left(s["trail"], F.lit(n))
 
 
 def normalize(text: Column) -> Column:

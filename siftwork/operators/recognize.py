@@ -22,70 +22,69 @@ def _found(text: Column, name: str, keep, kind: str, rule, confidence) -> Column
     text = F.coalesce(text, F.lit(""))
     as_col = lambda x, s: x(s) if callable(x) else F.lit(x)
     made = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("type"), F.lit(schema.TIERS[kind]).alias("tier"), as_col(confidence, s).cast("double").alias("confidence"), as_col(rule, s).alias("rule_id"))
-    return let(spans(text, schema.PATTERNS[name]), lambda all_: F.transform(F.filter(all_, lambda s: keep(text, s)), made))
+    return let(spans(text, schema.PATTERNS[name], near=True), lambda all_: F.transform(F.filter(all_, keep), made))
 
 
 def _apart(cls: str):
     """No character of cls on either side."""
-    return lambda t, s: ~before(t, s).rlike(cls) & ~after(t, s).rlike(cls)
+    return lambda s: ~before(s).rlike(cls) & ~after(s).rlike(cls)
 
 
-def _around(t: Column, s: Column, n: int) -> Column:
-    return F.lower(F.concat(before(t, s, n), after(t, s, n)))
+def _around(s: Column, n: int) -> Column:
+    return F.lower(F.concat(before(s, n), after(s, n)))
 
 
 def email(text: Column) -> Column:
-    return _found(text, "email", lambda t, s: ~s["value"].rlike("(?i)" + schema.RESERVED_MAIL), "EMAIL", "email-regex-v1", 0.95)
+    return _found(text, "email", lambda s: ~s["value"].rlike("(?i)" + schema.RESERVED_MAIL), "EMAIL", "email-regex-v1", 0.95)
 
 
 def phone_in_e164(text: Column) -> Column:
     # the digits are exactly ten, so that a digit behind them drops the match
-    return _found(text, "phone_in_e164", lambda t, s: ~before(t, s).rlike("[0-9+]") & ~after(t, s).rlike("[0-9]"), "PHONE", "phone-e164-indian-v1", 0.98)
+    return _found(text, "phone_in_e164", lambda s: ~before(s).rlike("[0-9+]") & ~after(s).rlike("[0-9]"), "PHONE", "phone-e164-indian-v1", 0.98)
 
 
-def _phone_context(text: Column, s: Column) -> Column:
+def _phone_context(s: Column) -> Column:
     """Twenty characters before and twenty from the number's first on."""
-    t = F.coalesce(text, F.lit(""))
-    return F.lower(F.concat(before(t, s, 20), t.substr(s["start"] + 1, F.lit(20)))).rlike(schema.PHONE_CONTEXT)
+    return F.lower(F.concat(before(s, 20), F.left(F.concat(s["value"], s["trail"]), F.lit(20)))).rlike(schema.PHONE_CONTEXT)
 
 
 def phone_in_bare(text: Column) -> Column:
-    near = lambda s: _phone_context(text, s)
-    return _found(text, "phone_in_bare", lambda t, s: ~before(t, s).rlike("[0-9+]") & ~after(t, s).rlike("[0-9]"), "PHONE", lambda s: F.when(near(s), "phone-indian-v1").otherwise("phone-indian-bare-v1"), lambda s: F.when(near(s), 0.9).otherwise(0.7))
+    by_context = lambda near, bare: lambda s: F.when(_phone_context(s), near).otherwise(bare)
+    return _found(text, "phone_in_bare", lambda s: ~before(s).rlike("[0-9+]") & ~after(s).rlike("[0-9]"), "PHONE", by_context("phone-indian-v1", "phone-indian-bare-v1"), by_context(0.9, 0.7))
 
 
 def phone_generic(text: Column) -> Column:
-    return _found(text, "phone_generic", lambda t, s: ~s["value"].startswith("+91") & ~before(t, s).rlike("[0-9+]") & ~after(t, s).rlike("[0-9]"), "PHONE", "phone-e164-generic-v1", 0.85)
+    return _found(text, "phone_generic", lambda s: ~s["value"].startswith("+91") & ~before(s).rlike("[0-9+]") & ~after(s).rlike("[0-9]"), "PHONE", "phone-e164-generic-v1", 0.85)
 
 
 def aadhaar(text: Column) -> Column:
-    ok = lambda t, s: _apart("[0-9]")(t, s) & checks.verhoeff_ok(F.regexp_replace(s["value"], "[ -]", ""))
+    ok = lambda s: _apart("[0-9]")(s) & checks.verhoeff_ok(F.regexp_replace(s["value"], "[ -]", ""))
     return _found(text, "aadhaar", ok, "AADHAAR", "aadhaar-verhoeff-v1", 0.99)
 
 
 def pan(text: Column) -> Column:
-    ok = lambda t, s: _apart("[A-Z0-9]")(t, s) & ~s["value"].startswith("PRODU") & ~s["value"].rlike("^[A-Z]{5}0{4}[A-Z]$")
+    ok = lambda s: _apart("[A-Z0-9]")(s) & ~s["value"].startswith("PRODU") & ~s["value"].rlike("^[A-Z]{5}0{4}[A-Z]$")
     return _found(text, "pan", ok, "PAN", "pan-regex-v1", 0.95)
 
 
 def ifsc(text: Column) -> Column:
-    ok = lambda t, s: _apart("[A-Z0-9]")(t, s) & F.substring(s["value"], 1, 4).isin(*schema.BANK_CODES)
+    ok = lambda s: _apart("[A-Z0-9]")(s) & F.substring(s["value"], 1, 4).isin(*schema.BANK_CODES)
     return _found(text, "ifsc", ok, "IFSC", "ifsc-regex-v1", 0.95)
 
 
 def gstin(text: Column) -> Column:
-    ok = lambda t, s: _apart("[A-Z0-9]")(t, s) & (checks.gstin_char(F.substring(s["value"], 1, 14)) == F.substring(s["value"], 15, 1))
+    ok = lambda s: _apart("[A-Z0-9]")(s) & (checks.gstin_char(F.substring(s["value"], 1, 14)) == F.substring(s["value"], 15, 1))
     return _found(text, "gstin", ok, "GSTIN", "gstin-checkchar-v1", 0.99)
 
 
 def upi(text: Column) -> Column:
-    ok = lambda t, s: _apart(r"[a-zA-Z0-9.\-_@]")(t, s) & (F.length(F.substring_index(s["value"], "@", 1)) >= 3) & F.lower(F.substring_index(s["value"], "@", -1)).isin(*schema.UPI_HANDLES)
+    ok = lambda s: _apart(r"[a-zA-Z0-9.\-_@]")(s) & (F.length(F.substring_index(s["value"], "@", 1)) >= 3) & F.lower(F.substring_index(s["value"], "@", -1)).isin(*schema.UPI_HANDLES)
     return _found(text, "upi", ok, "UPI", "upi-vpa-v1", 0.9)
 
 
 def card(text: Column) -> Column:
     digits = lambda s: F.regexp_replace(s["value"], "[ -]", "")
-    ok = lambda t, s: _apart("[0-9]")(t, s) & ~(s["value"].contains(" ") & s["value"].contains("-")) & ~digits(s).isin(*schema.SAMPLE_CARDS) & checks.luhn_ok(digits(s)) & ~_around(t, s, 30).rlike(schema.CARD_CONTEXT)
+    ok = lambda s: _apart("[0-9]")(s) & ~(s["value"].contains(" ") & s["value"].contains("-")) & ~digits(s).isin(*schema.SAMPLE_CARDS) & checks.luhn_ok(digits(s)) & ~_around(s, 30).rlike(schema.CARD_CONTEXT)
     return _found(text, "card", ok, "CARD", "card-luhn-v1", 0.98)
 
 
@@ -98,7 +97,7 @@ def ipv6_full(text: Column) -> Column:
 
 
 def ipv6_compressed(text: Column) -> Column:
-    return _found(text, "ipv6_compressed", lambda t, s: F.lit(True), "IP", "ip-v6-compressed-v1", 0.8)
+    return _found(text, "ipv6_compressed", lambda s: F.lit(True), "IP", "ip-v6-compressed-v1", 0.8)
 
 
 def _birth(y: Column, m: Column, d: Column, as_of: int) -> Column:
@@ -107,10 +106,10 @@ def _birth(y: Column, m: Column, d: Column, as_of: int) -> Column:
 
 
 def _dob(text: Column, name: str, rule: str, confidence: float, as_of: int) -> Column:
-    def ok(t: Column, s: Column) -> Column:
+    def ok(s: Column) -> Column:
         p = lambda i: F.get(F.split(s["value"], "[-/.]"), i).cast("int")
         valid = F.when((p(0) > 12) & (p(1) <= 12), _birth(p(0), p(1), p(2), as_of)).when((p(0) <= 12) & (p(1) > 12), _birth(p(2), p(0), p(1), as_of)).otherwise(False)
-        return _apart(r"[0-9\-./]")(t, s) & valid & _around(t, s, 30).rlike(schema.DOB_CONTEXT)
+        return _apart(r"[0-9\-./]")(s) & valid & _around(s, 30).rlike(schema.DOB_CONTEXT)
 
     return _found(text, name, ok, "DOB", rule, confidence)
 
@@ -137,13 +136,25 @@ def secret(text: Column) -> Column:
 #: In the order in which results are listed.
 RECOGNIZERS = {f.__name__: f for f in (email, phone_in_e164, phone_in_bare, phone_generic, aadhaar, pan, ifsc, gstin, upi, card, ipv4, ipv6_full, ipv6_compressed, dob_iso, dob_us, secret)}
 #: What a text must hold for a recognizer to find anything: a cheap test in front of the patterns.
-HINTS = {"email": "@", "upi": "@", "pan": "[A-Z]{5}[0-9]", "ifsc": "[A-Z]{4}0", "secret": "[A-Za-z0-9_-]{20}", "ipv6_full": ":[0-9a-fA-F]+:", "ipv6_compressed": "::"}
+HINTS = {
+    "email": "@", "upi": "@", "pan": "[A-Z]{5}[0-9]", "ifsc": "[A-Z]{4}0", "secret": "[A-Za-z0-9_-]{20}", "ipv6_full": ":[0-9a-fA-F]+:", "ipv6_compressed": "::",
+    "phone_in_e164": "+91", "phone_in_bare": "[6-9][0-9]{9}", "phone_generic": r"\+[0-9]", "aadhaar": "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "gstin": "[0-9]{2}[A-Z]{5}[0-9]",
+    "card": "[0-9](?:[ -]?[0-9]){12}", "ipv4": r"[0-9]\.[0-9]{1,3}\.[0-9]", "dob_iso": "(?:19|20)[0-9]{2}[-/.][01]", "dob_us": "[0-9]{2}[-/.](?:19|20)[0-9]{2}",
+}
+
+
+SPANS = "array<struct<start:int,end:int,value:string,type:string,tier:int,confidence:double,rule_id:string>>"
+
+
+def _hinted(text: Column, name: str) -> Column:
+    hint = HINTS[name]
+    return F.contains(text, F.lit(hint)) if hint in ("@", "::", "+91") else text.rlike(hint)
 
 
 def recognize(text: Column, names=tuple(RECOGNIZERS)) -> Column:
     """All spans of the named recognizers, one after another; overlaps stay."""
-    none = F.filter(email(F.lit("")), lambda s: F.lit(False))
-    each = [F.when(text.rlike(HINTS.get(n, "[0-9]")), RECOGNIZERS[n](text)).otherwise(none) for n in names]
+    none = F.array().cast(SPANS)
+    each = [F.when(_hinted(text, n), RECOGNIZERS[n](text)).otherwise(none) for n in names]
     return F.concat(*each)
 
 
