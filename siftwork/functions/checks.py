@@ -57,3 +57,9 @@ def fnv1a(text: Column) -> Column:
     code = lambda c: F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long")
     step = lambda h, c: F.when(c == "", h).otherwise(((h.bitwiseXOR(code(c))) * 16777619).bitwiseAND(F.lit(4294967295)))
     return F.lower(F.conv(F.aggregate(F.split(text, ""), F.lit(2166136261).cast("long"), step).cast("string"), 10, 36))
+
+
+def identity_hash(tag: Column, role: Column, name: Column, path: Column, rect: Column, frame: Column) -> Column:
+    """What tells an element from others of its page: fnv1a() of its tag, role, name, path, place on a grid of four pixels, and frame."""
+    place = F.concat_ws(",", *[(F.floor(rect[k] / 4 + 0.5) * 4).cast("string") for k in "xywh"])
+    return fnv1a(F.concat_ws("|", F.lower(tag), role, F.lower(F.trim(name)), path, place, frame.cast("string")))

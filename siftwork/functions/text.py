@@ -132,3 +132,18 @@ def encodings(value: Column) -> Column:
 def grams(text: Column, n: int = 8) -> Column:
     """array<string> of all runs of n characters, in order, repeats included."""
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def fill(template: Column, fields: Column) -> Column:
+    """template with $person.name replaced by the value of the name in a map of strings, '' where there is none."""
+    names = F.regexp_extract_all(template, F.lit(r"\$person\.([A-Za-z0-9_]+)"), F.lit(1))
+    texts = F.split(template, r"\$person\.[A-Za-z0-9_]+", -1)
+    put = lambda t, n: F.concat(t, F.coalesce(F.try_element_at(fields, n), F.lit("")))
+    return F.array_join(F.zip_with(texts, F.concat(names, F.array(F.lit(""))), put), "")
+
+
+def fenced_json(text: Column) -> Column:
+    """variant: the object in a fenced block, else in the whole text, from its first brace to its last; null where that is no JSON."""
+    fence = r"(?s)```(?:json)?\s*(.*?)```"
+    inside = F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text)
+    return F.try_parse_json(F.nullif(F.regexp_extract(inside, r"(?s)\{.*\}", 0), F.lit("")))

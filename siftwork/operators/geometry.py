@@ -74,6 +74,16 @@ def expand(r: Column, by) -> Column:
     return rect(r["x"] - by, r["y"] - by, r["w"] + 2 * by, r["h"] + 2 * by)
 
 
+def center(r: Column) -> Column:
+    return F.struct((r["x"] + r["w"] / 2).alias("x"), (r["y"] + r["h"] / 2).alias("y"))
+
+
+def clamp(r: Column, bounds: Column) -> Column:
+    """Moved, and where it has to be shrunk, into bounds."""
+    at = lambda k, n: F.greatest(bounds[k], F.least(r[k], bounds[k] + bounds[n] - r[n]))
+    return rect(at("x", "w"), at("y", "h"), F.least(r["w"], bounds["w"]), F.least(r["h"], bounds["h"]))
+
+
 def overlap_fraction(of: Column, by: Column) -> Column:
     """Share of `of` that `by` covers."""
     return F.when(area(of) > 0, F.coalesce(area(intersect(of, by)), F.lit(0.0)) / area(of)).otherwise(0.0)

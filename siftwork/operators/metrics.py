@@ -21,6 +21,15 @@ def cer(predicted: Column, reference: Column) -> Column:
     return F.when(F.length(reference) == 0, F.when(F.length(predicted) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(predicted, reference) / F.length(reference))
 
 
+def char_accuracy(error_rate: Column) -> Column:
+    return F.greatest(F.lit(0.0), 1 - error_rate)
+
+
+def slope(value: Column, at: Column) -> Column:
+    """Aggregate: from the first value to the last by `at`, for each step between; null for one row."""
+    return F.when(F.count("*") > 1, (F.max_by(value, at) - F.min_by(value, at)) / (F.count("*") - 1))
+
+
 def matched(predicted: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, type, tp, fp, fn) of predicted and gold(doc_id, ord, start, end, type): each predicted span, in order, takes the first gold span left that has its type and overlaps enough."""
     names = ["doc_id", "type", "ord", "start", "end"]

@@ -62,6 +62,20 @@ def binding_allowed(kind: Column, accepts: Column) -> Column:
     return F.when(F.size(fields) == 0, kind.isin(*schema.FREE_TEXT_ACCEPTS)).otherwise(F.arrays_overlap(fields, allowed))
 
 
+def resolve(asked: DataFrame, vault: DataFrame) -> DataFrame:
+    """asked(handle, accepts array<string>) with value or code: what vault(handle, type, value) holds, where it may go into the field."""
+    found = asked.join(vault.select("handle", F.col("type").alias("__type"), F.col("value").alias("__value"), F.lit(True).alias("__found")), "handle", "left")
+    allowed = binding_allowed(F.col("__type"), F.col("accepts"))
+    code = F.when(F.col("__found").isNull(), "HANDLE_NOT_FOUND").when(~allowed, "VAULT_TYPE_MISMATCH")
+    return found.withColumn("code", code).withColumn("value", F.when(F.col("code").isNull(), F.col("__value"))).drop("__type", "__value", "__found")
+
+
+def ner_type(label: Column) -> Column:
+    """A model's entity label as a type; never one of the first tier."""
+    known = F.create_map(*[F.lit(x) for pair in schema.NER_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.upper(label)), F.lit("PERSONAL"))
+
+
 def summarize(handles: DataFrame) -> DataFrame:
     """(type, tier, n, occurrences) over handles(type, tier, occurrences)."""
     return handles.groupBy("type").agg(F.min("tier").alias("tier"), F.count("*").alias("n"), F.sum("occurrences").alias("occurrences"))

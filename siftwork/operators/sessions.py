@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -52,3 +52,42 @@ def rate_limit(events: DataFrame, session: str, millis: str, order: str, window:
         return pdf[[session, order]].assign(accepted=out)
 
     return events.select(session, millis, order).groupBy(session).applyInPandas(run, f"{session} {kinds[session]}, {order} {kinds[order]}, accepted boolean")
+
+
+def expired(events: DataFrame, session: str, time: str, ttl_ms: int = schema.SESSION_TTL_MS) -> DataFrame:
+    """events with expired: is the event later than its session's first one by more than the time to live? Age counts from creation, not from use."""
+    begun = events.groupBy(session).agg(F.min(time).alias("__begun"))
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    return events.join(begun, session).withColumn("expired", ms(time) - ms("__begun") > ttl_ms).drop("__begun")
+
+
+def cart(ops: DataFrame, cart: str, item: str, at: str, quantity: str) -> DataFrame:
+    """(cart, item, quantity) after ops in the order of `at`: one more where quantity is null, else that many; none or less deletes. No session is gone
+    through in order: the last setting of each item and the additions behind it decide."""
+    last = ops.where(F.col(quantity).isNotNull()).groupBy(cart, item).agg(F.max(at).alias("__at"), F.max_by(quantity, at).alias("__set"))
+    later = F.col(quantity).isNull() & (F.col("__at").isNull() | (F.col(at) > F.col("__at")))
+    both = ops.join(last, [cart, item], "left").groupBy(cart, item).agg(F.count_if(later).alias("more"), F.max("__set").alias("set"))
+    return both.select(cart, item, (F.greatest(F.coalesce("set", F.lit(0)), F.lit(0)) + F.col("more")).cast("long").alias("quantity")).where("quantity > 0")
+
+
+def store(ops: DataFrame) -> DataFrame:
+    """(space, key, value) that a store holds after ops(space, key, at, op, value) of put, delete and clear, which empties its own space only."""
+    cleared = ops.where("op = 'clear'").groupBy("space").agg(F.max("at").alias("__at"))
+    live = ops.where("op <> 'clear'").join(cleared, "space", "left").where("__at IS NULL OR at > __at")
+    last = live.groupBy("space", "key").agg(F.max_by("op", "at").alias("op"), F.max_by("value", "at").alias("value"))
+    return last.where("op = 'put'").select("space", "key", "value")
+
+
+def seeded_orders(seeds: DataFrame, seed: str) -> DataFrame:
+    """(seed, id, tracking, status, placed_ms): three orders for each seed."""
+    made = [(1, "Delivered", 12), (2, "Shipped", 3), (3, "Processing", 1)]
+    orders = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(status).alias("status"), F.lit(days).alias("days")) for n, status, days in made])
+    s, n = F.col(seed), F.col("o.n")
+    placed = F.unix_millis(F.lit("2026-08-20T00:00:00Z").cast("timestamp")) - F.col("o.days") * F.lit(86_400_000).cast("long")
+    rows = seeds.select(seed, F.explode(orders).alias("o"))
+    return rows.select(seed, F.concat(F.lit("ORD-"), s.cast("string"), F.lpad(n.cast("string"), 3, "0")).alias("id"), F.concat(F.lit("TRK"), ((s * 7919 + n * 104729) % 100000000).cast("string")).alias("tracking"), "o.status", placed.alias("placed_ms"))
+
+
+def patient_seed(base: Column, patient: Column) -> Column:
+    """A seed of its own for each known patient; unknown ones share the first's."""
+    return base + F.greatest(F.array_position(F.array(F.lit("P001"), F.lit("P002"), F.lit("P003")), patient) - 1, F.lit(0))

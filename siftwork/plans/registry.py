@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import forms, probes, relational, release
+from . import forms, probes, relational, release, scene
 
-MODULES = (probes, relational, forms, release)
+MODULES = (probes, relational, forms, release, scene)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}

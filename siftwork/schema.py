@@ -107,5 +107,15 @@ ID_MIXED = (r"^[A-Za-z0-9_-]{8,}$", r"[0-9]")
 VERHOEFF_D = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 0, 6, 7, 8, 9, 5, 2, 3, 4, 0, 1, 7, 8, 9, 5, 6, 3, 4, 0, 1, 2, 8, 9, 5, 6, 7, 4, 0, 1, 2, 3, 9, 5, 6, 7, 8, 5, 9, 8, 7, 6, 0, 4, 3, 2, 1, 6, 5, 9, 8, 7, 1, 0, 4, 3, 2, 7, 6, 5, 9, 8, 2, 1, 0, 4, 3, 8, 7, 6, 5, 9, 3, 2, 1, 0, 4, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0)
 VERHOEFF_P = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 5, 7, 6, 2, 8, 3, 0, 9, 4, 5, 8, 0, 3, 7, 9, 6, 1, 4, 2, 8, 9, 1, 6, 0, 4, 3, 5, 2, 7, 9, 4, 5, 3, 1, 2, 6, 8, 7, 0, 4, 2, 8, 6, 5, 7, 3, 9, 0, 1, 2, 7, 9, 3, 8, 0, 6, 4, 1, 5, 7, 0, 4, 6, 9, 1, 3, 2, 5, 8)
 MAX_PAYLOAD_BYTES, RATE_WINDOW_MS, RATE_MAX_SENDS = 256_000, 60_000, 90
+#: Pixels: around the viewport, the longest side of a screenshot and of a crop.
+VIEW_MARGIN, LONG_SIDE, CROP_SIDE = 50, 640, 512
+OPAQUE_TAGS = ("canvas", "img", "svg", "video", "object", "embed")
+INTERACTIVE_TAGS = ("input", "textarea", "select", "button", "a")
+#: Input types without a state of their own.
+STATELESS_TYPES = ("hidden", "button", "submit", "reset", "image", "file", "range", "color")
+#: Entity label of a model -> type; other labels are PERSONAL.
+NER_TYPES = {"PER": "NAME", "PERSON": "NAME", "LOC": "ADDRESS", "GPE": "ADDRESS", "LOCATION": "ADDRESS", "FAC": "ADDRESS", "ORG": "PERSONAL", "ORGANIZATION": "PERSONAL", "MISC": "PERSONAL", "DATE": "PERSONAL", "TIME": "PERSONAL", "MONEY": "FINANCIAL"}
+NER_THRESHOLDS = {"STRICT": 0.35, "BALANCED": 0.5, "PERMISSIVE": 0.7}
+SESSION_TTL_MS = 30 * 60 * 1000
 ENTROPY_LENGTH, ENTROPY_BITS, GRAM, LEAST_SECRET = 24, 4.0, 8, 6
 # -------------------------------------------------------------------------------------------------------------------
