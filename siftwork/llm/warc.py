@@ -156,22 +156,23 @@ def convert(key: int | None, url: str, date: str, truncated: bool, block: bytes,
 
 
 class Inflate:
-    """Reads a gzip stream of any number of members bit by bit."""
+    """Reads a gzip stream of any number of members bit by bit; what a member leaves of a piece is read again by the next, nothing else is copied."""
+
+    PIECE = 4096
 
     def __init__(self, data: bytes):
-        self.left, self.z, self.buffer = memoryview(data), zlib.decompressobj(31), bytearray()
+        self.data, self.at, self.z, self.buffer = memoryview(data), 0, zlib.decompressobj(31), bytearray()
 
     def more(self) -> bool:
-        while self.left or self.z.unused_data:
+        while self.at < len(self.data):
             if self.z.eof:
-                self.left, self.z = memoryview(self.z.unused_data + bytes(self.left)), zlib.decompressobj(31)
-            piece, self.left = self.left[: 1 << 18], self.left[1 << 18 :]
+                self.z = zlib.decompressobj(31)
+            piece = self.data[self.at : self.at + self.PIECE]
             got = self.z.decompress(piece)
+            self.at += len(piece) - len(self.z.unused_data)
             if got:
                 self.buffer += got
                 return True
-            if not self.left and not (self.z.eof and self.z.unused_data):
-                return False
         return False
 
     def until(self, mark: bytes) -> bytes | None:
