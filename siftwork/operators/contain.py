@@ -19,18 +19,18 @@ def _join(left: DataFrame, right: DataFrame, on: str, within: str | None) -> Dat
     return a.join(b, both).select("a.*", *[f"b.{c}" for c in right.columns if c not in (on, within)])
 
 
-def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str = "text", pattern_col: str = "pattern", within: str | None = None) -> DataFrame:
-    """(key, pattern, start, end): all places of all patterns of SEED characters or more, overlapping ones too.
+def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str = "text", pattern_col: str = "pattern", within: str | None = None, seed: int = SEED) -> DataFrame:
+    """(key, pattern, start, end): all places of all patterns of `seed` characters or more, overlapping ones too.
 
-    A pattern can only begin where its first SEED characters do: the runs of SEED characters of each text, distinct, meet the seeds in
+    A pattern can only begin where its first `seed` characters do: the runs of as many characters of each text, distinct, meet the seeds in
     an equi-join, and the whole pattern is then compared at every place. Exact and complete at any number of patterns.
     within: a column of both tables, and then of the result; patterns are looked for in texts with the same value (nulls are the same) only.
     """
     part = [within] if within else []
-    seeds = patterns.select(*part, F.col(pattern_col).alias("pattern")).where(F.length("pattern") >= SEED).distinct().withColumn("seed", F.substring("pattern", 1, SEED))
+    seeds = patterns.select(*part, F.col(pattern_col).alias("pattern")).where(F.length("pattern") >= seed).distinct().withColumn("seed", F.substring("pattern", 1, seed))
     # only hashes of the texts travel with their many runs; equal texts are gone through once
     rows = texts.select(F.col(key), *part, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__h"))
-    runs = rows.select("__h", *part, F.explode(F.array_distinct(grams(F.col("text"), SEED))).alias("seed"))
+    runs = rows.select("__h", *part, F.explode(F.array_distinct(grams(F.col("text"), seed))).alias("seed"))
     meet = _join(runs, seeds, "seed", within).select("__h", *part, "pattern").distinct()
     found = _join(rows, meet, "__h", within).where(F.contains("text", "pattern")).select(key, *part, "text", "pattern").distinct()
     # lengths of what stands before each place give the offsets
@@ -43,6 +43,14 @@ def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str
     return cuts.select(key, *part, "pattern", F.explode(F.array_distinct(starts)).alias("start")).withColumn("end", F.col("start") + F.length("pattern"))
 
 
+def holding(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str = "text", pattern_col: str = "pattern", within: str | None = None, least: int = 3) -> DataFrame:
+    """(key, pattern), each once, of texts that hold a pattern of `least` characters or more; those under SEED are looked for by shorter seeds."""
+    fields = [key, *([within] if within else []), "pattern"]
+    long = search(texts, patterns, key, text_col, pattern_col, within).select(*fields)
+    short = search(texts, patterns.where(F.length(pattern_col) < SEED), key, text_col, pattern_col, within, least).select(*fields)
+    return long.unionByName(short).distinct()
+
+
 def shared_grams(texts: DataFrame, secrets: DataFrame, key: str = "id", text_col: str = "text", secret_col: str = "secret", n: int = 8) -> DataFrame:
     """(key, secret, n_shared, n_grams): pairs that share runs of n characters, and how many different ones. Secrets under n characters take no part."""
     left = texts.select(F.col(key), F.explode(F.array_distinct(grams(F.col(text_col), n))).alias("g"))

@@ -11,13 +11,9 @@ from siftwork import schema
 from . import geometry as G
 
 GRID, OWNERS = 8, 24
-# fixed: types whose values are never released, and those that identify
-TIER1 = ("PASSWORD", "SECRET", "API_KEY", "TOKEN", "CREDIT_CARD", "CVC", "OTP")
-TIER2 = ("EMAIL", "PHONE", "AADHAAR", "PAN", "IFSC", "GSTIN", "UPI", "MRN", "SSN", "FINANCIAL", "HEALTH", "NAME", "ADDRESS")
-
 
 def tier_for_type(kind: Column) -> Column:
-    return F.when(kind.isin(*TIER1), 1).when(kind.isin(*TIER2), 2).otherwise(3)
+    return F.when(kind.isin(*schema.TIER1), 1).when(kind.isin(*schema.TIER2), 2).otherwise(3)
 
 
 def clamp01(v: Column) -> Column:
@@ -45,7 +41,7 @@ def snap(r: Column) -> Column:
 
 
 def fuse(detections: DataFrame, unexplained: DataFrame, profile: str) -> DataFrame:
-    """(obs, rect, sensitivity, n_evidence, action, source, reason) from detections(obs, ord, type, pii_type, confidence, rect) and
+    """(obs, rect, sensitivity, n_evidence, action, source, reason, evidence) from detections(obs, ord, type, pii_type, confidence, rect) and
     unexplained(obs, ord, rect, reason): regions are the snapped rectangles of both, scored over all evidence that meets them."""
     p = schema.PROFILES[profile]
     placed = detections.where("rect IS NOT NULL")
@@ -55,9 +51,9 @@ def fuse(detections: DataFrame, unexplained: DataFrame, profile: str) -> DataFra
     anchors = anchors.withColumn("anchor", F.to_json("rect"))
     weight = lambda c: F.coalesce(*[F.when(c == k, F.lit(p[k])) for k in ("regex", "ner", "ocr", "vision", "deterministic")])
     met = G.overlap_join(anchors, placed, "obs", "anchor", "ord").select("obs", "anchor", "ord")
-    terms = met.join(placed.select("obs", "ord", "type", "pii_type", (weight(F.col("type")) * F.col("confidence")).alias("term"), (weight(F.col("type")) > 0).alias("counts")), ["obs", "ord"])
+    terms = met.join(placed.select("obs", "ord", "type", "pii_type", "confidence", (weight(F.col("type")) * F.col("confidence")).alias("term"), (weight(F.col("type")) > 0).alias("counts")), ["obs", "ord"])
     per = terms.groupBy("obs", "anchor").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "term", "type"))).alias("t"), F.count("*").alias("n_evidence"), F.bool_or((tier_for_type(F.col("pii_type")) == 1) & F.col("counts")).alias("holds"),
+        F.array_sort(F.collect_list(F.struct("ord", "term", "type", "pii_type", "confidence"))).alias("t"), F.count("*").alias("n_evidence"), F.bool_or((tier_for_type(F.col("pii_type")) == 1) & F.col("counts")).alias("holds"),
         F.array_join(F.array_sort(F.collect_set("pii_type")), "+").alias("kinds"), F.array_join(F.array_sort(F.collect_set("type")), "+").alias("sources"),
     )
     out = anchors.join(per, ["obs", "anchor"], "left").where("t IS NOT NULL OR u IS NOT NULL")
@@ -69,7 +65,7 @@ def fuse(detections: DataFrame, unexplained: DataFrame, profile: str) -> DataFra
     cause = F.concat_ws("; ", F.col("u.reason"), F.when(F.col("n_evidence") > 0, F.concat_ws(" from ", "kinds", "sources")))
     action = decide(profile, F.col("sensitivity"), tier)
     words = F.when(tier == 1, F.concat(F.lit(": tier-1 secret, "), cause)).otherwise(F.concat(F.lit(": "), cause))
-    return out.select("obs", "rect", "sensitivity", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), action.alias("action"), strongest["type"].alias("source"), F.concat(action, words, F.format_string(" (S=%.2f)", "sensitivity")).alias("reason"))
+    return out.select("obs", "rect", "sensitivity", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), action.alias("action"), strongest["type"].alias("source"), F.concat(action, words, F.format_string(" (S=%.2f)", "sensitivity")).alias("reason"), F.transform("t", lambda x: F.struct(x["ord"].alias("ord"), x["pii_type"].alias("pii_type"), x["confidence"].alias("confidence"))).alias("evidence"))
 
 
 def coverage(candidates: DataFrame, explained: DataFrame) -> DataFrame:

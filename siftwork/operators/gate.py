@@ -98,11 +98,11 @@ def handle_consistency(used: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def leakage(released: DataFrame, truth: DataFrame) -> DataFrame:
-    """(run, n, leaked, tier1) of truth(run, value, tier): how many values stand, normalized, in released(run, body). Values under SEED characters can't be looked up and don't count."""
+    """(run, n, leaked, tier1) of truth(run, value, tier): how many values stand, normalized, in released(run, body). Values under four characters are noise and don't count."""
     nfkc = T.normalize_any()
-    values = truth.select("run", nfkc(F.col("value")).alias("pattern"), "tier").where(F.length("pattern") >= contain.SEED).distinct()
+    values = truth.select("run", nfkc(F.col("value")).alias("pattern"), "tier").where(F.length("pattern") >= 4).distinct()
     bodies = released.select("run", nfkc(F.col("body")).alias("text"))
-    found = contain.search(bodies, values, "run").select("run", "pattern").distinct().withColumn("hit", F.lit(True))
+    found = contain.holding(bodies, values, "run", least=4).withColumn("hit", F.lit(True))
     same = F.col("v.run").eqNullSafe(F.col("f.run")) & (F.col("v.pattern") == F.col("f.pattern"))
     out = values.alias("v").join(found.alias("f"), same, "left").select("v.*", "f.hit")
     return out.groupBy("run").agg(F.count("*").alias("n"), F.count_if("hit").alias("leaked"), F.count_if(F.col("hit") & (F.col("tier") == 1)).alias("tier1"))

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from siftwork import schema
 from siftwork.functions.text import normalize_any
 
+from . import contain
+
 LEFT, RIGHT = "⟦", "⟧"
 HANDLE = r"^⟦[A-Z_]+(#[0-9]+)?⟧$"
 
@@ -18,9 +20,14 @@ def handle(kind: Column, tier: Column, index: Column) -> Column:
     return F.when(tier == 1, F.concat(F.lit(LEFT), kind, F.lit(RIGHT))).otherwise(F.concat(F.lit(LEFT), kind, F.lit("#"), index.cast("string"), F.lit(RIGHT)))
 
 
+def key_of(value: Column) -> Column:
+    """What values that are the same have in common."""
+    return normalize_any()(value)
+
+
 def numbered(values: DataFrame) -> DataFrame:
     """(session, key, kind, tier, index, handle) for values(session, ord, value, type, tier): each normalized value once, by first appearance, with its first type. Values are pre-aggregated before they are ranked."""
-    first = values.withColumn("key", normalize_any()(F.col("value"))).groupBy("session", "key").agg(F.min(F.struct("ord", "type", "tier")).alias("f"))
+    first = values.withColumn("key", key_of(F.col("value"))).groupBy("session", "key").agg(F.min(F.struct("ord", "type", "tier")).alias("f"))
     index = F.row_number().over(W.partitionBy("session").orderBy("f.ord", "key"))
     out = first.select("session", "key", F.col("f.type").alias("kind"), F.col("f.tier").alias("tier"), F.col("f.ord").alias("first_ord"), index.alias("index"))
     return out.withColumn("handle", handle(F.col("kind"), F.col("tier"), F.col("index")))
@@ -38,6 +45,25 @@ def substitute(text: Column, pairs: Column) -> Column:
     return F.aggregate(order, text, lambda t, p: F.when(F.contains(t, p["value"]), F.replace(t, p["value"], p["handle"])).otherwise(F.regexp_replace(t, quoted(p["value"]), p["handle"])))
 
 
+def substitute_known(rows: DataFrame, text_col: str, handles: DataFrame, key: list[str]) -> DataFrame:
+    """rows with all values of three characters or more that their own session knows, handles(session, key, handle), replaced in text_col. The
+    columns of key tell rows of a session apart."""
+    low = rows.select("session", F.struct(*key).alias("__row"), F.lower(text_col).alias("__low"))
+    held = contain.holding(low, handles.select("session", "key"), "__row", "__low", "key", within="session").withColumnRenamed("pattern", "key")
+    same = held["key"].eqNullSafe(handles["key"]) & held["session"].eqNullSafe(handles["session"])
+    known = held.join(handles, same).select(held["session"], "__row", held["key"], "handle")
+    # as each is written in the text
+    quoted = F.concat(F.lit("(?i)\\Q"), F.replace("key", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    a, b = known.alias("a"), rows.select("session", F.struct(*key).alias("__row"), F.col(text_col).alias("__text")).alias("b")
+    here = F.col("a.session").eqNullSafe(F.col("b.session")) & (F.col("a.__row") == F.col("b.__row"))
+    written = F.call_function("regexp_extract_all", F.col("__text"), quoted, F.lit(0))
+    each = a.join(b, here).select("a.session", "a.__row", "handle", F.explode(F.array_distinct(written)).alias("value"))
+    pairs = each.groupBy("session", "__row").agg(F.array_sort(F.collect_set(F.struct("value", "handle"))).alias("__pairs")).alias("p")
+    out = rows.withColumn("__row", F.struct(*key)).alias("r").join(pairs, F.col("r.session").eqNullSafe(F.col("p.session")) & (F.col("r.__row") == F.col("p.__row")), "left")
+    text = F.when(F.col("__pairs").isNotNull(), substitute(F.col(f"r.{text_col}"), F.col("__pairs"))).otherwise(F.col(f"r.{text_col}"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"r.{c}") for c in rows.columns])
+
+
 def handle_kind(h: Column) -> Column:
     kind = F.regexp_extract(h, "⟦([^#⟧]+)[#⟧]", 1)
     return F.when(kind == "", "NONE").otherwise(kind)

@@ -191,15 +191,8 @@ def substitute(spark, sf_dir):
     """Documents with all values known of their own source that they hold replaced by handles, recognized in them or not."""
     handles = session.numbered(_values(spark, sf_dir))
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    low = docs.select("doc_id", F.col("source").alias("session"), F.lower("text").alias("low"))
-    held = contain.search(low, handles, "doc_id", "low", "key", within="session").select("doc_id", "session", F.col("pattern").alias("key")).distinct()
-    known = held.join(handles, held["key"].eqNullSafe(handles["key"]) & held["session"].eqNullSafe(handles["session"])).select("doc_id", held["key"], "handle")
-    # as each is written in the document
-    written = F.call_function("regexp_extract_all", F.col("text"), F.concat(F.lit("(?i)\\Q"), F.col("key"), F.lit("\\E")), F.lit(0))
-    each = known.join(docs, "doc_id").select("doc_id", "handle", F.explode(F.array_distinct(written)).alias("value"))
-    pairs = each.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("value", "handle"))).alias("pairs"))
-    out = docs.join(pairs, "doc_id", "left")
-    return out.select("doc_id", F.when(F.col("pairs").isNotNull(), session.substitute(F.col("text"), F.col("pairs"))).otherwise(F.col("text")).alias("text"))
+    out = session.substitute_known(docs.withColumnRenamed("source", "session"), "text", handles, ["doc_id"])
+    return out.select("doc_id", "text")
 
 
 @query(f"{_VALUES} SELECT kind AS type, min(tier)::INTEGER AS tier, count(*)::BIGINT AS n, sum(c)::BIGINT AS occurrences FROM t JOIN (SELECT session, key, count(*) AS c FROM v GROUP BY ALL) USING (session, key) GROUP BY 1")

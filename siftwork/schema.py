@@ -6,6 +6,9 @@ TIERS = {
     "EMAIL": 2, "PHONE": 2, "AADHAAR": 2, "PAN": 2, "IFSC": 2, "GSTIN": 2, "UPI": 2, "CARD": 2, "IP": 3, "DOB": 3, "SECRET": 1, "PASSWORD": 1,
     "CREDIT_CARD": 1, "CVC": 1, "OTP": 1, "STREET_ADDRESS": 3, "CITY": 3, "STATE": 3, "POSTAL_CODE": 3, "BDAY": 3, "MRN": 2, "PERSON_NAME": 3, "ORGANIZATION": 3,
 }
+#: Types whose values are never released, and those that identify.
+TIER1 = ("PASSWORD", "SECRET", "API_KEY", "TOKEN", "CREDIT_CARD", "CVC", "OTP")
+TIER2 = ("EMAIL", "PHONE", "AADHAAR", "PAN", "IFSC", "GSTIN", "UPI", "MRN", "SSN", "FINANCIAL", "HEALTH", "NAME", "ADDRESS")
 ALIASES = {"CARD": "CREDIT_CARD", "BDAY": "DOB", "NAME": "PERSON_NAME", "ADDRESS": "STREET_ADDRESS"}
 TLDS = "com|org|net|edu|gov|mil|int|io|co|ai|app|dev|me|us|uk|ca|au|de|fr|jp|in|br|mx|nl|se|no|fi|dk|ch|at|be|ie|pt|es|it|pl|cz|hu|ro|bg|hr|sk|si|lt|lv|ee|lu|mt|cy|is|li|mc|sm|va|ad|fo|gl|pm|tf|gf|mq|gp|re|yt|bl|mf|sx|bq|cw|aw|ai|vg|ky|tc|bm|fk|gs|sh|pn|nr|tv|fm|mh|pw|ki|to|ws|nu|cc|tk|eu|cat|asia|tel|xxx|jobs|mobi|pro|name|aero|coop|museum|travel|post|geo|arpa|example|test|localhost|invalid|local|internal|onion|bit|eth|luxe|zil|crypto|nft|dao|web3|metaverse"
 BANK_CODES = ("SBIN", "HDFC", "ICIC", "UTIB", "KKBK", "YESB", "INDB", "RATN", "BKID", "CNRB", "PUNB", "UBIN", "IOBA", "ABHY", "ANDH", "SYNB", "CORP", "VIJB", "MAHB", "BKDN", "SBHY", "SBTR", "SBMJ", "STBP", "KARB", "FDRL", "SBPD")
