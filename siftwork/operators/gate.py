@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from siftwork import schema
 from siftwork.functions import checks
 from siftwork.functions import text as T
 
-from . import contain, recognize
+from . import contain, recognize, sessions
 
 #: In the order in which the first violation is looked for.
 ORDER = ("SCHEMA_CONFORMANCE", "REGISTRY_SCAN", "TYPE_BRAND", "ENTROPY_HEURISTIC", "SIZE_BUDGET", "RATE_LIMIT", "DESTINATION_PIN")
@@ -25,6 +27,148 @@ def violation(rows: DataFrame, code: str) -> DataFrame:
     return rows.select("payload_id").distinct().select("payload_id", F.lit(ORDER.index(code)).alias("seq"), F.lit(code).alias("code"))
 
 
+def json_strings(rows: DataFrame, key: str, json_col: str) -> DataFrame:
+    """(key, nth, path, value): all strings of JSON texts in document order, paths as a.b[0].c. Texts that aren't JSON have none."""
+
+    def walk(x, path: str):
+        if isinstance(x, str):
+            yield path, x
+        for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+            yield from walk(v, f"{path}[{k}]" if isinstance(x, list) else f"{path}.{k}" if path else k)
+
+    def read(text: str | None):
+        try:
+            return list(walk(json.loads(text or "null"), ""))
+        except ValueError:
+            return []
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [read(t) for t in part.column(1).to_pylist()]
+                take = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+                flat = [(n, *s) for f in found for n, s in enumerate(f)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), *[pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]], names=[key, "nth", "path", "value"])
+
+    return rows.select(key, json_col).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, nth long, path string, value string")
+
+
+def schema_check(payloads: DataFrame, schemas: dict[str, str]) -> DataFrame:
+    """Violations of payloads(payload_id, path, body): a path's body must have all fields of its schema (DDL), of their types, and no others at the top; a
+    path without a schema takes no body."""
+    bad = F.col("body").isNotNull()
+    for path, ddl in schemas.items():
+        parsed = F.from_json("body", ddl)
+        names = F.array(*[F.lit(x.split()[0]) for x in ddl.split(", ")])
+        keys = F.json_object_keys("body")
+        missing = F.lit(False)
+        for name in (x.split()[0] for x in ddl.split(", ")):
+            missing = missing | parsed[name].isNull()
+        wrong = F.col("body").isNull() | keys.isNull() | (F.size(F.array_except(keys, names)) > 0) | F.coalesce(missing, F.lit(True))
+        bad = F.when(F.col("path") == path, wrong).otherwise(bad)
+    return violation(payloads.where(bad), "SCHEMA_CONFORMANCE")
+
+
+def released(strings: DataFrame) -> DataFrame:
+    """strings(payload_id, path, value) that are looked through for secrets: not the names of the protocol, and four characters or more."""
+    return strings.where(~F.col("path").rlike(schema.PROTOCOL_PATH) & (F.length("value") >= 4))
+
+
+def malformed(strings: DataFrame) -> DataFrame:
+    """Violations of strings at paths of handles that aren't handles."""
+    return violation(strings.where(F.col("path").endswith(".handle") & ~F.col("value").rlike(r"^⟦[A-Z_]+(#[0-9]+)?⟧$")), "TYPE_BRAND")
+
+
+def gate(payloads: DataFrame, registry: DataFrame, schemas: dict[str, str], allowed: str, limit: int = schema.MAX_PAYLOAD_BYTES, window: int = schema.RATE_WINDOW_MS, most: int = schema.RATE_MAX_SENDS) -> DataFrame:
+    """(payload_id, code) of payloads(payload_id, session, ms, path, body, destination): the first check that fails, null for what may leave. Only what may leave
+    counts for the rate. registry(secret, tier): words of ordinary pages are no secrets where their tier is three or more."""
+    strings = json_strings(payloads, "payload_id", "body")
+    shown = strings.where(~F.col("path").rlike(schema.OPAQUE_PATH))
+    secrets = registry.where((F.col("tier") < 3) | ~F.lower("secret").isin(*schema.GENERIC_WORDS))
+    found = [schema_check(payloads, schemas), registry_scan(released(strings).select("payload_id", "value"), secrets), malformed(shown), sweep(shown), entropy(shown), size(payloads, limit)]
+    early = reduce(DataFrame.unionByName, found).groupBy("payload_id").agg(F.min(F.struct("seq", "code"))["code"].alias("early"))
+    pinned = F.coalesce(origin(F.col("destination")) == allowed, F.lit(False))
+    rows = payloads.select("payload_id", "session", "ms", pinned.alias("pinned")).join(early, "payload_id", "left")
+    asked = rows.where("early IS NULL")
+    rate = sessions.rate_limit(asked, "session", "ms", "payload_id", window, most, counts="pinned").select("payload_id", "accepted")
+    code = F.coalesce("early", F.when(~F.col("accepted"), "RATE_LIMIT"), F.when(~F.col("pinned"), "DESTINATION_PIN"))
+    return rows.join(rate, "payload_id", "left").select("payload_id", code.alias("code"))
+
+
+def audit_fields(record: str = "record") -> Column:
+    """The parts of a record that an audit may keep, told one by one: struct<detections, policy, egress, degraded>."""
+    part = lambda name, *keep: F.transform(F.col(record)[name], lambda d: F.struct(*[d[k].alias(k) for k in keep])).alias(name)
+    return F.struct(part("detections", "type", "pii_type", "confidence", "text_span", "source_id"), part("policy", "pii_type", "action"), part("egress", "check", "passed", "matched_value"), F.col(record)["degraded"].alias("degraded"))
+
+
+def audit_faults(audit: Column) -> Column:
+    """array<string>: what in audit_fields() could carry a page's content: spans must be handles, sources and reasons names, matched values counts of bytes."""
+    bad = lambda part, name, test: F.when(F.exists(F.coalesce(part, F.array()), lambda x: F.coalesce(test(x), F.lit(False))), name)
+    faults = F.array(
+        bad(audit["detections"], "text_span", lambda d: ~d["text_span"].rlike(r"^⟦[A-Z_]+(#[0-9]+)?⟧$")), bad(audit["detections"], "source_id", lambda d: ~d["source_id"].rlike("(?i)^[a-z0-9_-]+$")),
+        bad(audit["egress"], "matched_value", lambda e: ~e["matched_value"].rlike("^[0-9]+ bytes$")), bad(audit["degraded"], "degraded", lambda d: ~d.rlike("(?i)^[a-z0-9_:-]+$")),
+    )
+    return F.filter(faults, lambda f: f.isNotNull())
+
+
+#: Checks of audit_checks(), in order.
+AUDIT_CHECKS = ("raw", "normalized", "url_encoded", "base64", "hex", "html_entity")
+
+
+def form_family(form: Column) -> Column:
+    """Which check an encoded form belongs to, null for none."""
+    return F.when(form.startswith("%"), "url_encoded").when(form.startswith("&"), "html_entity").when(form.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.length(form) % 4 == 0), "base64").when(form.rlike("^[0-9a-fA-F]+$"), "hex")
+
+
+def audit_checks(payloads: DataFrame, registry: DataFrame, limit: int = 250 * 1024) -> DataFrame:
+    """(payload_id, check, passed): for each of payloads(payload_id, body) whether registry(secret) stands in it as it is, normalized, or encoded, by family; and its size."""
+    norm = registry.select(T.normalize_any()(F.col("secret")).alias("secret"))
+    as_is = norm.select(F.col("secret").alias("pattern"), F.lit("raw").alias("check"))
+    coded = norm.select(F.explode(T.encodings(F.col("secret"))).alias("pattern")).withColumn("check", form_family(F.col("pattern"))).where("check IS NOT NULL")
+    forms = as_is.unionByName(coded)
+    found = contain.holding(payloads, forms.select("pattern").distinct(), "payload_id", "body").join(forms, "pattern").select("payload_id", "check")
+    lower = payloads.select("payload_id", T.normalize_any()(F.col("body")).alias("body"))
+    also = contain.holding(lower, as_is.select("pattern").distinct(), "payload_id", "body").select("payload_id", F.lit("normalized").alias("check"))
+    failed = found.unionByName(also).distinct().withColumn("failed", F.lit(True))
+    every = payloads.select("payload_id", F.explode(F.array(*map(F.lit, AUDIT_CHECKS))).alias("check")).join(failed, ["payload_id", "check"], "left")
+    size = payloads.select("payload_id", F.lit("payload_size").alias("check"), (F.length("body") <= limit).alias("passed"))
+    return every.select("payload_id", "check", F.col("failed").isNull().alias("passed")).unionByName(size)
+
+
+def canaries(wire: DataFrame, known: DataFrame) -> DataFrame:
+    """(request_id, type, canary, encoding) of wire(request_id, run, body) and known(run, type, value): values of six characters or more that left, by the first form that is found, else, from
+    ten characters on, by three runs of eight characters or more that are shared."""
+    nfkc = T.normalize_any()
+    value = known.select("run", "type", nfkc(F.col("value")).alias("canary")).where(F.length("canary") >= 6).distinct()
+    forms = value.select("run", "type", "canary", F.posexplode(F.concat(F.array("canary"), T.encodings(F.col("canary")))).alias("nth", "pattern")).where(F.length("pattern") >= 6)
+    text = wire.select("request_id", "run", nfkc(F.col("body")).alias("body"))
+    same = lambda a, b, on: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on])
+    met = contain.search(text, forms, "request_id", "body", within="run").select("request_id", "run", "pattern").distinct().alias("m")
+    hit = met.join(forms.alias("f"), same("m", "f", ("run", "pattern"))).groupBy("m.request_id", "m.run", "f.type", "f.canary").agg(F.min("f.nth").alias("nth"))
+    whole = hit.select("request_id", "run", "type", "canary", F.when(F.col("nth") == 0, "raw").otherwise(F.concat(F.lit("enc"), (F.col("nth") - 1).cast("string"))).alias("encoding"))
+    pieces = value.where(F.length("canary") >= 10).select("run", "type", "canary", F.explode(T.grams(F.col("canary"), GRAM)).alias("g")).alias("p")
+    runs = text.select("request_id", "run", F.explode(F.array_distinct(T.grams(F.col("body"), GRAM))).alias("g")).alias("t")
+    near = runs.join(pieces, same("t", "p", ("run", "g"))).groupBy("t.request_id", "t.run", "p.type", "p.canary").agg(F.count("*").alias("n")).where("n >= 3").drop("n")
+    part = near.join(whole.select("request_id", "type", "canary"), ["request_id", "type", "canary"], "left_anti").withColumn("encoding", F.lit("8-gram"))
+    return whole.unionByName(part).select("request_id", "run", "type", "canary", "encoding")
+
+
+def detection(wire: DataFrame, shown: DataFrame) -> DataFrame:
+    """(run, tp, fn, fp, recall, precision) of wire(run, body) and shown(run, at, value, decoy): a value is kept back if it is not on the wire in any form; a decoy that isn't there was
+    taken for a value. A value shown several times is what it was last."""
+    nfkc = T.normalize_any()
+    last = shown.groupBy("run", "value").agg(F.max_by("decoy", "at").alias("decoy")).withColumn("norm", nfkc(F.col("value")))
+    forms = last.where(F.length("norm") >= 4).select("run", "value", F.explode(F.concat(F.array("norm"), F.filter(T.encodings(F.col("norm")), lambda f: F.length(f) >= 8))).alias("pattern"))
+    bodies = wire.select("run", nfkc(F.col("body")).alias("text"))
+    met = contain.holding(bodies, forms.select("run", "pattern").distinct(), "run", least=4)
+    hit = met.alias("m").join(forms.alias("f"), F.col("m.run").eqNullSafe(F.col("f.run")) & (F.col("m.pattern") == F.col("f.pattern"))).select("f.run", "f.value").distinct().withColumn("leaked", F.lit(True))
+    both = last.alias("l").join(hit.alias("h"), F.col("l.run").eqNullSafe(F.col("h.run")) & (F.col("l.value") == F.col("h.value")), "left").select("l.run", "l.decoy", F.coalesce("h.leaked", F.lit(False)).alias("leaked"))
+    per = both.groupBy("run").agg(F.count_if(~F.col("decoy") & ~F.col("leaked")).alias("tp"), F.count_if(~F.col("decoy") & F.col("leaked")).alias("fn"), F.count_if(F.col("decoy") & ~F.col("leaked")).alias("fp"))
+    share = lambda a, b: F.when(F.col(a) + F.col(b) == 0, 1.0).otherwise(F.col(a) / (F.col(a) + F.col(b)))
+    return per.select("*", share("tp", "fn").alias("recall"), share("tp", "fp").alias("precision"))
+
+
 def registry_scan(strings: DataFrame, registry: DataFrame, fragments: bool = True) -> DataFrame:
     """Violations of strings(payload_id, value) that hold a secret of registry(secret, or secret and tier) in any encoding, or any run of GRAM characters of a secret of tier 1 or 2. Secrets without a tier count as such. fragments=False: whole secrets only."""
     normal = registry.select("secret", T.normalize_any()(F.col("secret")).alias("norm"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from siftwork.operators import geometry
 
 
 def ratio(a: Column, b: Column, empty: float = 0.0) -> Column:
@@ -61,12 +64,6 @@ def near_misses(decoys: DataFrame) -> DataFrame:
     return decoys.rollup("type").agg(F.count("*").alias("total"), F.count_if("flagged").alias("false_positives")).withColumn("rate", ratio(F.col("false_positives"), F.col("total")))
 
 
-def percentile_floor(values: Column, p: float) -> Column:
-    """Aggregate: the value at floor(n * p), the last at most, of the sorted; none: 0."""
-    s = F.array_sort(F.collect_list(values))
-    return F.coalesce(F.get(s, F.least(F.size(s) - 1, F.floor(F.size(s) * p).cast("int"))), F.lit(0.0))
-
-
 def truth_at(truth: DataFrame, asked: DataFrame, key: str, step: str, value: str) -> DataFrame:
     """(key, step, value): of each key the snapshot of the very step, else its last."""
     last = truth.groupBy(key).agg(F.max(F.struct(step, value))[value].alias("__last"))
@@ -83,3 +80,48 @@ def fault_configs(spark) -> DataFrame:
     broken = sets.select(chosen.alias("sources"), modes.alias("mode"))
     healthy = spark.range(1).select(F.lit("").alias("sources"), F.lit("none").alias("mode"))
     return broken.unionByName(healthy).select(F.concat_ws(":", "sources", "mode").alias("config"), "sources", "mode")
+
+
+def matched_controls(truth: DataFrame, observed: DataFrame, least: float = 0.5) -> DataFrame:
+    """(obs, truth, observed, matched): controls in order each take the first observed element left that has their tag and overlaps enough. Pairs come from a join of
+    overlapping rectangles; the fold goes through those of one page only. Both sides: (obs, ord, tag, rect)."""
+    side = lambda df, k: df.select("obs", F.col("ord").alias(k), F.struct("tag", "rect").alias(f"{k}_e"), "rect")
+    met = geometry.overlap_join(side(truth, "c"), side(observed, "o"), "obs", "c", "o")
+    met = met.join(truth.select("obs", F.col("ord").alias("c"), F.col("tag").alias("tc")), ["obs", "c"]).join(observed.select("obs", F.col("ord").alias("o"), F.col("tag").alias("to")), ["obs", "o"])
+    pairs = met.where((F.col("tc") == F.col("to")) & (geometry.iou(F.col("l"), F.col("r")) >= least)).groupBy("obs").agg(F.array_sort(F.collect_list(F.struct(F.col("c").cast("long").alias("c"), F.col("o").cast("long").alias("o")))).alias("pairs"))
+    step = lambda done, p: F.when(F.exists(done, lambda d: (d["c"] == p["c"]) | (d["o"] == p["o"])), done).otherwise(F.array_append(done, p))
+    taken = pairs.select("obs", F.size(F.aggregate("pairs", F.array().cast("array<struct<c:bigint,o:bigint>>"), step)).cast("long").alias("matched"))
+    count = lambda df, name: df.groupBy("obs").agg(F.count("*").alias(name))
+    out = count(truth, "truth").join(count(observed, "observed"), "obs", "full").join(taken, "obs", "left")
+    return out.select("obs", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("truth", "observed", "matched")])
+
+
+def justified(redactions: DataFrame, truth: DataFrame, least: float = 0.3, slack: int = 4) -> DataFrame:
+    """redactions(obs, id, rect, reason) with justified: does it cover what truth(obs, tid, kind, rect) shows, lie inside a field, or was it for pixels that can't be read?"""
+    a, b = F.col("l"), F.col("r")
+    around = lambda x, y: geometry.contains(geometry.rect(x["x"] - slack, x["y"] - slack, x["w"] + 2 * slack, x["h"] + 2 * slack), y)
+    met = geometry.overlap_join(redactions.select("obs", "id", "rect"), truth.select("obs", "tid", "rect"), "obs", "id", "tid").join(truth.select("obs", "tid", "kind"), ["obs", "tid"])
+    good = met.where((geometry.iou(a, b) >= least) | around(a, b) | ((F.col("kind") == "field") & around(b, a))).select("obs", "id").distinct().withColumn("__good", F.lit(True))
+    opaque = F.lower("reason").rlike("canvas|img|iframe|svg|video|unexplained|no dom owner")
+    return redactions.join(good, ["obs", "id"], "left").withColumn("justified", F.coalesce("__good", F.lit(False)) | opaque).drop("__good")
+
+
+def floor_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, a column for each share): the value at floor(n * share), the last at most, of each key's sorted values. Equal values are counted first, and running counts pick
+    the place, so no key's values are gathered in an array."""
+    per = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(key).orderBy(value))
+    ranked = per.select(key, value, "c", upto.alias("upto")).join(per.groupBy(key).agg(F.sum("c").alias("n")), key)
+    at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
+    return ranked.groupBy(key).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()])
+
+
+def ablated(terms: DataFrame, weights: dict[str, float], configs: dict[str, dict[str, float]], tokenize: float) -> DataFrame:
+    """(config, channel, n, found, recall) of terms(obs, anchor, channel, type, confidence): how many anchors each configuration of source weights would still act on, by channel and,
+    with a null one, over all."""
+    config = F.explode(F.array(*[F.struct(F.lit(k).alias("config"), *[F.lit(float(c.get(t, w))).alias(t) for t, w in weights.items()]) for k, c in configs.items()])).alias("c")
+    weight = F.coalesce(*[F.when(F.col("type") == t, F.col(f"c.{t}")) for t in weights])
+    kept = 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), weight * F.col("confidence")))
+    score = terms.select("*", config).groupBy("c.config", "obs", "anchor").agg(F.first("channel").alias("channel"), F.round(1 - F.product(kept), 9).alias("s"))
+    total = score.groupingSets([["config", "channel"], ["config"]], "config", "channel").agg(F.count("*").alias("n"), F.count_if(F.col("s") >= tokenize).alias("found"))
+    return total.select("config", "channel", "n", "found", (F.col("found") / F.col("n")).alias("recall"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,24 +35,27 @@ def quiet(events: DataFrame, session: str, time: str, gap: str) -> DataFrame:
     return found.select(session, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def rate_limit(events: DataFrame, session: str, millis: str, order: str, window: int = schema.RATE_WINDOW_MS, most: int = schema.RATE_MAX_SENDS) -> DataFrame:
-    """(session, order, accepted): at most `most` accepted in the trailing window; one exactly the window's length old still counts, refused ones don't. The history decides, so a session is gone through in order."""
+def rate_limit(events: DataFrame, session: str, millis: str, order: str, window: int = schema.RATE_WINDOW_MS, most: int = schema.RATE_MAX_SENDS, counts: str | None = None) -> DataFrame:
+    """(session, order, accepted): at most `most` accepted in the trailing window; one exactly the window's length old still counts, refused ones don't, nor do
+    those whose column `counts` is false. The history decides, so sessions are gone through in order, as a stream of sorted rows: what is held is `most` times."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([millis, order])
-        kept: list[int] = []
-        head, out = 0, []
-        for now in pdf[millis]:
-            while head < len(kept) and now - kept[head] > window:
-                head += 1
-            ok = len(kept) - head < most
-            out.append(ok)
-            if ok:
-                kept.append(now)
-        return pdf[[session, order]].assign(accepted=out)
-
-    return events.select(session, millis, order).groupBy(session).applyInPandas(run, f"{session} {kinds[session]}, {order} {kinds[order]}, accepted boolean")
+    def run(frames):
+        now_in, kept = object(), deque()
+        for pdf in frames:
+            out = []
+            for who, now, recorded in zip(pdf[session], pdf[millis], pdf["__counts"], strict=True):
+                if who != now_in:
+                    now_in, kept = who, deque()
+                while kept and now - kept[0] > window:
+                    kept.popleft()
+                out.append(len(kept) < most)
+                if out[-1] and recorded:
+                    kept.append(now)
+            yield pdf[[session, order]].assign(accepted=out)
+
+    rows = events.select(session, millis, order, (F.col(counts) if counts else F.lit(True)).alias("__counts"))
+    return rows.repartition(session).sortWithinPartitions(session, millis, order).mapInPandas(run, f"{session} {kinds[session]}, {order} {kinds[order]}, accepted boolean")
 
 
 def expired(events: DataFrame, session: str, time: str, ttl_ms: int = schema.SESSION_TTL_MS) -> DataFrame:

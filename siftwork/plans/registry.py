@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import forms, observation, probes, relational, release, scene
+from . import forms, observation, probes, relational, release, scene, wire
 
-MODULES = (probes, relational, forms, release, scene, observation)
+MODULES = (probes, relational, forms, release, scene, observation, wire)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}

@@ -394,7 +394,7 @@ def prf_by_type(spark, sf_dir):
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, v[least(len(v) - 1, floor(len(v) * 0.5)::INT) + 1] AS p50, v[least(len(v) - 1, floor(len(v) * 0.95)::INT) + 1] AS p95 FROM s""")
 def percentile_floor(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(metrics.percentile_floor(F.col("value"), 0.5).alias("p50"), metrics.percentile_floor(F.col("value"), 0.95).alias("p95"))
+    return metrics.floor_percentiles(read(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("SELECT event_type, round(coalesce(avg(value), 0), 6) AS mean, round(stddev_pop(value), 6) AS stddev FROM events GROUP BY 1")

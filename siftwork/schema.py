@@ -119,6 +119,22 @@ STATELESS_TYPES = ("hidden", "button", "submit", "reset", "image", "file", "rang
 #: Entity label of a model -> type; other labels are PERSONAL.
 NER_TYPES = {"PER": "NAME", "PERSON": "NAME", "LOC": "ADDRESS", "GPE": "ADDRESS", "LOCATION": "ADDRESS", "FAC": "ADDRESS", "ORG": "PERSONAL", "ORGANIZATION": "PERSONAL", "MISC": "PERSONAL", "DATE": "PERSONAL", "TIME": "PERSONAL", "MONEY": "FINANCIAL"}
 NER_THRESHOLDS = {"STRICT": 0.35, "BALANCED": 0.5, "PERMISSIVE": 0.7}
+#: What an action's label says of its risk, what needs a user's word, and roles that a planner is shown.
+PAYING, DELETING = "pay|purchase|buy now|place order|checkout|confirm order", "delete|remove account|unsubscribe"
+CONFIRM = ("PAYMENT", "DELETE", "NAVIGATE_EXTERNAL")
+PROMPT_ROLES = ("button", "link", "textbox", "searchbox", "checkbox", "radio", "combobox", "listbox", "menuitem", "tab", "switch", "slider", "spinbutton")
+#: Ends of paths in a payload that name things of the protocol, and those that may hold long opaque strings.
+PROTOCOL_PATH = r"(?:^|\.)(tag|role|type|group|input_type|autocomplete|placeholder_raw|label_raw|kind|source|sensitivity_class|pii_type|origin_class|type_hint|policy_profile|reasoning)$"
+OPAQUE_PATH = r"(^|\.)(data_base64|session_id|observation_id|id_hash)$"
+#: Words of ordinary pages that are no secrets.
+GENERIC_WORDS = "personal information details address shipping billing application service services portal review documents document profile record records account orders order cart checkout search products product home about contact support help login sign register submit next back continue confirm settings privacy terms policy name phone email code number date birth street saved form step page total price status view track tracking".split()
+#: Sources' weights of the ablations; a source that isn't named keeps its own.
+ABLATIONS = {
+    "A1": {"ner": 0, "ocr": 0, "vision": 0, "deterministic": 0}, "A2": {"regex": 0, "ocr": 0, "vision": 0, "deterministic": 0}, "A3": {"regex": 0, "ner": 0, "vision": 0, "deterministic": 0},
+    "A4": {"regex": 0, "ner": 0, "ocr": 0, "deterministic": 0}, "A5": {"regex": 0, "ner": 0, "ocr": 0, "vision": 0}, "A6": {"deterministic": 0}, "A7": {}, "A8": {"vision": 0}, "A9": {"vision": 0, "deterministic": 0},
+}
+#: Timings of a step that the client spends itself.
+LOCAL_TIMINGS = ("observe", "capture", "perceive", "sanitize", "redact", "gate", "validate", "execute")
 SESSION_TTL_MS = 30 * 60 * 1000
 ENTROPY_LENGTH, ENTROPY_BITS, GRAM, LEAST_SECRET = 24, 4.0, 8, 6
 # -------------------------------------------------------------------------------------------------------------------
