@@ -1,8 +1,10 @@
 """The training-data operators against brute force and on the odd cases: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
+import collections
 import datetime
 import gzip
 import hashlib
+import math
 import random
 import re
 import struct
@@ -10,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -459,6 +462,55 @@ def test_quality_base_counts(spark):
     assert {r.score for r in none} == {0.0} and all(r.kept != r.base_failed for r in none)
 
 
+def brute_scores(rows, good, buckets=None):
+    """Score of each text, told again with counters."""
+    buckets = buckets or quality.BUCKETS
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long_hash = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<q", x), seed=seed)
+
+    def grams(text):
+        tokens = WORD.findall(re.sub(r"([!-/:-@\[-`{-~]+)", r" \1 ", text or ""))
+        h = [signed(xxhash.xxh64_intdigest(t.encode(), seed=42)) for t in tokens]
+        return [x % buckets for x in h] + [signed(long_hash(y, long_hash(x, 42))) % buckets for x, y in zip(h, h[1:])]
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    r, n = sum(raw.values()), sum(target.values())
+    if not n:
+        return [0.0] * len(rows), 0.0
+    more = r / n
+    llr = [math.log((target[b] + 1) / (n + buckets)) - math.log((raw[b] + more) / (r + more * buckets)) for b in range(buckets)]
+    return [sum(llr[b] for b in g) / len(g) if (g := grams(t)) else 0.0 for _, t in rows], -math.log(1 + n / r)
+
+
+def test_quality_scores_equal_brute_force(spark):
+    rows = [(i, t) for i, t, _ in ODD] + [(100 + i, words(30 + i, i) + (" ***" * (i % 4))) for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(100, 130)] + [(6, 1, 0), (6, 0, 0), (8, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    good = {i for i in range(100, 130) if i % 3} | {8}
+    d = docs(spark, [(i, t, "s") for i, t in rows])
+    got = sorted(((r.doc_id, r.text, r.score, r.base_failed, r.kept) for r in quality.judge(d, quality.fit(d, labels)).select("doc_id", "text", "verdict.*").collect()), key=str)
+    scores, least = brute_scores(rows, good)
+    want = sorted([(i, t, s) for (i, t), s in zip(rows, scores)], key=lambda x: str(x[:2]))
+    for (i, t, s, failed, kept), (wi, wt, ws) in zip(sorted(got, key=lambda x: str(x[:2])), want, strict=True):
+        assert (i, t) == (wi, wt) and s == pytest.approx(ws, abs=1e-9)
+        assert failed == base_counts(t)[5] and kept == (not failed and s >= least - quality.MARGIN)
+    assert quality.judge(d.limit(0), quality.fit(d.limit(0), labels.limit(0))).count() == 0
+
+
+def test_quality_holds_on_labels_that_were_not_fitted(spark):
+    """Documents and labels of the driver's table: the score parts good from bad ones among those that the model never saw a label of."""
+    sf = "/root/testdata/sf0.01"
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    fitted = quality.fit(d.select("doc_id", "text"), labels.where("doc_id % 2 = 0"))
+    held = quality.judge(d.select("doc_id", "text"), fitted).join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "verdict.score", "verdict.base_failed").where("NOT base_failed").collect()
+    good, bad = ([r.score for r in held if r.quality == k] for k in (1, 0))
+    above = sum((g > b) + (g == b) / 2 for g in good for b in bad)
+    assert len(good) > 50 and (not bad or above / (len(good) * len(bad)) > 0.9)
+
+
 def test_quality_parts_good_from_junk(spark):
     good = [(i, " ".join(random.Random(i).choices("the of and house river stone walk green light".split(), k=80)), "s") for i in range(60)]
     junk = [(100 + i, " ".join(w + "***" for w in words(80, i).split()), "s") for i in range(10)]
