@@ -301,3 +301,7 @@ def predicates(spark, sf_dir):
     codes = F.when(c % 4 == 1, F.array(F.lit("x"), F.lit("STALE"))).otherwise(F.array(F.lit("x")))
     ok = actions.predicate(kind, F.concat(F.lit("/orders/"), c.cast("string")), F.coalesce("text", F.lit("")), pattern, fields, wanted, F.when(n % 2 == 0, "success").otherwise("failure"), codes)
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"), ok.alias("passed"))
+
+
+# the twin of relational.gate_rate, whose history is the same recursion
+ORACLES["gate_rate"] = f"WITH e AS (SELECT event_id AS i, user_id AS s, epoch_ms(ts) AS ms, NULL::VARCHAR AS early, true AS pinned FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ms, i) AS n FROM e), {_LIMITED.format(window=WINDOW, most=MOST)} SELECT s AS user_id, i AS event_id, ok AS accepted FROM rate"

@@ -128,6 +128,8 @@ PROTOCOL_PATH = r"(?:^|\.)(tag|role|type|group|input_type|autocomplete|placehold
 OPAQUE_PATH = r"(^|\.)(data_base64|session_id|observation_id|id_hash)$"
 #: Words of ordinary pages that are no secrets.
 GENERIC_WORDS = "personal information details address shipping billing application service services portal review documents document profile record records account orders order cart checkout search products product home about contact support help login sign register submit next back continue confirm settings privacy terms policy name phone email code number date birth street saved form step page total price status view track tracking".split()
+#: Further words that a model takes for people and places.
+NER_STOP_WORDS = "patient patients list report lab clinic desk government india indian bench demo reset welcome thank you the and for your my of to in on city state pin".split()
 #: Sources' weights of the ablations; a source that isn't named keeps its own.
 ABLATIONS = {
     "A1": {"ner": 0, "ocr": 0, "vision": 0, "deterministic": 0}, "A2": {"regex": 0, "ocr": 0, "vision": 0, "deterministic": 0}, "A3": {"regex": 0, "ner": 0, "vision": 0, "deterministic": 0},
