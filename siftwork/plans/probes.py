@@ -90,11 +90,17 @@ RULES = {
 }
 
 
+# runs of these characters are whole tokens, which is what the recognizer's look-arounds say
+_TOKEN = "[A-Za-z0-9_-]"
+RULES["secret"] = (f"NOT starts_with(value, 'demo') AND (regexp_matches(value, '^(sk|pk|api|token|secret|key)_{_TOKEN}{{{{16,}}}}$') OR (length(value) >= 24 AND {_ENTROPY} > {schema.ENTROPY_BITS}))".replace("{{", "{").replace("}}", "}"), "0.9", "'secret-entropy-v1'")
+SQL_PATTERNS = schema.PATTERNS | {"secret": _TOKEN + "{19,}"}
+
+
 def found_sql(name: str) -> str:
     """Common tables that end in one called name of (doc_id, start, end, value, type, tier, confidence, rule_id)."""
     keep, confidence, rule = RULES[name]
     kind = {"phone": "PHONE", "dob": "DOB", "ipv4": "IP", "ipv6": "IP"}.get(name.split("_")[0], name.upper())
-    return f"""{spans_sql(name + "_s", schema.PATTERNS[name])},
+    return f"""{spans_sql(name + "_s", SQL_PATTERNS[name])},
 {name} AS (SELECT doc_id, s AS "start", e AS "end", value, '{kind}' AS type, {schema.TIERS[kind]} AS tier, ({confidence})::DOUBLE AS confidence, {rule} AS rule_id FROM {name}_s WHERE {keep})"""
 
 
@@ -117,7 +123,7 @@ def rec_detect_all(spark: SparkSession, sf_dir: str, names=tuple(RULES)) -> Data
 
 
 def rec_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all recognizers; secrets and compressed addresses can't be told in SQL."""
+    """Of all recognizers; compressed addresses can't be told in SQL."""
     return rec_text_all(spark, sf_dir, tuple(recognize.RECOGNIZERS))
 
 

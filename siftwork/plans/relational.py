@@ -249,15 +249,18 @@ def ngram_overlap(spark, sf_dir):
     return contain.shared_grams(read(spark, sf_dir, "documents").select("doc_id", "text"), items, "doc_id", n=24).select("doc_id").distinct()
 
 
-@query()
+_GRAMS_8 = _GRAMS.replace("length(text) - 22", "length(text) - 6").replace("substr(text, i, 24)", "substr(text, i, 8)")
+
+
+@query(f"WITH {_GRAMS_8} SELECT doc_id, item_id, count(*)::BIGINT AS n_shared FROM d JOIN i USING (g) GROUP BY ALL")
 def ngram_matches_8(spark, sf_dir):
-    """ngram_matches at the n of the gate, too much for a twin."""
+    """ngram_matches at the n of the gate."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("secret"))
     found = contain.shared_grams(read(spark, sf_dir, "documents").select("doc_id", "text"), items.select("secret").distinct(), "doc_id")
     return found.join(items, "secret").select("doc_id", "item_id", "n_shared")
 
 
-@query()
+@query(f"WITH {_GRAMS_8}, o AS (SELECT DISTINCT g FROM i) SELECT DISTINCT doc_id FROM d SEMI JOIN o USING (g)")
 def ngram_overlap_8(spark, sf_dir):
     items = read(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(T.grams(F.col("text"), 8))).alias("g")).distinct()
     docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.grams(F.col("text"), 8))).alias("g"))

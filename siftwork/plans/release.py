@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from siftwork import schema
 from siftwork.operators import fusion, gate, metrics
-from siftwork.plans.probes import _ENTROPY, found_sql, q
+from siftwork.plans.probes import RULES, _ENTROPY, found_sql, q
+from siftwork.plans import relational
 from siftwork.plans.relational import _evidence, _pick, _KINDS, _TYPES, R
 
 _NAMES = ("email", "card")
@@ -144,6 +146,12 @@ QUERIES = {f.__name__: f for f in (gate_registry, gate_registry_whole, gate_swee
 _P = "probe AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 _REG = "g AS (SELECT DISTINCT doc_id AS payload_id FROM documents JOIN s ON contains(lower(text), secret))"
 _SWEEP = f"{_P}, {', '.join(map(found_sql, _NAMES))}, w AS (SELECT DISTINCT doc_id AS payload_id FROM ({' UNION ALL '.join(f'SELECT doc_id FROM {n}' for n in _NAMES)}))"
+# all recognizers whose finds identify or are secret: the one without a rule in SQL finds neither
+_STRONG = tuple(n for n in RULES if n not in ("ipv4", "ipv6_full", "dob_iso", "dob_us"))
+_SWEEP_ALL = f"{_P}, {', '.join(map(found_sql, _STRONG))}, w AS (SELECT DISTINCT doc_id AS payload_id FROM ({' UNION ALL '.join(f'SELECT doc_id FROM {n}' for n in _STRONG)}))"
+_EIGHT = "unnest(list_distinct(list_transform(range(1, greatest(length({0}) - 6, 1)), lambda i: substr({0}, i, 8))))"
+_FRAGMENTS = f"dg AS (SELECT doc_id, {_EIGHT.format('lower(text)')} AS g FROM documents), sg AS (SELECT DISTINCT g FROM (SELECT {_EIGHT.format('secret')} AS g FROM s)), g AS (SELECT DISTINCT doc_id AS payload_id FROM dg SEMI JOIN sg USING (g))"
+_HOST = "regexp_extract(url, '//([^/]+)', 1)"
 _W1, _B1, _W2, _B2 = weights()
 _X = "[embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE, embedding[4]::DOUBLE]"
 _HID = ", ".join(f"greatest(0, {' + '.join(f'x[{j + 1}] * ({w})' for j, w in enumerate(row))} + ({b})) AS h{i}" for i, (row, b) in enumerate(zip(_W1, _B1, strict=True)))
@@ -155,6 +163,11 @@ ORACLES = {
     "gate_verdict": f"""WITH {_SECRETS}, {_REG}, {_SWEEP}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\x0b\\x0c\\r]+')) AS word FROM documents), k AS (SELECT doc_id, unnest(string_split(word, '/')) AS value FROM t WHERE NOT regexp_matches(word, '⟦|^https?://')),
 n AS (SELECT DISTINCT doc_id AS payload_id FROM k WHERE length(value) >= 24 AND round({_ENTROPY}, 9) > 4.0)
 SELECT doc_id AS payload_id, CASE WHEN doc_id IN (FROM g) THEN 'REGISTRY_SCAN' WHEN doc_id IN (FROM w) THEN 'TYPE_BRAND' WHEN doc_id IN (FROM n) THEN 'ENTROPY_HEURISTIC' WHEN octet_length(encode(coalesce(text, ''))) > {LIMIT} THEN 'SIZE_BUDGET' END AS code FROM documents""",
+    "gate_verdict_whole": f"""WITH {_SECRETS}, {_FRAGMENTS}, {_SWEEP_ALL}, t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\x0b\\x0c\\r]+')) AS word FROM documents), k AS (SELECT doc_id, unnest(string_split(word, '/')) AS value FROM t WHERE NOT regexp_matches(word, '⟦|^https?://')),
+n AS (SELECT DISTINCT doc_id AS payload_id FROM k WHERE length(value) >= 24 AND round({_ENTROPY}, 9) > 4.0)
+SELECT doc_id AS payload_id, CASE WHEN doc_id IN (FROM g) THEN 'REGISTRY_SCAN' WHEN doc_id IN (FROM w) THEN 'TYPE_BRAND' WHEN doc_id IN (FROM n) THEN 'ENTROPY_HEURISTIC' WHEN octet_length(encode(coalesce(text, ''))) > {LIMIT} THEN 'SIZE_BUDGET' END AS code FROM documents""",
+    "gate_registry_whole": f"WITH {_SECRETS}, {_FRAGMENTS} SELECT payload_id, 'REGISTRY_SCAN' AS code FROM g",
+    "gate_sweep_whole": f"WITH {_SWEEP_ALL} SELECT payload_id, 'TYPE_BRAND' AS code FROM w",
     "gate_destination": "SELECT page_id AS payload_id, CASE WHEN starts_with(url, 'http://tionsh.example.net/') THEN NULL ELSE 'DESTINATION_PIN' END AS code FROM pages",
     "handle_consistency": """WITH u AS (SELECT DISTINCT 'h' || user_id AS handle FROM events), d AS (SELECT DISTINCT 'h' || (user_id + 1) AS handle, CASE WHEN user_id % 7 = 0 THEN event_type ELSE 'a' END AS type FROM events WHERE user_id % 3 <> 0)
 SELECT handle, 'dangling' AS problem FROM u WHERE handle NOT IN (SELECT handle FROM d) UNION ALL SELECT DISTINCT handle, 'unreferenced' FROM d WHERE handle NOT IN (FROM u) UNION ALL SELECT handle, 'ambiguous' FROM d GROUP BY handle HAVING count(DISTINCT type) > 1""",
@@ -166,3 +179,6 @@ t AS (SELECT without, CASE WHEN type = without THEN 0 ELSE confidence * CASE typ
     "json_strings": "SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
     "perf_delta": "WITH b AS (SELECT event_type, avg(value) AS base FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT event_type, round(avg(value) - any_value(base), 6) AS delta FROM events LEFT JOIN b USING (event_type) GROUP BY 1",
 }
+# a host in any of its encodings, by the twin of encodings()
+_FORMS = re.search(r"list_distinct\(.*?lower\(f\)\)\)", relational.ORACLES["encodings"], re.S)[0]
+ORACLES["payload_scan"] = f"WITH p AS (SELECT page_id, {_HOST} AS host, lower(html) AS body FROM pages), f AS (SELECT page_id, body, {re.sub(r'\burl\b', 'host', _FORMS)} AS forms FROM p) SELECT page_id, len(list_filter(forms, lambda x: length(x) >= 4 AND contains(body, x)))::BIGINT AS n_found FROM f"
