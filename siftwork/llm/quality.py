@@ -41,14 +41,20 @@ def words_of(text: Column) -> Column:
     return _split(text)
 
 
-def buckets_of(text: Column) -> Column:
-    """array<bigint>: the hash buckets of a text's token uni- and bigrams."""
+def token_hashes(words: Column) -> Column:
+    """array<bigint>: hashes of the tokens of words, in order. Only words with punctuation are parted further."""
+    parted = lambda w: F.transform(_split(F.regexp_replace(w, _MARKS, " $1 ")), lambda t: F.xxhash64(t))
+    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(_MARKS), parted(w)).otherwise(F.array(F.xxhash64(w)))))
+
+
+def buckets_of(words: Column) -> Column:
+    """array<bigint>: the hash buckets of the token uni- and bigrams of a text's words."""
 
     def grams(h: Column) -> Column:
         pair = lambda x, i: F.pmod(F.xxhash64(x, F.get(h, i + 1)), F.lit(BUCKETS))
         return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS))), F.slice(F.transform(h, pair), F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))))
 
-    return let(F.transform(_split(F.regexp_replace(text, _MARKS, " $1 ")), lambda w: F.xxhash64(w)), grams)
+    return let(token_hashes(words), grams)
 
 
 def repeated_words(words: Column) -> Column:
@@ -65,21 +71,25 @@ def repeated_words(words: Column) -> Column:
         step = lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(p, a["end"])).alias("n"), (p + WINDOW).alias("end"))
         return F.when(F.size(F.array_distinct(g)) < F.size(g), F.aggregate(let(pairs, twins), start, step, lambda a: a["n"])).otherwise(0)
 
-    def windows(h: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(h) - (WINDOW - 1))
-        return F.when(F.size(h) >= WINDOW, let(F.transform(at, lambda i: F.xxhash64(F.slice(h, i, WINDOW))), covered)).otherwise(0)
+    def doubled(a: Column, n: int) -> Column:
+        return F.transform(F.slice(a, F.lit(1), F.greatest(F.size(a) - n, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(a, i + n)))
+
+    def windows(four: Column) -> Column:
+        # a window of eight found twice holds runs of four found twice; most texts have none
+        return F.when(F.size(F.array_distinct(four)) < F.size(four), let(doubled(four, 4), covered)).otherwise(0)
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), windows).cast("long")
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(doubled(h, 1), lambda two: let(doubled(two, 2), windows))).cast("long")
 
 
-def base_counts(text: Column) -> list[Column]:
+def base_counts(text: Column, words: Column) -> list[Column]:
+    """Fields of the verdict that don't need a model; words must be bound."""
     text = F.coalesce(text, F.lit(""))
-    bare = lambda chars: F.length(F.translate(text, chars, ""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return [
-        let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
-        bare(SPACE).cast("long").alias("word_chars"),
-        (F.length(text) - bare("#*$%&|<>")).cast("long").alias("n_symbols"),
+        F.size(words).cast("long").alias("n_words"),
+        repeated_words(words).alias("n_repeat_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     ]
 
@@ -90,7 +100,7 @@ def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = good.orderBy(F.xxhash64("__good"), "__good").limit(trusted).select("__good")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     rows = rows.join(F.broadcast(good), F.col("__id") == F.col("__good"), "left")
-    grams = rows.select(F.col("__good").isNotNull().cast("long").alias("t"), F.explode(buckets_of(F.col("__text"))).alias("b"))
+    grams = rows.select(F.col("__good").isNotNull().cast("long").alias("t"), F.explode(let(words_of(F.col("__text")), buckets_of)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("b"))
     sides = every.join(counts, "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))).alias("m"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -106,10 +116,10 @@ def judge(docs: DataFrame, fitted: DataFrame, text_col: str = "text", margin: fl
     llr = F.col("__llr")  # of BUCKETS numbers, a scalar subquery's result
     mean = lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(llr, x.cast("int"))) / F.size(b)).otherwise(0.0)
     text = F.col(text_col)
-    parts = F.struct(*base_counts(text), let(buckets_of(text), mean).alias("score"))
+    parts = let(words_of(text), lambda w: F.struct(*base_counts(text, w), let(buckets_of(w), mean).alias("score")))
 
     def verdict(v: Column) -> Column:
-        n, r = v["w"]["n_words"], v["w"]["n_repeat_words"]
+        n, r = v["n_words"], v["n_repeat_words"]
         failed = (n < 20) | (r * 100 > n * 30)
         return F.struct(n.alias("n_words"), v["word_chars"].alias("word_chars"), v["n_symbols"].alias("n_symbols"), v["n_dup_lines"].alias("n_dup_lines"), r.alias("n_repeat_words"), v["score"].alias("score"), failed.alias("base_failed"), (~failed & (v["score"] >= F.col("__least") - margin)).alias("kept"))
 
