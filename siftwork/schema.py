@@ -14,7 +14,8 @@ TLDS = "com|org|net|edu|gov|mil|int|io|co|ai|app|dev|me|us|uk|ca|au|de|fr|jp|in|
 BANK_CODES = ("SBIN", "HDFC", "ICIC", "UTIB", "KKBK", "YESB", "INDB", "RATN", "BKID", "CNRB", "PUNB", "UBIN", "IOBA", "ABHY", "ANDH", "SYNB", "CORP", "VIJB", "MAHB", "BKDN", "SBHY", "SBTR", "SBMJ", "STBP", "KARB", "FDRL", "SBPD")
 UPI_HANDLES = ("okhdfcbank", "oksbi", "okicici", "okaxis", "okkotak", "okyesbank", "paytm", "phonepe", "gpay", "amazonpay", "mobikwik", "freecharge", "icici", "hdfc", "sbi", "axis", "kotak", "yesbank", "indusind", "upi", "bhim", "barodapay", "pnb", "canara", "unionbank")
 SAMPLE_CARDS = ("4000000000000002", "4242424242424242", "5555555555555555", "4111111111111111")
-#: Patterns of detected values with ASCII word boundaries written \b; see functions.text.java().
+#: Patterns of detected values with ASCII word boundaries written \b; see functions.text.java(). Digits are [0-9], which means the same to Java's engine, to
+#: Python's and to the twins' RE2.
 PATTERNS = {
     "email": r"\b[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*\.(?:" + TLDS + r")\b",
     "phone_in_e164": r"\+91[\s-]?[6-9](?:[\s-]?[0-9]){9}",
@@ -107,8 +108,8 @@ FREE_TEXT_ACCEPTS = ("PERSON_NAME", "NAME", "STREET_ADDRESS", "ADDRESS", "CITY",
 ID_SEGMENTS = (r"^[0-9]+$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"^[A-Z]{2,6}[-_]?[A-Z0-9]{5,}$", r"^[A-Za-z]{1,4}[-_]?[0-9]{2,}[A-Za-z0-9]*$", r"^[A-Za-z0-9_-]{20,}$")
 #: Letters and digits, eight or more, at least one digit: two tests instead of a look-ahead.
 ID_MIXED = (r"^[A-Za-z0-9_-]{8,}$", r"[0-9]")
-VERHOEFF_D = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 0, 6, 7, 8, 9, 5, 2, 3, 4, 0, 1, 7, 8, 9, 5, 6, 3, 4, 0, 1, 2, 8, 9, 5, 6, 7, 4, 0, 1, 2, 3, 9, 5, 6, 7, 8, 5, 9, 8, 7, 6, 0, 4, 3, 2, 1, 6, 5, 9, 8, 7, 1, 0, 4, 3, 2, 7, 6, 5, 9, 8, 2, 1, 0, 4, 3, 8, 7, 6, 5, 9, 3, 2, 1, 0, 4, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0)
-VERHOEFF_P = (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 5, 7, 6, 2, 8, 3, 0, 9, 4, 5, 8, 0, 3, 7, 9, 6, 1, 4, 2, 8, 9, 1, 6, 0, 4, 3, 5, 2, 7, 9, 4, 5, 3, 1, 2, 6, 8, 7, 0, 4, 2, 8, 6, 5, 7, 3, 9, 0, 1, 2, 7, 9, 3, 8, 0, 6, 4, 1, 5, 7, 0, 4, 6, 9, 1, 3, 2, 5, 8)
+#: The permutation that Verhoeff's scheme applies once more for each place; its tables follow from it and from the dihedral group (see the end).
+VERHOEFF_STEP = (1, 5, 7, 6, 2, 8, 3, 0, 9, 4)
 MAX_PAYLOAD_BYTES, RATE_WINDOW_MS, RATE_MAX_SENDS = 256_000, 60_000, 90
 #: Pixels: around the viewport, the longest side of a screenshot and of a crop.
 VIEW_MARGIN, LONG_SIDE, CROP_SIDE = 50, 640, 512
@@ -140,3 +141,16 @@ LOCAL_TIMINGS = ("observe", "capture", "perceive", "sanitize", "redact", "gate",
 SESSION_TTL_MS = 30 * 60 * 1000
 ENTROPY_LENGTH, ENTROPY_BITS, GRAM, LEAST_SECRET = 24, 4.0, 8, 6
 # -------------------------------------------------------------------------------------------------------------------
+
+
+def _dihedral(a: int, b: int) -> int:
+    """The product of two symmetries of a pentagon: 0 to 4 are its turns, 5 to 9 its mirrorings."""
+    return (a - b if a >= 5 else a + b) % 5 + 5 * ((a >= 5) != (b >= 5))
+
+
+#: Products of digits, and permutations by place, both row by row.
+VERHOEFF_D = tuple(_dihedral(a, b) for a in range(10) for b in range(10))
+_rows = [tuple(range(10))]
+for _ in range(7):
+    _rows.append(tuple(_rows[-1][n] for n in VERHOEFF_STEP))
+VERHOEFF_P = tuple(n for row in _rows for n in row)
