@@ -41,20 +41,24 @@ def words_of(text: Column) -> Column:
     return _split(text)
 
 
+def all_token_hashes(text: Column) -> Column:
+    """array<bigint>: hashes of a text's tokens, in order."""
+    return F.transform(_split(F.regexp_replace(text, _MARKS, " $1 ")), lambda t: F.xxhash64(t))
+
+
 def token_hashes(words: Column) -> Column:
-    """array<bigint>: hashes of the tokens of words, in order. Only words with punctuation are parted further."""
-    parted = lambda w: F.transform(_split(F.regexp_replace(w, _MARKS, " $1 ")), lambda t: F.xxhash64(t))
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(_MARKS), parted(w)).otherwise(F.array(F.xxhash64(w)))))
+    """The same where the words are at hand: only those with punctuation are parted further."""
+    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(_MARKS), all_token_hashes(w)).otherwise(F.array(F.xxhash64(w)))))
 
 
-def buckets_of(words: Column) -> Column:
-    """array<bigint>: the hash buckets of the token uni- and bigrams of a text's words."""
+def buckets_of(hashes: Column) -> Column:
+    """array<bigint>: the hash buckets of the uni- and bigrams of tokens."""
 
     def grams(h: Column) -> Column:
         pair = lambda x, i: F.pmod(F.xxhash64(x, F.get(h, i + 1)), F.lit(BUCKETS))
         return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS))), F.slice(F.transform(h, pair), F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))))
 
-    return let(token_hashes(words), grams)
+    return let(hashes, grams)
 
 
 def repeated_words(words: Column) -> Column:
@@ -100,7 +104,7 @@ def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = good.orderBy(F.xxhash64("__good"), "__good").limit(trusted).select("__good")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     rows = rows.join(F.broadcast(good), F.col("__id") == F.col("__good"), "left")
-    grams = rows.select(F.col("__good").isNotNull().cast("long").alias("t"), F.explode(let(words_of(F.col("__text")), buckets_of)).alias("b"))
+    grams = rows.select(F.col("__good").isNotNull().cast("long").alias("t"), F.explode(buckets_of(all_token_hashes(F.col("__text")))).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").alias("b"))
     sides = every.join(counts, "b", "left").agg(F.array_sort(F.collect_list(F.struct("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))).alias("m"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -116,7 +120,7 @@ def judge(docs: DataFrame, fitted: DataFrame, text_col: str = "text", margin: fl
     llr = F.col("__llr")  # of BUCKETS numbers, a scalar subquery's result
     mean = lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(llr, x.cast("int"))) / F.size(b)).otherwise(0.0)
     text = F.col(text_col)
-    parts = let(words_of(text), lambda w: F.struct(*base_counts(text, w), let(buckets_of(w), mean).alias("score")))
+    parts = let(words_of(text), lambda w: F.struct(*base_counts(text, w), let(buckets_of(token_hashes(w)), mean).alias("score")))
 
     def verdict(v: Column) -> Column:
         n, r = v["n_words"], v["n_repeat_words"]
