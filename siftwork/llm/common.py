@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,19 @@ def small(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def bounded(batches, column: str, rows: int, size: int):
+    """Arrow batches in slices of at most so many rows and bytes in a column, or of one longer row."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+            upto = min(max(upto, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for each row, also where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]
