@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, minhash, mixing, packing, pii, quality, secrets, suffix, vptree, warc
+from . import bpe, chat, fim, hardneg, minhash, mixing, packing, pii, quality, secrets, suffix, vptree, warc
 from .common import read
 
 
@@ -68,6 +68,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.summary(chat.read_back(chat.format_chats(rows)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mine(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.restore(fim.transform(read(spark, sf_dir, "documents"))).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
 
@@ -79,5 +84,5 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pii_feistel, op3_quality_rules, op4_vp_tree, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op9_suffix_dedup, op10_chat_format, op12_fill_in_middle, op13_packing)}
-ORACLES: dict[str, str] = {"op1_near_dedup": minhash.ORACLE, "op4_vp_tree": vptree.ORACLE, "op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE, "op12_fill_in_middle": fim.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_pii_feistel, op3_quality_rules, op4_vp_tree, op5_secret_links, op6_arc_to_warc, op7_bpe, op8_mix_sources, op9_suffix_dedup, op10_chat_format, op11_hard_negatives, op12_fill_in_middle, op13_packing)}
+ORACLES: dict[str, str] = {"op1_near_dedup": minhash.ORACLE, "op4_vp_tree": vptree.ORACLE, "op6_arc_to_warc": warc.ORACLE, "op8_mix_sources": mixing.ORACLE, "op10_chat_format": chat.ORACLE, "op11_hard_negatives": hardneg.ORACLE, "op12_fill_in_middle": fim.ORACLE}
