@@ -5,7 +5,7 @@ of GROUP windows and the document at hand. Documents of a window's size and more
 documents are the group's pieces. One in SHARE of a group's tokens is cut into pieces of SMALL ids, which are what differencing levels
 windows with; other pieces stay whole but for the one in which a group ends. Differencing merges partial partitions, the fullest window
 of the one with the emptiest of the other, until one is left. A group has SLACK ids less than its windows hold; where a window exceeds the size nevertheless, the
-group gets one window more, and is parted anew. What is left in a task's last group is parted into as many windows as it fills and into
+group gets one window more, and is parted anew (few windows are first tried with finer pieces). What is left in a task's last group is parted into as many windows as it fills and into
 windows of powers of two, which need no padding.
 
 encode() gives the ids of the whole text: what stands between ASCII white space is encoded by the tokenizer on its own, once for equal
@@ -36,7 +36,8 @@ from .common import bounded, spread
 
 SIZE = 4096
 #: Windows of a group; one in SHARE of its tokens is cut into SMALL ids; ids for each window that a group leaves free.
-GROUP, SHARE, SMALL, SLACK = 128, 32, 16, 8
+#: Where a window of fewer than FEW exceeds the size, one in FINER is cut into SMALL ids first.
+GROUP, SHARE, SMALL, SLACK, FEW, FINER = 128, 32, 16, 8, 64, 3
 #: Words that are remembered, the longest of them in bytes, and the bytes of a text that are parted into words at once.
 KEEP, LONGEST, BLOCK = 500_000, 64, 1 << 20
 #: What a batch holds at most.
@@ -134,14 +135,28 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
+def finer(pieces: list[tuple[int, int, int]], part: int) -> list[tuple[int, int, int]]:
+    """The pieces, the last ones cut into SMALL ids until one in `part` of all ids is in such."""
+    out, small, most = list(pieces), sum(p[2] for p in pieces if p[2] <= SMALL), sum(p[2] for p in pieces)
+    for i in reversed(range(len(out))):
+        if small * part >= most:
+            break
+        doc, start, n = out[i]
+        if n > SMALL:
+            out[i : i + 1] = [(doc, start + at, min(SMALL, n - at)) for at in range(0, n, SMALL)]
+            small += n
+    return out
+
+
 def windows(pieces: list[tuple[int, int, int]], size: int = SIZE, least: int | None = None) -> list[list[tuple[int, int, int]]]:
-    """Pieces (document, start, length) in windows of at most `size`: as few as hold them all, or `least`, and one more whenever a window exceeds the size."""
-    lengths = [p[2] for p in pieces]
-    k = max(-(-sum(lengths) // size), least or 0)
+    """Pieces (document, start, length) in windows of at most `size`: as few as hold them all, or `least`. Whenever a window exceeds the size,
+    there is one window more; of few windows, for which one more is much padding, finer pieces are tried first."""
+    k = max(-(-sum(p[2] for p in pieces) // size), least or 0)
     while True:
-        parted = difference(lengths, k)
-        if all(sum(lengths[i] for i in w) <= size for w in parted):
-            return [joined(pieces[i] for i in w) for w in parted if w]
+        for some in (pieces, finer(pieces, FINER))[: 1 if k >= FEW else 2]:
+            parted = difference([p[2] for p in some], k)
+            if all(sum(some[i][2] for i in w) <= size for w in parted):
+                return [joined(some[i] for i in w) for w in parted if w]
         k += 1
 
 
