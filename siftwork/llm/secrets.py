@@ -2,20 +2,21 @@
 
 Base spans (assign, access, hex) are always reported. Weak candidates are parts that prove nothing alone: a login name or
 key identifier (ident), a short or high-entropy value (part) and an address (endpoint). An interval join over each scope
-reports a weak one only where a complementary part lies in the same scope, and within `reach` characters (REACH, unless the caller
-says otherwise; None: anywhere in the scope):
+reports a weak one only where a complementary part, which doesn't overlap it, lies in the same scope, however far away:
 
 * ident     with any secret part: assign, hex or part
 * part      with any identifier: access or ident
-* endpoint  with both an identifier and a secret part
+* endpoint  with an identifier and a secret part that don't overlap one another
 
-A scope is a stretch of text between blank lines. Null texts count as empty. Rows are independent: repeated rows give repeated
-results, an empty table an empty result; extra columns are ignored.
+A scope is a stretch of text between blank lines. Weak candidates that overlap a base span are part of it, endpoints excepted. Spans that begin
+together come in the order of their kinds. Null texts count as empty; very long texts are scanned whole, one at a time, and links take time in
+proportion to the candidates. Rows are independent: repeated rows give repeated results, an empty table an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 
@@ -36,7 +37,6 @@ IDENT = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:name)?|login|account|client_?i
 ENDPOINT = re.compile(r"(?:https?|ftp|sftp|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}", re.A)
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 KINDS = ("assign", "access", "hex", "ident", "part", "endpoint")
-REACH = 400
 ENTROPY = 3.5
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
@@ -72,50 +72,62 @@ def weak_parts(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _near(starts: list[int], ends: list[int], lo: int, hi: int) -> bool:
-    """Is there an interval that overlaps [lo, hi)? The intervals of a role don't overlap one another much, both lists ascend."""
-    return bisect.bisect_left(starts, hi) > bisect.bisect_right(ends, lo)
+class _Side:
+    """The identifiers or secrets of a scope: is one of them clear of an interval, and how early do such end, how late do they begin?"""
 
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.by_start, self.by_end = sorted(spans), sorted(spans, key=lambda x: x[1])
+        self.starts, self.ends = [s for s, _ in self.by_start], [e for _, e in self.by_end]
+        #: The least end among those from each place on by start, the largest start among those up to each place by end.
+        self.least = list(itertools.accumulate((e for _, e in reversed(self.by_start)), min))[::-1]
+        self.most = list(itertools.accumulate((s for s, _ in self.by_end), max))
 
-def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], reach: int | None = REACH) -> list[tuple[int, int, int]]:
-    """The weak parts with their complement near: an interval join on sorted ends, linear but for the look-ups."""
-    taken = [(s, e) for s, _, e in base]
-    starts, ends = [s for s, _ in taken], sorted(e for _, e in taken)
-    weak = [w for w in weak if w[1] == 5 or not _near(starts, ends, w[0], w[2])]
+    def clear_of(self, lo: int, hi: int) -> tuple[int, int] | None:
+        """(least end, largest start) of those that don't overlap [lo, hi)."""
+        before, after = bisect.bisect_right(self.ends, lo), bisect.bisect_left(self.starts, hi)
+        if not before and after == len(self.starts):
+            return None
+        return self.ends[0] if before else self.least[after], self.starts[-1] if after < len(self.starts) else self.most[before - 1]
+
+
+def link(text: str, base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The weak parts whose complement lies in their scope, clear of them: an interval join on sorted ends, linear but for the look-ups."""
+    taken = _Side([(s, e) for s, _, e in base])
+    overlaps = lambda s, e: bisect.bisect_left(taken.starts, e) > bisect.bisect_right(taken.ends, s)
+    weak = [w for w in weak if w[1] == 5 or not overlaps(w[0], w[2])]
     if not weak:
         return []
-    walls, reach = [m.start() for m in _BLANK.finditer(text)], len(text) if reach is None else reach
-    secret = sorted((s, e) for s, k, e in [*base, *weak] if k in (0, 2, 4))
-    ident = sorted((s, e) for s, k, e in [*base, *weak] if k in (1, 3))
-    sides = [([s for s, _ in x], sorted(e for _, e in x)) for x in (secret, ident)]
+    walls = [m.start() for m in _BLANK.finditer(text)]
+    scope = lambda span: bisect.bisect_right(walls, span[0])
     out = []
-    for s, k, e in weak:
-        i = bisect.bisect_left(walls, s)
-        lo = max(s - reach, walls[i - 1] if i else 0)
-        j = bisect.bisect_left(walls, e)
-        hi = min(e + reach, walls[j] if j < len(walls) else len(text))
-        near = [_near(*side, lo, hi) for side in sides]
-        if near[0] if k == 3 else near[1] if k == 4 else all(near):
-            out.append((s, k, e))
+    every = sorted({*base, *weak})
+    for _, spans in itertools.groupby(every, scope):
+        spans = list(spans)
+        secret, ident = (_Side([(s, e) for s, k, e in spans if k in kinds]) for kinds in ((0, 2, 4), (1, 3)))
+        for s, k, e in spans:
+            if k == 3 and secret.clear_of(s, e) or k == 4 and ident.clear_of(s, e):
+                out.append((s, k, e))
+            elif k == 5 and (a := secret.clear_of(s, e)) and (b := ident.clear_of(s, e)) and (a[0] <= b[1] or b[0] <= a[1]):
+                out.append((s, k, e))
     return out
 
 
-def spans_of(text: str, reach: int | None = REACH) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
     weak = weak_parts(text)
-    return base, sorted({*base, *link(text, base, weak, reach)}) if weak else base
+    return base, sorted({*base, *link(text, base, weak)}) if weak else base
 
 
 def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = REACH) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, base string, spans string): comma-joined kind:start:end by start, then kind; code points, end exclusive."""
 
     def run(batches):
         for batch in small(batches):
-            found = [spans_of(t or "", reach) for t in batch.column(1).to_pylist()]
+            found = [spans_of(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_said(b) for b, _ in found], pa.string()), pa.array([_said(a) for _, a in found], pa.string())], names=[id_col, "base", "spans"])
 
     rows = spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)))
