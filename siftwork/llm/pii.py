@@ -14,8 +14,9 @@ become equal ones in every document, different ones stay different. The kinds an
 
 Invalid values stay as they are. Where a match is not valid, or is a number of unusual groups that may hold a neighbour's digits,
 its line is looked through again from group to group (see `_lines` and `_gaps`), so that a valid number beside other digits or capitals is
-found. Null texts stay null, empty ones empty. Rows are independent; extra columns pass through, a
-column with the name of the result is replaced.
+found. Null texts stay null, empty ones empty. Rows are independent and equal rows get equal results; where two values could begin at the same place, the
+kind that stands first above is taken. A very long text is handled whole, as an array of its pieces; a host has at most 127 labels, and no pattern repeats a
+group without bounds, so that no text exhausts the pattern engine's stack. Extra columns pass through, a column with the name of the result is replaced.
 
 The network has ROUNDS rounds (SMALL_ROUNDS for up to three characters) whose function is SHA-256 in counter mode over key, kind,
 format, round, half and the other half, so that no two places share hash bits. A single character is split into two coordinates,
@@ -37,7 +38,7 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ipv4", "date")
 _N, _W = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"
 #: Fixed patterns, in order of precedence where two begin at the same place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": rf"{_N}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}{_W}",
     "date": rf"(?<![0-9A-Za-z./-])(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}|[0-9]{{4}}\.[0-9]{{2}}\.[0-9]{{2}}|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}){_W}",
     "ssn": rf"(?<![0-9A-Za-z-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9A-Za-z-])",
@@ -53,10 +54,12 @@ DAYS = (189, 773)
 SHAPES = r"[2-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5}|[2-6][0-9]{12,18}"
 #: Lengths of IBANs by country.
 LENGTHS = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
-#: Matches begin and end between atoms. WINDOW of them hold every number, and mail addresses of up to half as many labels.
-ATOM, WINDOW = "(?s)[0-9A-Za-z]+|[^0-9A-Za-z]", 200
+#: Matches begin and end between atoms. The longest number has fewer than WINDOW of them; a mail address, of 64 characters, 126 labels of 63 and
+#: a last one, fewer than MAIL_WINDOW, which is taken only where what begins a mail address stands in front.
+ATOM, WINDOW, MAIL_WINDOW = "(?s)[0-9A-Za-z]+|[^0-9A-Za-z]", 200, 8300
+MAIL_BEGINS = r"(?s)^[^A-Za-z0-9._%+-][A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9]"
 #: More digits behind + than a phone number has: its pattern may take some of a neighbour's.
-CROWDED = r"\+[0-9](?:[ .()-]{0,3}[0-9]){15,}"
+CROWDED = r"\+[0-9](?:[ .()-]{0,3}[0-9]){15}"
 
 
 def feistel(values: Column, radix: Column, half: Column, key: Column, tweak: str, rounds: Column | int = ROUNDS) -> Column:
@@ -257,15 +260,16 @@ def _piece(kind, value) -> Column:
     return F.struct((F.lit(None).cast("string") if kind is None else kind).alias("kind"), value.alias("value"))
 
 
-def _pieces(text: Column, begins: str, find) -> Column:
+def _pieces(text: Column, begins: str, find, mail: bool = False) -> Column:
     """array<struct<kind, value>>: text in order, parted at what find() sees at the start of a window behind its first character."""
 
     def of(atoms: Column) -> Column:
         joined = lambda at, n: F.array_join(F.slice(atoms, at + 1, n), "")
 
         def step(state: Column, i: Column) -> Column:
-            window = F.concat(F.when(i > 0, F.get(atoms, i - 1)).otherwise("\n").substr(-1, 1), joined(i, F.lit(WINDOW)))
-            seen = F.when((i >= state["next"]) & F.get(atoms, i).rlike(begins), let(window, find))
+            window = lambda n: F.concat(F.when(i > 0, F.get(atoms, i - 1)).otherwise("\n").substr(-1, 1), joined(i, F.lit(n)))
+            whole = let(window(WINDOW), lambda w: F.when(w.rlike(MAIL_BEGINS), window(MAIL_WINDOW)).otherwise(w)) if mail else window(WINDOW)
+            seen = F.when((i >= state["next"]) & F.get(atoms, i).rlike(begins), let(whole, find))
 
             def taken(value: Column) -> Column:
                 n = F.size(F.regexp_extract_all(value["value"], F.lit(ATOM), F.lit(0)))
@@ -324,7 +328,7 @@ def _lines(text: Column) -> Column:
 
 def _gaps(pieces: Column) -> Column:
     """The same with values of all kinds told apart in the gaps."""
-    return F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull() & p["value"].rlike(HINT), _pieces(p["value"], "^[0-9A-Za-z(+._%-]", _any)).otherwise(F.array(p))))
+    return F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull() & p["value"].rlike(HINT), _pieces(p["value"], "^[0-9A-Za-z(+._%-]", _any, mail=True)).otherwise(F.array(p))))
 
 
 def _doubtful(found: Column) -> Column:
