@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import forms, models, observation, probes, relational, release, scene, wire
+from . import forms, inputs, models, observation, probes, relational, release, scene, wire
 
-MODULES = (probes, relational, forms, release, scene, observation, wire, models)
+MODULES = (probes, relational, forms, release, scene, observation, wire, models, inputs)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: f for m in MODULES for k, f in m.ORACLES.items()}

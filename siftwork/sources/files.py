@@ -42,6 +42,10 @@ def tasks(spark: SparkSession, path: str, only: list[str] | None = None) -> Data
     return rows.orderBy("id")
 
 
+PII = {"type": "string", "tier": "int", "value_id": "string", "decoy": "boolean", "value": "string"}
+REGION = {"type": "string", "value_id": "string", "x": "double", "y": "double", "w": "double", "h": "double"}
+
+
 class _Truth(HTMLParser):
     def __init__(self, prefix: str):
         super().__init__(convert_charrefs=True)
@@ -76,6 +80,14 @@ class _Truth(HTMLParser):
                 break
 
 
+def told_by(html: str, prefix: str) -> tuple[list[dict], list[dict]]:
+    """What one instrumented page says that it shows: values with text, and regions."""
+    t = _Truth(prefix)
+    t.feed(html)
+    t.close()
+    return [{**{k: v for k, v in m.items() if k != "text"}, "value": m["text"].strip()} for m in t.found if m["text"].strip()], t.regions
+
+
 def truth(pages: DataFrame, prefix: str = "data-truth", key: str = "page_id", html_col: str = "html") -> DataFrame:
     """(key, pii array<struct<type, tier, value_id, decoy, value>>, regions array<struct<type, value_id, x, y, w, h>>): what instrumented pages say they show, in attributes of a prefix and
     regions as JSON. Elements without text and regions that can't be read are left out."""
@@ -84,12 +96,7 @@ def truth(pages: DataFrame, prefix: str = "data-truth", key: str = "page_id", ht
 
     def run(batches):
         for batch in batches:
-            found = []
-            for html in batch.column(1).to_pylist():
-                t = _Truth(prefix)
-                t.feed(html or "")
-                t.close()
-                found.append(([{**{k: v for k, v in m.items() if k != "text"}, "value": m["text"].strip()} for m in t.found if m["text"].strip()], t.regions))
+            found = [told_by(html or "", prefix) for html in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pii), pa.array([f[1] for f in found], region)], names=[key, "pii", "regions"])
 
     kind = pages.schema[key].dataType.simpleString()

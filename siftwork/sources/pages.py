@@ -62,6 +62,7 @@ class _Walk(HTMLParser):
         self.labels: dict[str, _Node] = {}
         self.ids: dict[str, _Node] = {}
         self.cut = False
+        self.title: str | None = None
 
     def handle_starttag(self, tag, attrs):
         at = dict(attrs)
@@ -102,6 +103,8 @@ class _Walk(HTMLParser):
 
     def handle_data(self, data):
         text = " ".join(data.split())
+        if self.open[-1].tag == "title" and self.title is None:
+            self.title = text
         if not text or any(n.tag in SILENT for n in self.open):
             return
         for n in self.open:
