@@ -71,17 +71,6 @@ def truth_at(truth: DataFrame, asked: DataFrame, key: str, step: str, value: str
     return asked.join(exact, [key, step], "left").join(last, key, "left").select(key, step, F.when(F.col("__hit"), F.col("__exact")).otherwise(F.col("__last")).alias(value))
 
 
-def fault_configs(spark) -> DataFrame:
-    """(config, sources, mode): every set of the three fallible sources in each of three ways to fail, and none."""
-    named = F.array(F.lit("ner"), F.lit("ocr"), F.lit("vision"))
-    sets = spark.range(1, 8).select(F.filter(named, lambda x, i: F.shiftrightunsigned("id", 1) >= 0).alias("all"), "id")
-    chosen = F.array_join(F.filter("all", lambda x, i: F.pmod(F.floor(F.col("id") / F.pow(F.lit(2), i)), F.lit(2)) == 1), "+")
-    modes = F.explode(F.array(*map(F.lit, ("throw", "timeout", "empty"))))
-    broken = sets.select(chosen.alias("sources"), modes.alias("mode"))
-    healthy = spark.range(1).select(F.lit("").alias("sources"), F.lit("none").alias("mode"))
-    return broken.unionByName(healthy).select(F.concat_ws(":", "sources", "mode").alias("config"), "sources", "mode")
-
-
 def matched_controls(truth: DataFrame, observed: DataFrame, least: float = 0.5) -> DataFrame:
     """(obs, truth, observed, matched): controls in order each take the first observed element left that has their tag and overlaps enough. Pairs come from a join of
     overlapping rectangles; the fold goes through those of one page only. Both sides: (obs, ord, tag, rect)."""

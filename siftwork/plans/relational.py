@@ -412,11 +412,6 @@ def truth_at(spark, sf_dir):
     return metrics.truth_at(truth, truth.select("user_id").distinct().withColumn("step", F.lit(12).cast("long")), "user_id", "step", "v")
 
 
-@query("""WITH s(k, sources) AS (VALUES (1, 'ner'), (2, 'ocr'), (3, 'ner+ocr'), (4, 'vision'), (5, 'ner+vision'), (6, 'ocr+vision'), (7, 'ner+ocr+vision')) SELECT sources || ':' || mode AS config, sources, mode FROM s, (VALUES ('throw'), ('timeout'), ('empty')) AS m(mode) UNION ALL SELECT ':none', '', 'none'""")
-def chaos(spark, sf_dir):
-    return metrics.fault_configs(spark)
-
-
 @query("SELECT l_orderkey, round(sum(l_extendedprice * l_quantity), 2) AS total, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
 def cart_total(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_extendedprice") * F.col("l_quantity")), 2).alias("total"), F.count("*").alias("n"))
