@@ -13,7 +13,7 @@ from siftwork import schema
 from siftwork.functions import checks
 from siftwork.functions import text as T
 
-from . import contain, recognize, sessions
+from . import contain, recognize, sessions, shape
 
 #: In the order in which the first violation is looked for.
 ORDER = ("SCHEMA_CONFORMANCE", "REGISTRY_SCAN", "TYPE_BRAND", "ENTROPY_HEURISTIC", "SIZE_BUDGET", "RATE_LIMIT", "DESTINATION_PIN")
@@ -28,18 +28,23 @@ def violation(rows: DataFrame, code: str) -> DataFrame:
 
 
 def json_strings(rows: DataFrame, key: str, json_col: str) -> DataFrame:
-    """(key, nth, path, value): all strings of JSON texts in document order, paths as a.b[0].c. Texts that aren't JSON have none."""
-
-    def walk(x, path: str):
-        if isinstance(x, str):
-            yield path, x
-        for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
-            yield from walk(v, f"{path}[{k}]" if isinstance(x, list) else f"{path}.{k}" if path else k)
+    """(key, nth, path, value): all strings of JSON texts in document order, paths as a.b[0].c. Texts that aren't JSON, or nested more deeply than the parser goes, have none (and no shape either)."""
+
+    def walk(top):
+        todo = [("", top)]
+        while todo:
+            path, x = todo.pop()
+            if isinstance(x, str):
+                yield path, x
+            elif isinstance(x, dict):
+                todo += [(f"{path}.{k}" if path else k, v) for k, v in reversed(x.items())]
+            elif isinstance(x, list):
+                todo += [(f"{path}[{k}]", x[k]) for k in reversed(range(len(x)))]
 
     def read(text: str | None):
         try:
-            return list(walk(json.loads(text or "null"), ""))
-        except ValueError:
+            return list(walk(json.loads(text or "null")))
+        except (ValueError, RecursionError):  # the parser's own depth
             return []
 
     def run(batches):
@@ -54,19 +59,11 @@ def json_strings(rows: DataFrame, key: str, json_col: str) -> DataFrame:
     return rows.select(key, json_col).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, nth long, path string, value string")
 
 
-def schema_check(payloads: DataFrame, schemas: dict[str, str]) -> DataFrame:
-    """Violations of payloads(payload_id, path, body): a path's body must have all fields of its schema (DDL), of their types, and no others at the top; a
-    path without a schema takes no body."""
+def schema_check(payloads: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """Violations of payloads(payload_id, path, body): a path's body must be of its shape (see shape.py), which is closed at every depth; a path without one takes no body."""
     bad = F.col("body").isNotNull()
-    for path, ddl in schemas.items():
-        parsed = F.from_json("body", ddl)
-        names = F.array(*[F.lit(x.split()[0]) for x in ddl.split(", ")])
-        keys = F.json_object_keys("body")
-        missing = F.lit(False)
-        for name in (x.split()[0] for x in ddl.split(", ")):
-            missing = missing | parsed[name].isNull()
-        wrong = F.col("body").isNull() | keys.isNull() | (F.size(F.array_except(keys, names)) > 0) | F.coalesce(missing, F.lit(True))
-        bad = F.when(F.col("path") == path, wrong).otherwise(bad)
+    for path, closed in schemas.items():
+        bad = F.when(F.col("path") == path, F.size(shape.faults("body", closed)) > 0).otherwise(bad)
     return violation(payloads.where(bad), "SCHEMA_CONFORMANCE")
 
 
@@ -80,7 +77,7 @@ def malformed(strings: DataFrame) -> DataFrame:
     return violation(strings.where(F.col("path").endswith(".handle") & ~F.col("value").rlike(r"^⟦[A-Z_]+(#[0-9]+)?⟧$")), "TYPE_BRAND")
 
 
-def gate(payloads: DataFrame, registry: DataFrame, schemas: dict[str, str], allowed: str, limit: int = schema.MAX_PAYLOAD_BYTES, window: int = schema.RATE_WINDOW_MS, most: int = schema.RATE_MAX_SENDS) -> DataFrame:
+def gate(payloads: DataFrame, registry: DataFrame, schemas: dict[str, dict], allowed: str, limit: int = schema.MAX_PAYLOAD_BYTES, window: int = schema.RATE_WINDOW_MS, most: int = schema.RATE_MAX_SENDS) -> DataFrame:
     """(payload_id, code) of payloads(payload_id, session, ms, path, body, destination): the first check that fails, null for what may leave. Only what may leave
     counts for the rate. registry(secret, tier): words of ordinary pages are no secrets where their tier is three or more."""
     strings = json_strings(payloads, "payload_id", "body")

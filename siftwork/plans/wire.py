@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwork import schema
 from siftwork.operators import actions, context, gate, geometry as G, metrics
+from siftwork.operators.shape import array, closed, integer, text
 from siftwork.plans.probes import q
 from siftwork.plans.relational import R, _BOTH, _MEET, _evidence, _pick, _KINDS, read, rects
 from siftwork.plans.release import _SECRETS, registry
@@ -30,7 +31,7 @@ def query(oracle: str | None = None):
 # ---- the gate
 SECRET, TOKEN = "orchid garden 77", "Zq8Xw2Lm5Rt9+Vb3Nc7Kj4Hd6Ye1"
 SAID = {13: "plain words", 17: "an orchid gard of them", 19: "write to user@zmail.in", 23: TOKEN, 29: "x" * 700}
-SCHEMAS = {"/v1/step": "step BIGINT, session_id STRING, texts ARRAY<STRING>, handles ARRAY<STRUCT<handle: STRING>>"}
+SCHEMAS = {"/v1/step": closed(step=integer(), session_id=text(), texts=array(text()), handles=array(closed(handle=text())))}
 ALLOWED, LIMIT, WINDOW, MOST = "https://gate.example.org", 600, 3_600_000, 2
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork import schema
+from siftwork.operators import shape
 
 POLICY = (
     "policy struct<name:string,unexplained_prior:double,screenshot:struct<enabled:boolean>,thresholds:struct<tokenize:double,mask:double,drop:double>,tiers:map<string,string>,fail_mode:string,require_confirmation:array<string>,max_elements:int,"
@@ -138,8 +139,9 @@ def report(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
-def exported_schema(rows: DataFrame) -> str:
-    return rows.schema.json()
+def exported_schema(rows: DataFrame, name: str = "rows") -> str:
+    """JSON Schema of rows as they are written as JSON; shape.export() writes such documents."""
+    return shape.document(name, shape.of_rows(rows.schema))
 
 
 def send(stream: DataFrame, post: Callable[[list[dict]], None], checkpoint: str, batch: int = 100):

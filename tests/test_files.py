@@ -117,7 +117,7 @@ def test_sinks(spark, tmp_path):
         files.append(rows, f"{tmp_path}/audit")
     files.report(rows, f"{tmp_path}/report")
     assert spark.read.parquet(f"{tmp_path}/audit").count() == 4 and spark.read.json(f"{tmp_path}/report").count() == 2
-    assert json.loads(files.exported_schema(rows))["fields"][0]["name"] == "id"
+    assert list(json.loads(files.exported_schema(rows))["definitions"]["rows"]["properties"])[0] == "id"
     out = f"{tmp_path}/sent"
 
     def post(batch):
