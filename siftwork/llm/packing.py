@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +39,10 @@ SIZE = 4096
 #: Windows of a group; one in SHARE of its tokens is cut into SMALL ids; ids for each window that a group leaves free.
 #: Where a window of fewer than FEW exceeds the size, one in FINER is cut into SMALL ids first.
 GROUP, SHARE, SMALL, SLACK, FEW, FINER = 128, 32, 16, 8, 64, 3
-#: Words that are remembered, the longest of them in bytes, and the bytes of a text that are parted into words at once.
+#: Words that are remembered, the longest of them in characters, and the bytes of a text that are parted into words at once.
 KEEP, LONGEST, BLOCK = 500_000, 64, 1 << 20
 #: What a batch holds at most.
-ROWS, BYTES = 256, 4 << 20
+ROWS, BYTES = 2048, 4 << 20
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
@@ -64,32 +65,61 @@ def blocks(raw: bytes, size: int = BLOCK) -> Iterator[bytes]:
 
 
 class Words:
-    """Ids of words, little-endian unsigned 32-bit, by a tokenizer that sees each word once while it is remembered: the last KEEP words or so, and
-    those among the KEEP before them that came again."""
+    """Ids of words by a tokenizer that sees each word once while it is remembered: the last KEEP words or so, and those among the KEEP before them that came again."""
 
     def __init__(self, tok, keep: int = KEEP):
         self.tok, self.keep, self.known, self.older = tok, keep, {}, {}
 
-    def encode(self, raw: bytes) -> bytes:
-        return b"".join([self._block(b) for b in blocks(raw)])
-
-    def _block(self, raw: bytes) -> bytes:
-        parts = raw.split()
-        found = list(map(self.known.get, parts))
-        if None not in found:
-            return b"".join(found)
-        new = {w for w, x in zip(parts, found, strict=True) if x is None}
-        self.known.update({w: self.older[w] for w in new if w in self.older})
-        fresh = [w for w in new if w not in self.known]
-        got = self.tok.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        self.known.update({w: array("I", e.ids).tobytes() for w, e in zip(fresh, got, strict=True)})
-        out = b"".join([self.known[w] if x is None else x for w, x in zip(parts, found, strict=True)])
-        for w in fresh:
-            if len(w) > LONGEST:
-                del self.known[w]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, little-endian unsigned 32-bit. Different words are looked up once for all texts."""
+        parts = [list(blocks(t)) for t in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, size = [], 0
+        for i, part in enumerate(parts):
+            for b in part:
+                held.append((i, b))
+                size += len(b)
+                if size >= BYTES:
+                    self._encode(held, out)
+                    held, size = [], 0
+        self._encode(held, out)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _encode(self, held: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        if not held:
+            return
+        lists = pc.ascii_split_whitespace(pa.array([b for _, b in held], pa.binary()).cast(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        at = coded.indices.to_numpy()
+        sizes = lengths[at]
+        ends = np.cumsum(sizes)
+        # the places of each word's ids, one word after another
+        places = np.repeat((np.cumsum(lengths) - lengths)[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        found = flat[places].tobytes()
+        bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets)] * 4
+        for (i, _), a, b in zip(held, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[i].append(found[a:b])
+
+    def _ids(self, different: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, different))
+        missing = [i for i, x in enumerate(found) if x is None]
+        fresh = []
+        for i in missing:
+            w = different[i]
+            if (x := self.older.get(w)) is None:
+                fresh.append(i)
+            else:
+                found[i] = self.known[w] = x
+        for i, e in zip(fresh, self.tok.encode_batch_fast([different[i] for i in fresh], add_special_tokens=False), strict=True):
+            found[i] = array("I", e.ids).tobytes()
+            if len(different[i]) <= LONGEST:
+                self.known[different[i]] = found[i]
         if len(self.known) > self.keep:
             self.known, self.older = {}, self.known
-        return out
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -254,8 +284,8 @@ def pack(docs: DataFrame, path: str, end: int, size: int = SIZE, group: int = GR
         kind = pa.int64()
         for batch in bounded(batches, "text", ROWS, BYTES):
             kind = batch.column(0).type
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = ids_of.encode(raw or b"") + last
+            for key, ids in zip(batch.column(0).to_pylist(), ids_of.encode([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]), strict=True):
+                ids += last
                 held[n] = (key, ids, [len(ids) // 4])
                 yield from placed(packer.add(n, len(ids) // 4))
                 n += 1

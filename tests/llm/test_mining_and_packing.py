@@ -230,4 +230,13 @@ def test_packer_places_every_id_once(lengths, size, group):
 @pytest.mark.parametrize("text", ["a\x0bb\x0cc\x1cd\x85e f g　h", "don't I'LL 'S x's", "ΑΣ ΟΔΟΣ Σ ΣΑ.", "é ́a ộ", "<|endoftext|>a <|startoftext|>", "İstanbul ǅ ﬁ 12345 ½", "\0 a\0b", "😀👍🏽 x", "a" * 5000 + " b", "word " * 300_000, "ab­​cd ０１", "H̱ ẖ"])
 def test_words_encode_as_whole_texts(text):
     tok = packing.tokenizer(WORD_BPE)
-    assert np.frombuffer(packing.Words(tok, keep=3).encode(text.encode()), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    got = packing.Words(tok, keep=3).encode([text.encode(), b"", b" a ", text.encode()])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in (text, "", "a", text)]
+
+
+def test_words_that_are_forgotten_come_again():
+    tok, r = packing.tokenizer(WORD_BPE), random.Random(1)
+    w = packing.Words(tok, keep=20)
+    for _ in range(30):
+        texts = [" ".join(r.choice("abcdefghij") * r.randint(1, 4) for _ in range(r.randint(0, 40))) for _ in range(r.randint(1, 5))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in w.encode([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
