@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siftwork.functions.text import grams
 
 SEED = 6
+#: Patterns and secrets' runs that are sent to all tasks at most; beyond, both sides are shuffled.
+BROADCAST = 200_000
 
 
 def _join(left: DataFrame, right: DataFrame, on: str, within: str | None) -> DataFrame:
@@ -19,20 +21,33 @@ def _join(left: DataFrame, right: DataFrame, on: str, within: str | None) -> Dat
     return a.join(b, both).select("a.*", *[f"b.{c}" for c in right.columns if c not in (on, within)])
 
 
-def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str = "text", pattern_col: str = "pattern", within: str | None = None, seed: int = SEED) -> DataFrame:
-    """(key, pattern, start, end): all places of all patterns of `seed` characters or more, overlapping ones too.
+def _seeds(patterns: DataFrame, pattern_col: str, part: list[str], least: int, most: int | None = None) -> tuple[DataFrame | None, int]:
+    """(within, pattern, seed) of the patterns from `least` characters on, under `most`, and how many there are; the seed is a hash of the first `least` characters. They are sent to all tasks where they are few enough."""
+    n = F.length("pattern")
+    found = patterns.select(*part, F.col(pattern_col).alias("pattern")).where(n >= least if most is None else (n >= least) & (n < most)).distinct().withColumn("seed", F.xxhash64(F.substring("pattern", 1, least)))
+    count = found.count()
+    return F.broadcast(found) if count <= BROADCAST else found, count
 
-    A pattern can only begin where its first `seed` characters do: the runs of as many characters of each text, distinct, meet the seeds in
-    an equi-join, and the whole pattern is then compared at every place. Exact and complete at any number of patterns.
-    within: a column of both tables, and then of the result; patterns are looked for in texts with the same value (nulls are the same) only.
+
+def _met(texts: DataFrame, seeds: DataFrame, key: str, text_col: str, within: str | None, seed: int) -> DataFrame:
+    """(key, within, text, pattern), each once, of texts that hold a pattern.
+
+    A pattern can only be where its first `seed` characters are: hashes of the runs of as many characters of each text, each once, meet those of the seeds, and what meets is compared itself. Only hashes of the
+    texts travel with their many runs, and not even these where the seeds are sent to the tasks; equal texts are gone through once.
     """
     part = [within] if within else []
-    seeds = patterns.select(*part, F.col(pattern_col).alias("pattern")).where(F.length("pattern") >= seed).distinct().withColumn("seed", F.substring("pattern", 1, seed))
-    # only hashes of the texts travel with their many runs; equal texts are gone through once
     rows = texts.select(F.col(key), *part, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("__h"))
-    runs = rows.select("__h", *part, F.explode(F.array_distinct(grams(F.col("text"), seed))).alias("seed"))
+    runs = rows.select("__h", *part, F.explode(F.array_distinct(F.transform(grams(F.col("text"), seed), lambda g: F.xxhash64(g)))).alias("seed"))
     meet = _join(runs, seeds, "seed", within).select("__h", *part, "pattern").distinct()
-    found = _join(rows, meet, "__h", within).where(F.contains("text", "pattern")).select(key, *part, "text", "pattern").distinct()
+    return _join(rows, meet, "__h", within).where(F.contains("text", "pattern")).select(key, *part, "text", "pattern").distinct()
+
+
+def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str = "text", pattern_col: str = "pattern", within: str | None = None, seed: int = SEED) -> DataFrame:
+    """(key, pattern, start, end): all places of all patterns of `seed` characters or more, overlapping ones too. Exact and complete at any number of patterns.
+    within: a column of both tables, and then of the result; patterns are looked for in texts with the same value (nulls are the same) only.
+    """
+    part = [within] if within else []
+    found = _met(texts, _seeds(patterns, pattern_col, part, seed)[0], key, text_col, within, seed)
     # lengths of what stands before each place give the offsets
     ahead = F.concat(F.lit("(?s)(?=\\Q"), F.replace("pattern", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
     cuts = found.withColumn("cuts", F.split("text", ahead, -1)).withColumn("begins", F.startswith("text", "pattern"))
@@ -43,17 +58,26 @@ def search(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str
     return cuts.select(key, *part, "pattern", F.explode(F.array_distinct(starts)).alias("start")).withColumn("end", F.col("start") + F.length("pattern"))
 
 
-def holding(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str = "text", pattern_col: str = "pattern", within: str | None = None, least: int = 3) -> DataFrame:
-    """(key, pattern), each once, of texts that hold a pattern of `least` characters or more; those under SEED are looked for by shorter seeds."""
-    fields = [key, *([within] if within else []), "pattern"]
-    long = search(texts, patterns, key, text_col, pattern_col, within).select(*fields)
-    short = search(texts, patterns.where(F.length(pattern_col) < SEED), key, text_col, pattern_col, within, least).select(*fields)
-    return long.unionByName(short).distinct()
+def holding(texts: DataFrame, patterns: DataFrame, key: str = "id", text_col: str = "text", pattern_col: str = "pattern", within: str | None = None, least: int = 3, seed: int = SEED) -> DataFrame:
+    """(key, pattern), each once, of texts that hold a pattern of `least` characters or more, without places. Patterns under `seed` characters, if there are any, are looked for by their first `least`."""
+    part = [within] if within else []
+    long, n_long = _seeds(patterns, pattern_col, part, seed)
+    found = _met(texts, long, key, text_col, within, seed)
+    if least < seed:
+        short, n_short = _seeds(patterns, pattern_col, part, least, seed)
+        if n_short:
+            few = _met(texts, short, key, text_col, within, least)
+            found = found.unionByName(few) if n_long else few
+    return found.select(key, *part, "pattern").distinct()
 
 
 def shared_grams(texts: DataFrame, secrets: DataFrame, key: str = "id", text_col: str = "text", secret_col: str = "secret", n: int = 8) -> DataFrame:
-    """(key, secret, n_shared, n_grams): pairs that share runs of n characters, and how many different ones. Secrets under n characters take no part."""
-    left = texts.select(F.col(key), F.explode(F.array_distinct(grams(F.col(text_col), n))).alias("g"))
+    """(key, secret, n_shared, n_grams): pairs that share runs of n characters, and how many different ones. Secrets under n characters take no part.
+
+    Runs meet by 64-bit hashes; where the secrets' runs are few enough they are sent to the tasks, so that a text's runs that no secret has don't travel.
+    """
+    left = texts.select(F.col(key), F.explode(F.array_distinct(F.transform(grams(F.col(text_col), n), lambda g: F.xxhash64(g)))).alias("g"))
     distinct = F.array_distinct(grams(F.col(secret_col), n))
-    right = secrets.select(F.col(secret_col).alias("secret"), F.size(distinct).cast("long").alias("n_grams"), F.explode(distinct).alias("g"))
+    right = secrets.select(F.col(secret_col).alias("secret"), F.size(distinct).cast("long").alias("n_grams"), F.explode(F.transform(distinct, lambda g: F.xxhash64(g))).alias("g"))
+    right = F.broadcast(right) if right.count() <= BROADCAST else right
     return left.join(right, "g").groupBy(key, "secret", "n_grams").agg(F.count("*").alias("n_shared"))

@@ -139,14 +139,14 @@ def canaries(wire: DataFrame, known: DataFrame) -> DataFrame:
     nfkc = T.normalize_any()
     value = known.select("run", "type", nfkc(F.col("value")).alias("canary")).where(F.length("canary") >= 6).distinct()
     forms = value.select("run", "type", "canary", F.posexplode(F.concat(F.array("canary"), T.encodings(F.col("canary")))).alias("nth", "pattern")).where(F.length("pattern") >= 6)
-    text = wire.select("request_id", "run", nfkc(F.col("body")).alias("body"))
+    text = wire.select("request_id", "run", nfkc(F.col("body")).alias("body")).withColumn("__row", F.struct("request_id", "run"))
     same = lambda a, b, on: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on])
-    met = contain.search(text, forms, "request_id", "body", within="run").select("request_id", "run", "pattern").distinct().alias("m")
+    # a form is looked for once, whatever runs know it
+    met = contain.holding(text, forms.select("pattern"), "__row", "body", least=contain.SEED).select("__row.*", "pattern").alias("m")
     hit = met.join(forms.alias("f"), same("m", "f", ("run", "pattern"))).groupBy("m.request_id", "m.run", "f.type", "f.canary").agg(F.min("f.nth").alias("nth"))
     whole = hit.select("request_id", "run", "type", "canary", F.when(F.col("nth") == 0, "raw").otherwise(F.concat(F.lit("enc"), (F.col("nth") - 1).cast("string"))).alias("encoding"))
-    pieces = value.where(F.length("canary") >= 10).select("run", "type", "canary", F.explode(T.grams(F.col("canary"), GRAM)).alias("g")).alias("p")
-    runs = text.select("request_id", "run", F.explode(F.array_distinct(T.grams(F.col("body"), GRAM))).alias("g")).alias("t")
-    near = runs.join(pieces, same("t", "p", ("run", "g"))).groupBy("t.request_id", "t.run", "p.type", "p.canary").agg(F.count("*").alias("n")).where("n >= 3").drop("n")
+    shared = contain.shared_grams(text, value.where(F.length("canary") >= 10).select("canary").distinct(), "__row", "body", "canary", GRAM).where("n_shared >= 3").select("__row.*", F.col("secret").alias("canary")).alias("t")
+    near = shared.join(value.alias("p"), same("t", "p", ("run", "canary"))).select("t.request_id", "t.run", "p.type", "p.canary")
     part = near.join(whole.select("request_id", "type", "canary"), ["request_id", "type", "canary"], "left_anti").withColumn("encoding", F.lit("8-gram"))
     return whole.unionByName(part).select("request_id", "run", "type", "canary", "encoding")
 
@@ -158,7 +158,7 @@ def detection(wire: DataFrame, shown: DataFrame) -> DataFrame:
     last = shown.groupBy("run", "value").agg(F.max_by("decoy", "at").alias("decoy")).withColumn("norm", nfkc(F.col("value")))
     forms = last.where(F.length("norm") >= 4).select("run", "value", F.explode(F.concat(F.array("norm"), F.filter(T.encodings(F.col("norm")), lambda f: F.length(f) >= 8))).alias("pattern"))
     bodies = wire.select("run", nfkc(F.col("body")).alias("text"))
-    met = contain.holding(bodies, forms.select("run", "pattern").distinct(), "run", least=4)
+    met = contain.holding(bodies, forms.select("pattern"), "run", least=4)
     hit = met.alias("m").join(forms.alias("f"), F.col("m.run").eqNullSafe(F.col("f.run")) & (F.col("m.pattern") == F.col("f.pattern"))).select("f.run", "f.value").distinct().withColumn("leaked", F.lit(True))
     both = last.alias("l").join(hit.alias("h"), F.col("l.run").eqNullSafe(F.col("h.run")) & (F.col("l.value") == F.col("h.value")), "left").select("l.run", "l.decoy", F.coalesce("h.leaked", F.lit(False)).alias("leaked"))
     per = both.groupBy("run").agg(F.count_if(~F.col("decoy") & ~F.col("leaked")).alias("tp"), F.count_if(~F.col("decoy") & F.col("leaked")).alias("fn"), F.count_if(F.col("decoy") & ~F.col("leaked")).alias("fp"))
@@ -171,12 +171,10 @@ def registry_scan(strings: DataFrame, registry: DataFrame, fragments: bool = Tru
     normal = registry.select("secret", T.normalize_any()(F.col("secret")).alias("norm"))
     forms = normal.select(F.explode(F.array_union(F.array("secret", "norm"), F.array_union(T.encodings(F.col("secret")), T.encodings(F.col("norm"))))).alias("pattern"))
     texts = strings.select("payload_id", T.normalize_any()(F.regexp_replace("value", "⟦[A-Z_]+(?:#[0-9]+)?⟧", " ")).alias("text"))
-    found = contain.search(texts, forms, "payload_id").select("payload_id")
+    found = contain.holding(texts, forms, "payload_id", least=contain.SEED).select("payload_id")
     if fragments:
         secrets = registry.where(F.coalesce(F.col("tier"), F.lit(1)) <= 2) if "tier" in registry.columns else registry
-        grams = lambda text: F.explode(F.array_distinct(T.grams(text, GRAM))).alias("g")
-        known = secrets.select(T.normalize_any()(F.col("secret")).alias("secret")).select(grams(F.col("secret"))).distinct()
-        found = found.unionByName(texts.select("payload_id", grams(F.col("text"))).join(known, "g", "left_semi").select("payload_id"))
+        found = found.unionByName(contain.shared_grams(texts, secrets.select(T.normalize_any()(F.col("secret")).alias("secret")).distinct(), "payload_id", n=GRAM).select("payload_id"))
     return violation(found, "REGISTRY_SCAN")
 
 
@@ -225,7 +223,7 @@ def literal_scan(texts: DataFrame, registry: DataFrame) -> DataFrame:
     norm = texts.select("payload_id", nfkc(F.col("value")).alias("text"))
     normal = registry.select("secret", nfkc(F.col("secret")).alias("norm"))
     forms = normal.select("secret", F.explode(F.array_union(F.array("secret", "norm"), F.array_union(T.encodings(F.col("secret")), T.encodings(F.col("norm"))))).alias("pattern"))
-    whole = contain.search(norm, forms, "payload_id").select("payload_id", "pattern").distinct().join(forms, "pattern").select("payload_id", "secret")
+    whole = contain.holding(norm, forms, "payload_id", least=contain.SEED).join(forms, "pattern").select("payload_id", "secret")
     near = contain.shared_grams(norm, normal.select(F.col("norm").alias("secret")).distinct(), "payload_id").where("n_shared > 0.7 * n_grams")
     part = near.select("payload_id", F.col("secret").alias("norm")).join(normal, "norm").select("payload_id", "secret")
     return whole.unionByName(part).distinct()
