@@ -10,7 +10,8 @@ records or one longer record, are PER_FILE at most. load_arcs() reads a folder o
 
 A record whose declared length runs beyond the data is kept and marked as truncated; a header line that doesn't parse is
 skipped. Null payloads count as empty. Rows with equal key and payload are written once each, with the same type. A null key
-is written without the key header and never revisits. Extra columns are ignored, an empty table gives no records.
+is written without the key header and never revisits; so is what a foreign archive has in its place that is no whole number. Heads may end their lines with a bare line feed and hold bytes
+that aren't UTF-8. Very long payloads are held one at a time. Ties (equal payloads) go to the smallest key. Extra columns are ignored, an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, new_path, spread
+from .common import bounded, cut, drop, new_path, spread
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
@@ -34,6 +35,10 @@ KEY = "X-Record-Key"
 FIELDS = {1: ("url", "ip", "date", "mime", "length"), 2: ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "file", "length")}
 #: Bytes of records in a row of an archive, unless one record alone is longer, and rows of an archive: bounds what a reader holds.
 BUNDLE, PER_FILE = 8 << 20, 16
+#: Pages and bytes of them in a legacy archive that is made, unless one page alone is longer; records are handed on by as many bytes.
+ARC_PAGES, ARC_BYTES = 200, 16 << 20
+#: A record's own header for the bytes of its whole payload, which a revisit doesn't hold: the origin may not have told them.
+LENGTH = "X-Payload-Length"
 
 
 class ArcRecord(NamedTuple):
@@ -100,17 +105,26 @@ def member(record: bytes) -> bytes:
     return out if out[-1] == 0 else out + member(b"")
 
 
+_EMPTY = re.compile(rb"\r?\n\r?\n")
+
+
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """Head, with its empty line, and payload; no head where the block isn't an HTTP message."""
     if not block.startswith(b"HTTP/"):
         return b"", block
-    head, line, body = block.partition(b"\r\n\r\n")
-    return head + line, body
+    m = _EMPTY.search(block)  # some servers end lines with a bare line feed
+    return (block[: m.end()], block[m.end() :]) if m else (block, b"")
 
 
 def field(head: bytes, name: str) -> str | None:
     m = re.search(rb"(?im)^" + re.escape(name.encode()) + rb":[ \t]*(.*?)\r?$", head)
-    return m[1].decode() if m else None
+    return m[1].decode("utf-8", "replace") if m else None
+
+
+def whole(value: str | None) -> int | None:
+    """A whole number of 64 bits; what is none, as a header of a foreign archive may be, is null."""
+    found = int(value) if value and re.fullmatch(r"-?[0-9]{1,19}", value) else None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
 
 
 def record_id(key: int | None, seed: str) -> str:
@@ -146,6 +160,7 @@ def convert(key: int | None, url: str, date: str, truncated: bool, block: bytes,
     kind = "revisit" if first else "response" if head else "resource"
     shown = head if first else block
     of = [("WARC-Record-ID", f"<{record_id(key, f'{url}|{at}|{digest}')}>"), ("WARC-Date", at), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(shown).hexdigest()}")]
+    of.append((LENGTH, str(len(body))))
     if truncated:
         of.append(("WARC-Truncated", "length"))
     if first:
@@ -206,19 +221,16 @@ def make_arcs(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
     """(name, content binary): legacy archives of the pages, in turn of version 1 and 2; the input of the converter where no archives are at hand."""
 
     def run(batches):
-        n = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part, n = batch.slice(at, 200), n + 1
-                version, name = 1 + n % 2, f"pages-{n}.arc"
-                out = [arc_head(version, name)]
-                for key, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    body = html or b""
-                    mark = "" if key is None else f"{KEY}: {key}\r\n"
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n"
-                    date = f"2001{1 + (key or 0) % 12:02}{1 + (key or 0) % 28:02}{(key or 0) % 24:02}0000"
-                    out.append(arc_record(version, url or "", date, head.encode() + body))
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary())], names=["name", "content"])
+        for n, part in enumerate(bounded(batches, "p", ARC_PAGES, ARC_BYTES), 1):
+            version, name = 1 + n % 2, f"pages-{n}.arc"
+            out = [arc_head(version, name)]
+            for key, url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                body = html or b""
+                mark = "" if key is None else f"{KEY}: {key}\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n"
+                date = f"2001{1 + (key or 0) % 12:02}{1 + (key or 0) % 28:02}{(key or 0) % 24:02}0000"
+                out.append(arc_record(version, url or "", date, head.encode() + body))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary())], names=["name", "content"])
 
     rows = spread(pages.select(F.col(key_col).cast("long").alias("k"), F.col(url_col).cast("string").alias("u"), F.encode(F.col(payload_col), "UTF-8").alias("p")))
     return rows.mapInArrow(run, "name string, content binary")
@@ -237,15 +249,19 @@ def read_arcs(arcs: DataFrame, content_col: str = "content") -> DataFrame:
 
     def run(batches):
         schema = pa.schema([("key", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("truncated", pa.bool_()), ("block", pa.binary()), ("digest", pa.string()), ("n_bytes", pa.int64())])
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows = []
-                for r in parse_arc(inflated(content or b"")):
+            for i in range(batch.num_rows):
+                rows, size = [], 0
+                for r in parse_arc(inflated(batch.column(0)[i].as_py() or b"")):
                     head, body = split_http(r.block)
-                    key = field(head, KEY)
-                    rows.append((int(key) if key else None, r.fields["url"], r.fields["date"], r.truncated, r.block, hashlib.sha256(body).hexdigest(), len(body)))
+                    rows.append((whole(field(head, KEY)), r.fields["url"], r.fields["date"], r.truncated, r.block, hashlib.sha256(body).hexdigest(), len(body)))
+                    size += len(r.block)
+                    if size >= ARC_BYTES:
+                        yield made(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield made(rows)
 
     return arcs.select(content_col).mapInArrow(run, RECORD)
 
@@ -307,10 +323,10 @@ def read_warcs(spark, path: str) -> DataFrame:
                     key = field(head, KEY)
                     digest, n = of["warc-payload-digest"].partition(":")[2], len(body)
                     if kind == "revisit":
-                        n = int(field(head, "Content-Length") or 0)
+                        n = whole(of.get(LENGTH.lower()))
                     elif hashlib.sha256(body).hexdigest() != digest:
                         raise ValueError(f"the payload of {of['warc-record-id']} doesn't match its digest")
-                    rows.append((int(key) if key else None, n, digest, "revisit" if kind == "revisit" else "response", key_in(of["warc-refers-to"]) if kind == "revisit" else None))
+                    rows.append((whole(key), n, digest, "revisit" if kind == "revisit" else "response", key_in(of["warc-refers-to"]) if kind == "revisit" else None))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 names = ["key", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 if rows:

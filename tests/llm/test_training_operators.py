@@ -663,6 +663,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_foreign_archives(spark, tmp_path):
+    """Keys that are no numbers, bytes that aren't UTF-8, bare line feeds, origins that told no length: nothing fails, and lengths are those of the payloads."""
+    page = b"<p>" + b"\xff\xfe" * 100
+    heads = [b"HTTP/1.0 200 OK\r\nX-Record-Key: 5\r\n\r\n", b"HTTP/1.0 200 OK\nX-Record-Key: 7\nContent-Type: text/html\n\n", b"HTTP/1.0 200 OK\r\nX-Record-Key: no number\r\n\r\n", b"HTTP/1.0 200 OK\r\nX-Record-Key: \xff\xfe\r\n\r\n", b"HTTP/1.0 200 OK\r\nX-Record-Key: 99999999999999999999\r\n\r\n", b""]
+    data = warc.arc_head(1, "f.arc") + b"".join(warc.arc_record(1, f"http://h/{i}", "2001", h + page) for i, h in enumerate(heads))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.arc").write_bytes(data)
+    warc.write_warcs(warc.read_arcs(warc.load_arcs(spark, str(tmp_path / "in"))), str(tmp_path / "out"))
+    got = sorted(map(tuple, warc.read_warcs(spark, str(tmp_path / "out")).collect()), key=str)
+    digest = hashlib.sha256(page).hexdigest()
+    assert got == sorted([(5, len(page), digest, "response", None), (7, len(page), digest, "revisit", 5)] + [(None, len(page), digest, "response", None)] * 4, key=str)
+    assert warc.whole("12") == 12 and warc.whole("-3") == -3 and warc.whole("1e3") is None and warc.whole(None) is None
+
+
+def test_arcs_are_bounded_in_bytes(spark):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(F.lit("x"), 1 << 20), F.col("id").cast("string")).alias("html")).coalesce(1)
+    sizes = [r.n for r in warc.make_arcs(pages).select(F.octet_length("content").alias("n")).collect()]
+    assert len(sizes) > 2 and max(sizes) < warc.ARC_BYTES + (2 << 20)
+    assert warc.round_trip(pages).where(F.col("payload_bytes") >= 1 << 20).count() == 40
+
+
 def test_warc_files(spark, tmp_path):
     """Each record is a gzip member of its own, each file begins with a warcinfo and stays within its bytes; archives come from a folder, gzipped or not."""
     (tmp_path / "arcs").mkdir()
