@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,6 +46,7 @@ def rate_limit(events: DataFrame, session: str, millis: str, order: str, window:
         for pdf in frames:
             out = []
             for who, now, recorded in zip(pdf[session], pdf[millis], pdf["__counts"], strict=True):
+                who = None if pd.isna(who) else who  # sessions that are null are one, though pandas has numbers that don't equal themselves for them
                 if who != now_in:
                     now_in, kept = who, deque()
                 while kept and now - kept[0] > window:
