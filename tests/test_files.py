@@ -81,6 +81,15 @@ def test_tags_become_spans(spark):
     assert got == [(0, 9, "PER", 0.7), (20, 23, "LOC", 0.9), (25, 30, "LOC", 0.6), (32, 36, "PER", 0.4)]
 
 
+def test_tags_of_a_long_text_become_spans(spark):
+    """Groups far behind the one before, and words that begin with the mark of others."""
+    text = "##A B" + " x" * 5000 + " Ada L" + " y" * 3000 + " ## Rome ada l"
+    tokens = [("B-PER", 0.5, "##A"), ("I-PER", 0.5, "B"), ("B-PER", 0.5, "Ad"), ("I-PER", 0.5, " ##a"), ("I-PER", 0.5, "L"), ("B-LOC", 0.5, "##"), ("I-LOC", 0.5, "Rome"), ("B-PER", 0.5, "ADA")]
+    t = spark.createDataFrame([(1, i, *x) for i, x in enumerate(tokens)], "id long, ord int, entity string, score double, word string")
+    got = sorted((r.start, r.end, text[r.start : r.end]) for r in ner.bio_decode(spark.createDataFrame([(1, text)], "id long, text string"), t, "id", " ##").collect())
+    assert [x[2] for x in got] == ["##A B", "Ada L", "## Rome", "ada"] and [x[0] for x in got] == [0, text.index("Ada"), text.index("## Rome"), text.rindex("ada")]
+
+
 def test_windows_go_through_a_model(spark):
     text = " ".join(f"w{i}" if i % 10 else "kamala" for i in range(1200))
     df = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "toto kamala")], "doc_id long, text string")
