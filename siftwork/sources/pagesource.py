@@ -7,7 +7,7 @@ Partitions are planned by bytes: uncompressed JSON lines are parted into ranges
 files are put together up to as many. A file that is compressed, an HTML file and a WARC file, whose records can't be found from the middle, are read by one task as a stream.
 
 Columns come from the schema that is asked for, any of those of PAGE: without html, elements, texts, title and truth a page isn't parsed, and an HTML file that isn't needed
-isn't opened. Filters on file, page_id and url are applied before parsing. A line that isn't JSON, or a record that can't be read, gives a row of nulls but file and at (mode
+isn't opened. Option references=kept leaves character references (&amp;) in texts and values as they stand in the page. Filters on file, page_id and url are applied before parsing. A line that isn't JSON, or a record that can't be read, gives a row of nulls but file and at (mode
 permissive) or fails the read (mode failfast).
 
 The stream reads files by time of change, then name; an offset is the last file read. Files must therefore be complete when they appear in the folder, and not older than those
@@ -162,6 +162,7 @@ class PageReader(DataSourceReader):
         self.split = int(options.get("splitBytes", SPLIT))
         self.failfast = options.get("mode", "permissive").lower() == "failfast"
         self.hidden, self.prefix = options.get("hidden", "false").lower() == "true", options.get("truthPrefix", "data-truth")
+        self.kept = options.get("references", "read").lower() == "kept"
         self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -232,10 +233,12 @@ class PageReader(DataSourceReader):
                 if not (self._kept("page_id", page_id) and self._kept("url", url)):
                     continue
                 row = {"file": path, "at": at, "page_id": page_id, "url": url, "html": html, "bytes": None if html is None else len(html.encode("utf-8", "surrogatepass"))}
+                # the parser reads "&amp;" as "&", so that what it says is what stood there
+                parsed = html.replace("&", "&amp;") if html and self.kept else html
                 if walks or titles:
-                    row |= _walked(html, self.hidden)
+                    row |= _walked(parsed, self.hidden)
                 if truths:
-                    row |= _told(html, self.prefix)
+                    row |= _told(parsed, self.prefix)
                 rows.append(row)
                 size += len(html or "")
                 if len(rows) == ROWS or size >= BYTES:

@@ -114,3 +114,29 @@ def test_stream_gives_each_page_once(spark, folder, tmp_path):
         f.write(html(9))
     again = run()
     assert len(again) == 311 and len({(r.file, r["at"]) for r in again}) == 311
+
+
+def test_references_may_be_kept(spark, tmp_path):
+    page = '<html><head><title>a &amp; b &quot;c &amp</title></head><body><p data-truth-pii="NAME">d &lt; &#65;&amp</p></body></html>'
+    (tmp_path / "a.jsonl").write_text(json.dumps({"page_id": 1, "url": "u", "html": page}) + "\n" + json.dumps({"page_id": 2, "url": "u", "html": None}))
+    read = load(spark, str(tmp_path), pagesource.only("page_id", "html", "title", "pii")).where("page_id = 1").collect()[0]
+    kept = load(spark, str(tmp_path), pagesource.only("page_id", "html", "title", "pii"), references="kept").where("page_id = 1").collect()[0]
+    assert (read.title, read.pii[0].value) == ('a & b "c &', "d < A&") and (kept.title, kept.pii[0].value) == ("a &amp; b &quot;c &amp", "d &lt; &#65;&amp")
+    assert read.html == kept.html == page
+
+
+def test_titles_equal_the_sql(spark, tmp_path):
+    """Titles with references other than &amp;, whole and cut off."""
+    import duckdb
+
+    from siftwork.plans import inputs
+
+    titles = ["x &amp; y", "x &quot;y", "x&amp", "&lt; &nbsp;&#65; &amp;amp;", ""]
+    rows = [(i, f"http://h/{i}", f"<html><head><title>{t}</title></head><body><h1>{t}</h1></body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame([*rows, (9, "http://h/9", None)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("src_page", "src_instrument"):
+        got = inputs.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({inputs.ORACLES[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
