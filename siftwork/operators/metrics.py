@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,20 +36,33 @@ def slope(value: Column, at: Column) -> Column:
 def matched(predicted: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc_id, type, tp, fp, fn) of predicted and gold(doc_id, ord, start, end, type): each predicted span, in order, takes the first gold span left that has its type and overlaps enough."""
     names = ["doc_id", "type", "ord", "start", "end"]
+    sides = [df.select(*names, F.lit(side).alias("side")) for side, df in enumerate((predicted, gold))]
+    met = sides[0].unionByName(sides[1]).groupBy("doc_id", "type").agg(F.array_sort(F.collect_list(F.struct("side", "ord", "start", "end"))).alias("spans"))
 
-    def run(key, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        left = list(g.sort_values("ord")[["start", "end"]].itertuples(index=False, name=None))
+    def counted(spans: list[tuple]) -> tuple[int, int, int]:
+        left = [x[2:] for x in spans if x[0] == 1]
         tp = 0
-        for s, e in p.sort_values("ord")[["start", "end"]].itertuples(index=False, name=None):
+        for side, _, s, e in spans:
+            if side == 1:
+                break
             for i, (a, b) in enumerate(left):
-                both = min(e, b) - max(s, a)
-                if both > 0 and both / (max(e, b) - min(s, a)) >= least:
+                if None not in (s, e, a, b) and (both := min(e, b) - max(s, a)) > 0 and both / (max(e, b) - min(s, a)) >= least:
                     tp += 1
                     del left[i]
                     break
-        return pd.DataFrame([(key[0], key[1], tp, len(p) - tp, len(left))], columns=["doc_id", "type", "tp", "fp", "fn"])
-
-    return predicted.select(*names).groupBy("doc_id", "type").cogroup(gold.select(*names).groupBy("doc_id", "type")).applyInPandas(run, "doc_id long, type string, tp long, fp long, fn long")
+        return tp, sum(x[0] == 0 for x in spans) - tp, len(left)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = []
+                for spans in part.column(2):
+                    flat = spans.values
+                    found.append(counted(list(zip(*[flat.field(n).to_pylist() for n in ("side", "ord", "start", "end")], strict=True))))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)]], names=["doc_id", "type", "tp", "fp", "fn"])
+
+    return met.mapInArrow(run, "doc_id long, type string, tp long, fp long, fn long")
 
 
 def prf(counts: DataFrame) -> DataFrame:
