@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.functions.text import let
+
 from . import geometry as G
 
 #: Pixels by which corners are tested inside a rectangle, and beyond the viewport that still count as in it.
@@ -30,15 +32,34 @@ def in_viewport(rect: Column, w: Column, h: Column, margin: int = MARGIN) -> Col
     return (rect["x"] + rect["w"] >= -margin) & (rect["y"] + rect["h"] >= -margin) & (rect["x"] <= w + margin) & (rect["y"] <= h + margin)
 
 
-def occluded(elements: DataFrame, inset: int = INSET) -> DataFrame:
+def occluded(elements: DataFrame, inset: int = INSET, cell: int = G.CELL) -> DataFrame:
     """(obs, id, occluded): an element is hidden if neither its centre nor a corner, taken inset, reaches it, something inside it or something that holds it. elements(obs, id, ord, end, rect): ord is
-    the place in the document, end that of its last descendant (its own, if none). Without an area it is hidden."""
-    x, y, w, h = (F.col("rect")[k] for k in "xywh")
-    corners = F.array(*[F.struct(F.lit(n).alias("n"), a.alias("px"), b.alias("py")) for n, (a, b) in enumerate(((x + w / 2, y + h / 2), (x + inset, y + inset), (x + w - inset, y + inset), (x + inset, y + h - inset), (x + w - inset, y + h - inset)))])
-    points = elements.where((w > 0) & (h > 0)).select("obs", "id", "ord", "end", F.explode(corners).alias("p"))
-    points = points.select("obs", F.struct("id", "p.n").alias("pid"), "p.px", "p.py", F.struct("ord", "end").alias("own"))
-    hit = topmost(points, elements)
+    the place in the document, end that of its last descendant (its own, if none). Without an area it is hidden. A row for each id; elements that are given twice count once.
+
+    Rows are moved once, by page; cells, which settle the points in them, and ids are then grouped where they are. An element lies in the cells that it touches and in those of its points.
+    """
+    at = lambda v: F.floor(v / cell)
+
+    def points(r: Column) -> Column:
+        x, y, w, h = (r[k] for k in "xywh")
+        return F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x + w / 2, y + h / 2), (x + inset, y + inset), (x + w - inset, y + inset), (x + inset, y + h - inset), (x + w - inset, y + h - inset))])
+
+    def cells(r: Column) -> Column:
+        span = lambda k, n: F.sequence(at(r[k]), F.greatest(at(r[k]), F.ceil((r[k] + r[n]) / cell) - 1))
+        place = lambda cx, cy: F.struct(cx.alias("cx"), cy.alias("cy"))
+        touched = F.flatten(F.transform(span("x", "w"), lambda cx: F.transform(span("y", "h"), lambda cy: place(cx, cy))))
+        return F.array_union(touched, F.transform(points(r), lambda p: place(at(p["x"]), at(p["y"]))))
+
+    r = F.col("rect")
+    rows = elements.select("obs", "id", "ord", "end", "rect").repartition("obs")
+    # those without an area lie in no cell and hide nothing
+    rows = rows.select("*", F.explode_outer(F.when((r["w"] > 0) & (r["h"] > 0), cells(r))).alias("c"))
+    groups = rows.groupBy("obs", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy")).agg(F.collect_list(F.struct("ord", "id", "end", "rect")).alias("all"))
     holds = lambda a, b: (a["ord"] <= b["ord"]) & (b["ord"] <= a["end"])
-    reaches = F.coalesce(holds(F.col("hit"), F.col("own")) | holds(F.col("own"), F.col("hit")), F.lit(False))
-    seen = hit.groupBy("obs", F.col("pid.id").alias("id")).agg(F.bool_or(reaches).alias("seen"))
-    return elements.join(seen, ["obs", "id"], "left").select("obs", "id", (~F.coalesce("seen", F.lit(False))).alias("occluded"))
+    over = lambda p: lambda e: (p["x"] >= e["rect"]["x"]) & (p["x"] < e["rect"]["x"] + e["rect"]["w"]) & (p["y"] >= e["rect"]["y"]) & (p["y"] < e["rect"]["y"] + e["rect"]["h"])
+    top = lambda p: F.array_max(F.transform(F.filter("all", over(p)), lambda e: F.struct(e["ord"].alias("ord"), e["id"].alias("id"), e["end"].alias("end"))))
+    reached = lambda e: lambda p: let(top(p), lambda hit: F.coalesce(holds(hit, e) | holds(e, hit), F.lit(False)))
+    here = lambda p: (at(p["x"]) == F.col("cx")) & (at(p["y"]) == F.col("cy"))
+    seen = lambda e: F.struct(e["id"].alias("id"), F.exists(F.filter(points(e["rect"]), here), reached(e)).alias("seen"))
+    told = F.when(F.col("cx").isNull(), F.transform("all", lambda e: F.struct(e["id"].alias("id"), F.lit(False).alias("seen")))).otherwise(F.transform("all", seen))
+    return groups.select("obs", F.explode(told).alias("s")).groupBy("obs", F.col("s.id").alias("id")).agg((~F.bool_or(F.coalesce("s.seen", F.lit(False)))).alias("occluded"))

@@ -73,5 +73,5 @@ def is_occluded(spark, sf_dir):
     """Rectangles of a page, later ones over earlier ones; the first line of an order holds the others."""
     first = F.col("id") % 10 == 1
     base = (F.floor(F.col("id") / 1000) * 1000).cast("long")
-    e = rects(spark, sf_dir).select("obs", "id", F.when(first, base).otherwise(F.col("id")).alias("ord"), F.when(first, base + 999).otherwise(F.col("id")).alias("end"), "rect")
+    e = rects(spark, sf_dir, once=False).select("obs", "id", F.when(first, base).otherwise(F.col("id")).alias("ord"), F.when(first, base + 999).otherwise(F.col("id")).alias("end"), "rect")
     return hits.occluded(e)
