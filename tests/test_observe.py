@@ -118,3 +118,12 @@ def test_walk_of_a_page(spark):
     assert every["gone"] and not every["Home"]
     many = pages.walk(d.limit(1).select("page_id", F.repeat(F.lit("<a href='/x'>y</a>"), 500).alias("html"))).first()
     assert many.truncated and len(many.elements) == 400 and len(many.texts) == 300
+
+
+def test_utility_walks_pages_once(spark, sf_dir, monkeypatch):
+    from siftwork.plans import observation
+
+    monkeypatch.setattr(observation, "cut", lambda df, name, real=observation.cut: made.append(name) or real(df, name))
+    made = []
+    plan = observation.utility(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert made == ["walked"] and "html" not in plan
