@@ -40,14 +40,19 @@ class _Counter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, out = self._count(), []
-        for r in pd.concat(list(rows)).sort_values(["ord", "key"], na_position="first").itertuples():
-            if r.reset:
+        # the state is asked once for a value of a batch, and not at all where it is empty
+        met, empty = set(), n == 0
+        every = pd.concat(list(rows)).sort_values(["ord", "key"], na_position="first")
+        for k, value, kind, tier, reset in zip(*[every[c].tolist() for c in ("ord", "key", "type", "tier", "reset")], strict=True):
+            if reset:
                 self.seen.clear()
-                n = 0
-            if r.key is not None and not self.seen.containsKey((r.key,)):
-                n += 1
-                self.seen.updateValue((r.key,), (r.type, int(r.tier), n))
-                out.append((key[0], r.ord, r.key, r.type, int(r.tier), n))
+                n, met, empty = 0, set(), True
+            if value is not None and value not in met:
+                met.add(value)
+                if empty or not self.seen.containsKey((value,)):
+                    n += 1
+                    self.seen.updateValue((value,), (kind, int(tier), n))
+                    out.append((key[0], k, value, kind, int(tier), n))
         self.size.update((n,))
         yield pd.DataFrame(out, columns=["session", "ord", "key", "kind", "tier", "index"])
 
