@@ -71,3 +71,16 @@ def test_values_are_replaced_as_written(spark):
     handles = spark.createDataFrame([("a", "ann lee", "<1>"), ("a", "a.b(c)", "<2>"), (None, "ann lee", "<3>"), ("a", "an", "<4>")], "session string, key string, handle string")
     got = {r.id: r.text for r in session.substitute_known(rows, "text", handles, ["id"]).collect()}
     assert got == {1: "<1> <1> <2>", 2: "Ann Lee", 3: "<3>", 4: None, 5: "an"}
+
+
+def test_small_sessions_meet_their_values_only(spark, monkeypatch):
+    """Sessions of few values look through their own texts against them, others by characters, with the same result."""
+    rows = spark.createDataFrame([("a", 1, "Asha RAO and Ravi"), (None, 2, "ravi, asha rao"), ("b", 3, "Meera met Asha Rao"), ("c", 4, "asha rao"), ("a", 5, "")], "session string, id long, text string")
+    handles = spark.createDataFrame([("a", "asha rao", "⟦P#1⟧"), ("a", "ravi", "⟦P#2⟧"), ("a", "ra", "⟦P#3⟧"), (None, "ravi", "⟦P#1⟧"), ("b", "meera", "⟦P#1⟧")], "session string, key string, handle string")
+    want = {1: "⟦P#1⟧ and ⟦P#2⟧", 2: "⟦P#1⟧, asha rao", 3: "⟦P#1⟧ met Asha Rao", 4: "asha rao", 5: ""}
+    got = lambda: {r.id: r.text for r in session.substitute_known(rows, "text", handles, ["id"]).collect()}
+    searched, real = [], contain.holding
+    monkeypatch.setattr(contain, "holding", lambda *a, **k: searched.append(1) or real(*a, **k))
+    assert got() == want and not searched
+    monkeypatch.setattr(session, "LOT", 1)
+    assert got() == want and searched

@@ -127,3 +127,20 @@ def test_utility_walks_pages_once(spark, sf_dir, monkeypatch):
     made = []
     plan = observation.utility(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert made == ["walked"] and "html" not in plan
+
+
+def test_redactions_write_no_texts_and_no_handles(spark, made, monkeypatch):
+    _, elements, texts = made
+    frame = lambda schema: spark.createDataFrame([], schema)
+    monkeypatch.setattr(observe, "cut", lambda df, name, real=observe.cut: names.append(name) or real(df, name))
+    names = []
+    done = observe.sanitize(elements, texts, frame(FRAMES), frame(EVIDENCE), frame(FAILURES), "STRICT")
+    assert done.redactions.count() and names == ["observed-hits", "observed-evidence", "observed-regions"]
+    assert done.elements.count() == 6 and names[3:] == ["observed-handles"]
+
+
+def test_nodes_meet_few_lines_of_labels(spark):
+    """Nodes stay where they are where few lines are labels."""
+    df = spark.createDataFrame([node(1, 0, "Name", 0, 0), node(1, 1, "City", 120, 0), node(1, 2, "Asha Rao", 0, 40)], "obs long, ord int, id string, text string, x double, y double, w double, h double")
+    plan = context._cells(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Window" not in plan
