@@ -16,6 +16,8 @@ TEXT, PICTURE, NAME = "<(?:p|h1|div|b)>([^<]+)", "<a [^>]*>([^<]+)", "[A-Z][a-z]
 KINDS = ("email", "card", "ipv4")
 PII = {"EMAIL": "EMAIL", "CARD": "CREDIT_CARD", "IP": "IP"}
 VISION_CHARS = 12
+#: Of a block.
+WIDTH = 320
 
 
 def blocks(spark, sf_dir: str) -> DataFrame:
@@ -24,25 +26,28 @@ def blocks(spark, sf_dir: str) -> DataFrame:
     line = lambda n: F.get(lines, F.pmod(F.col("page_id") + n, F.lit(len(VECTORS))).cast("int"))
     of = lambda pattern, n: F.concat(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), F.array(line(n)))
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("obs"), F.posexplode(F.concat(F.transform(of(TEXT, 0), lambda t: F.struct(F.lit(False).alias("picture"), t.alias("text"))), F.transform(of(PICTURE, 5), lambda t: F.struct(F.lit(True).alias("picture"), t.alias("text"))))).alias("ord", "b"))
-    rect = G.rect(F.when(F.col("b.picture"), 640).otherwise(0), F.col("ord") * 48, F.lit(320), F.lit(40))
+    rect = G.rect(F.when(F.col("b.picture"), 640).otherwise(0), F.col("ord") * 48, F.lit(WIDTH), F.lit(40))
     return rows.select("obs", "ord", "b.picture", "b.text", rect.alias("rect"))
 
 
 def _scene(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Blocks, evidence, coverage and truth."""
-    b = cut(blocks(spark, sf_dir), "chaos-blocks")
-    pii = F.coalesce(*[F.when(F.col("s.type") == k, v) for k, v in PII.items()])
+    pii = lambda s: F.coalesce(*[F.when(s["type"] == k, v) for k, v in PII.items()])
+    # one pass over the texts; what they hold is all that is kept of them
+    seen = F.transform(recognize.recognize(F.col("text"), KINDS), lambda s: F.struct(pii(s).alias("pii_type"), s["confidence"].alias("confidence")))
+    words = F.when(F.col("picture"), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))))
+    b = cut(blocks(spark, sf_dir).select("obs", "ord", "picture", "rect", seen.alias("seen"), words.alias("n_names"), (F.trim("text") != "").alias("shown"), (F.col("picture") & (F.length("text") >= VISION_CHARS)).alias("boxed")), "chaos-blocks")
     number = lambda nth: F.col("ord").cast("long") * 1_000_000 + nth if isinstance(nth, int) else F.col("ord").cast("long") * 1_000_000 + F.col(nth)
-    values = b.select("obs", "ord", "picture", "rect", F.posexplode(recognize.recognize(F.col("text"), KINDS)).alias("nth", "s"))
-    values = cut(values.select("obs", "ord", "picture", "rect", F.concat_ws(":", "ord", "nth").alias("vid"), number("nth").alias("n"), pii.alias("pii_type"), F.col("s.confidence").alias("confidence")), "chaos-values")
-    names = b.where("NOT picture").select("obs", "ord", "rect", F.posexplode(F.regexp_extract_all("text", F.lit(NAME), F.lit(0))).alias("nth", "name"))
+    values = b.select("obs", "ord", "picture", "rect", F.posexplode("seen").alias("nth", "s"))
+    values = values.select("obs", "ord", "picture", "rect", F.concat_ws(":", "ord", "nth").alias("vid"), number("nth").alias("n"), "s.pii_type", "s.confidence")
+    names = b.where("n_names > 0").select("obs", "ord", "rect", F.explode(F.sequence(F.lit(0), F.col("n_names") - 1)).alias("nth"))
     source = F.when(F.col("picture"), "ocr").otherwise("dom")
     found = values.select("obs", source.alias("source"), F.when(F.col("picture"), "ocr").otherwise("regex").alias("type"), "pii_type", "confidence", "rect", (F.col("n") * 3).alias("ord"))
     named = names.select("obs", F.lit("ner").alias("source"), F.lit("ner").alias("type"), F.lit("PERSON_NAME").alias("pii_type"), F.lit(0.9).alias("confidence"), "rect", (number("nth") * 3 + 1).alias("ord"))
-    boxes = b.where(F.col("picture") & (F.length("text") >= VISION_CHARS)).select("obs", F.lit("vision").alias("source"), F.lit("vision").alias("type"), F.lit("PERSONAL").alias("pii_type"), F.lit(0.4).alias("confidence"), "rect", (number(0) * 3 + 2).alias("ord"))
+    boxes = b.where("boxed").select("obs", F.lit("vision").alias("source"), F.lit("vision").alias("type"), F.lit("PERSONAL").alias("pii_type"), F.lit(0.4).alias("confidence"), "rect", (number(0) * 3 + 2).alias("ord"))
     evidence = found.unionByName(named).unionByName(boxes)
     answers = F.explode(F.when(F.col("picture"), F.array(F.lit("ocr"), F.lit("vision"))).otherwise(F.array(F.lit("ner"))))
-    coverage = b.where(F.trim("text") != "").select("obs", "ord", "rect", answers.alias("source")).withColumn("reason", F.concat("source", F.lit("_unavailable")))
+    coverage = b.where("shown").select("obs", "ord", "rect", answers.alias("source")).withColumn("reason", F.concat("source", F.lit("_unavailable")))
     tier = F.when(F.col("pii_type") == "CREDIT_CARD", 1).otherwise(2)
     truth = values.select("obs", F.concat(F.lit("v"), "vid").alias("vid"), tier.alias("tier"), "rect", (~F.col("picture")).alias("readable")).unionByName(names.select("obs", F.concat_ws(":", F.lit("n"), "ord", "nth").alias("vid"), F.lit(3).alias("tier"), "rect", F.lit(True).alias("readable")))
     return b, evidence, coverage, truth
@@ -50,14 +55,12 @@ def _scene(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
 
 def chaos(spark, sf_dir: str) -> DataFrame:
     """A row for each page, profile and setting."""
-    b, evidence, coverage, truth = _scene(spark, sf_dir)
-    each = [C.run(b, evidence, coverage, truth, p).withColumn("profile", F.lit(p)) for p in ("STRICT", "BALANCED")]
-    return each[0].unionByName(each[1]).withColumnRenamed("obs", "page_id")
+    return C.run_all(*_scene(spark, sf_dir), ("STRICT", "BALANCED"), WIDTH).withColumnRenamed("obs", "page_id")
 
 
 def chaos_summary(spark, sf_dir: str) -> DataFrame:
     """The same over all pages, by setting, strict."""
-    return C.summary(C.run(*_scene(spark, sf_dir), "STRICT"))
+    return C.summary(C.run_all(*_scene(spark, sf_dir), ("STRICT",), WIDTH))
 
 
 def _sql(profiles: tuple[str, ...]) -> str:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftwork.operators import asof as A, chaos, hits
+from siftwork.operators import asof as A, chaos, fusion, hits
 from siftwork.sources import auditlog
 from siftwork.streaming import stores
 
@@ -175,3 +175,25 @@ def test_chaos_settings_and_a_page_worked_out(spark):
     assert (got["ner throw"].redactions, got["ner throw"].leaked, got["ner throw"].degraded) == (3, 0, "ner")
     assert (got["ner silent"].redactions, got["ner silent"].leaked, got["ner silent"].degraded, got["ner silent"].leaks_more, got["ner silent"].redacts_less) == (1, 1, "", True, True)
     assert got["ocr+vision timeout"].redactions == 2 and len(got) == 22
+
+
+def test_chaos_states_are_told_by_one_row_a_region(spark):
+    """Against fusion of each state's own evidence; a page of regions travels once for all states and profiles."""
+    r = random.Random(3)
+    shape = "struct<x:double,y:double,w:double,h:double>"
+    rect = lambda: (float(r.randrange(0, 160, 10)), float(r.randrange(0, 160, 10)), float(r.choice([0, 12, 40])), 20.0)
+    kind = lambda: r.choice([("dom", "regex", "EMAIL"), ("ner", "ner", "PERSON_NAME"), ("ocr", "ocr", "CREDIT_CARD"), ("vision", "vision", "PERSONAL"), ("ner", "other", "PASSWORD")])
+    found = [(o, i, *kind(), r.choice([0.1, 0.4, 0.9]), r.choice([rect(), rect(), None])) for o in range(6) for i in range(r.randrange(12))]
+    lost = [(o, i, r.choice(["ner", "ocr", "vision", "dom"]), rect(), "gone") for o in range(6) for i in range(4)]
+    evidence = spark.createDataFrame(found, f"obs long, ord long, source string, type string, pii_type string, confidence double, rect {shape}").cache()
+    coverage = spark.createDataFrame(lost, f"obs long, ord long, source string, rect {shape}, reason string").cache()
+    bit = F.coalesce(*[F.when(F.col("source") == s, 1 << k) for k, s in enumerate(chaos.SOURCES)], F.lit(0))
+    states = spark.createDataFrame([(s,) for s in chaos.STATES], "state int")
+    both = F.struct("obs", "state").alias("obs")
+    alive = evidence.join(states, F.col("state").bitwiseAND(bit) == 0).select(both, "ord", "type", "pii_type", "confidence", "rect")
+    seen = coverage.join(states, (F.col("state") < 8) & (F.col("state").bitwiseAND(bit) > 0)).select(both, "ord", "rect", "reason")
+    got = chaos.regions(evidence, coverage, ("STRICT", "BALANCED")).collect()
+    assert len({(x.obs, x.rect) for x in got}) == len(got)
+    for k, profile in enumerate(("STRICT", "BALANCED")):
+        want = {(x.obs.obs, x.obs.state, x.rect) for x in fusion.fuse(alive, seen, profile).where("action <> 'PASS'").collect()}
+        assert want and {(x.obs, s, x.rect) for x in got for i, s in enumerate(chaos.STATES) if x.hidden[k] >> i & 1} == want
