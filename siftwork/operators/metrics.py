@@ -110,10 +110,10 @@ def justified(redactions: DataFrame, truth: DataFrame, least: float = 0.3, slack
 
 def floor_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(key, a column for each share): the value at floor(n * share), the last at most, of each key's sorted values. Equal values are counted first, and running counts pick
-    the place, so no key's values are gathered in an array."""
+    the place, so no key's values are gathered in an array. Rows without a key are one of their own."""
     per = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(key).orderBy(value))
-    ranked = per.select(key, value, "c", upto.alias("upto")).join(per.groupBy(key).agg(F.sum("c").alias("n")), key)
+    upto, n = F.sum("c").over(W.partitionBy(key).orderBy(value)), F.sum("c").over(W.partitionBy(key))
+    ranked = per.select(key, value, upto.alias("upto"), n.alias("n"))
     at = lambda p: F.least(F.col("n") - 1, F.floor(F.col("n") * p))
     return ranked.groupBy(key).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()])
 

@@ -183,13 +183,17 @@ def _runs(spark, sf_dir):
     v = F.col("value")
     timings = F.map_filter(F.create_map(F.lit("observe"), v, F.lit("gate"), v, F.lit("reason"), v * 100, F.lit("execute"), F.when(F.col("event_type") == "click", v)), lambda k, x: x.isNotNull())
     steps = read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), timings.alias("timings"), (v * 3).alias("latency"), (F.col("event_id") % 5 * 100).alias("bytes"))
-    local = F.aggregate(F.map_entries(F.map_filter("timings", lambda k, x: k.isin(*schema.LOCAL_TIMINGS))), F.lit(0.0), lambda s, e: s + e["value"])
+    here = F.map_entries(F.map_filter("timings", lambda k, x: k.isin(*schema.LOCAL_TIMINGS)))
+    # a run of which nothing was measured has no mean
+    local = F.aggregate(here, F.lit(None).cast("double"), lambda s, e: F.coalesce(s, F.lit(0.0)) + e["value"])
     # added as decimals, which come out the same in any order: sums of doubles tell halves by chance
     total = F.sum(local.cast("decimal(28,9)"))
     per = steps.groupBy("run").agg(F.count("*").alias("steps"), F.floor(total / F.count("*") + F.expr("0.5BD")).cast("long").alias("local_ms"))
     size = metrics.floor_percentiles(steps.where("bytes > 0"), "run", "bytes", {"bytes_p50": 0.5})
     late = metrics.floor_percentiles(steps, "run", "latency", {"p50": 0.5, "p95": 0.95})
-    return per.join(size, "run", "left").join(late, "run", "left").withColumn("bytes_p50", F.coalesce("bytes_p50", F.lit(0)))
+    for shares in (size, late):
+        per = per.join(shares.withColumnRenamed("run", "__run"), F.col("run").eqNullSafe(F.col("__run")), "left").drop("__run")
+    return per.withColumn("bytes_p50", F.coalesce("bytes_p50", F.lit(0)))
 
 
 @query(f"WITH {_RUNS} SELECT run, steps, local_ms, bytes_p50 FROM u")
